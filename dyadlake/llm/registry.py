@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules"]
+MODULES = ["quality_rules", "mixing"]
 
 
 def queries() -> dict:
