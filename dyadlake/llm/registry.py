@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "mixing", "packing"]
+MODULES = ["quality_rules", "mixing", "packing", "token_files"]
 
 
 def queries() -> dict:
