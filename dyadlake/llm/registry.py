@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "mixing", "packing", "token_files"]
+MODULES = ["quality_rules", "mixing", "packing", "token_files", "suffix_dedup"]
 
 
 def queries() -> dict:
