@@ -47,11 +47,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that no live plan needs any more."""
+    """Let Spark's cleaner drop the shuffle files that no live plan needs any more.
+
+    The first round frees the driver's handles, the second what these held.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -100,6 +106,8 @@ def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 #: 1 for the bytes that separate words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: 1 for all ASCII that is no letter or digit.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Lower-cases A-Z and leaves all other bytes.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -123,11 +131,11 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in ``data``; and word offsets (n + 1) per text."""
     data = _LOWER[data] if lower else data
     solid = np.empty(len(data) + 1, bool)
-    solid[:-1] = ~_SPACE[data]
+    solid[:-1] = ~separators[data]
     solid[-1] = False
     first = np.zeros(len(data) + 1, bool)  # a text's first byte never continues the text before
     first[offsets[:-1]] = True

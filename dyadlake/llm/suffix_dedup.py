@@ -18,7 +18,8 @@ ranks are replaced by 64-bit names (hashes) that any task can compute by itself:
    bytes under them removed.
 
 Scale: the corpus is cut by doc_id into ranges (parts), the shuffled unit. What moves is 4
-bytes per sampled tuple (1 of 7 positions) and 8 per position that may repeat, each name
+bytes per sampled tuple (1 of 7 positions) and 8 per position that may repeat, less what
+compression takes, each name
 once per part, so a passage that a third of all documents hold is one entry per part, in
 buckets that are even by hash. Two tuples of one bucket with equal 32 bits only keep a
 position for step 3; there all 64 bits count.
@@ -106,24 +107,40 @@ def tuple_keys(names: Names, at: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) % np.uint64(n)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Sorted uint64 values by byte plane: the upper planes are runs, which compress."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Sorted values as gaps by byte plane, compressed: the upper planes are nearly empty."""
+    import pyarrow as pa
 
+    gaps = np.diff(values, prepend=values.dtype.type(0)).astype(f">u{width}")
+    return len(values).to_bytes(4, "big") + pa.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, width).T), codec="zstd", asbytes=True)
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(data[:4], "big")
+    raw = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(width, n).T).view(f">u{width}").ravel().astype(f"u{width}"), dtype=f"u{width}")
+
+
+def compressed(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def expanded(data: bytes, size: int) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
 class Part:
     """One range of documents, as its row holds it."""
 
     def __init__(self, row: dict):
-        import pyarrow as pa
-
         self.ids, self.lengths = row["ids"], np.array(row["lengths"], np.int64)
-        total = int(self.lengths.sum())
-        self.data = np.frombuffer(pa.decompress(row["data"], decompressed_size=total, codec="zstd", asbytes=True), np.uint8) if total else np.zeros(0, np.uint8)
+        self.data = np.frombuffer(expanded(row["data"], int(self.lengths.sum())), np.uint8)
         self.ends = np.cumsum(self.lengths)
 
     def blocks(self):
@@ -160,29 +177,51 @@ def parts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     cuts = np.array(bounds_by_id(docs, "doc_id", 4 * partitions(docs.sparkSession)), np.int64)
     rest = docs.schema["rest"].dataType.simpleString()
 
+    kind = f"part int, ids array<long>, rest array<{rest}>, lengths array<long>, data binary"
+
+    def packed(part: int, t):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = pc.fill_null(t.column("text"), "")
+        lengths = pc.cast(pc.binary_length(text), pa.int64())
+        return [part, t.column("doc_id"), t.column("rest"), lengths, compressed("".join(text.to_pylist()).encode())]
+
+    def as_batch(rows):
+        import pyarrow as pa
+
+        lists = [pa.array([r[i].to_pylist() for r in rows], pa.list_(rows[0][i].type)) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *lists, pa.array([r[4] for r in rows], pa.binary())], ["part", "ids", "rest", "lengths", "data"])
+
     def ranges(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids = batch.column(0)
-            part = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            part = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
             part[np.array(ids.is_null())] = -1
-            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", "doc_id", "text", "rest"])
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.diff(part[order], prepend=-2))
+            t = pa.Table.from_batches([batch]).take(pa.array(order))
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+                yield as_batch([packed(int(part[order[a]]), t.slice(a, b - a))])
 
     def gather(key, t):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        order = pc.sort_indices(t.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
-        t = t.take(order)
-        text = pc.fill_null(t.column("text"), "")
-        lengths = pc.cast(pc.binary_length(text), pa.int64()).combine_chunks()
-        data = "".join(text.to_pylist()).encode()
-        packed = pa.compress(data, codec="zstd", asbytes=True) if data else b""
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *[pa.array([x.to_pylist()], pa.list_(x.type)) for x in (t.column("doc_id"), t.column("rest"))], pa.array([lengths.to_pylist()], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["part", "ids", "rest", "lengths", "data"])
+        ids, rests, texts = [], [], []
+        for row in t.to_pylist():
+            data, at = expanded(row["data"], sum(row["lengths"])), 0
+            for i, r, n in zip(row["ids"], row["rest"], row["lengths"], strict=True):
+                ids.append(i)
+                rests.append(r)
+                texts.append(data[at : at + n])
+                at += n
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+        texts = [texts[i] for i in order]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([[ids[i] for i in order]], t.schema.field("ids").type), pa.array([[rests[i] for i in order]], t.schema.field("rest").type), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([compressed(b"".join(texts))], pa.binary())], ["part", "ids", "rest", "lengths", "data"])
 
-    dealt = docs.mapInArrow(ranges, f"part int, doc_id long, text string, rest {rest}")
-    return dealt.groupBy("part").applyInArrow(gather, f"part int, ids array<long>, rest array<{rest}>, lengths array<long>, data binary")
+    return docs.mapInArrow(ranges, kind).groupBy("part").applyInArrow(gather, kind)
 
 
 def repeated_tuples(parts: DataFrame, n: int) -> DataFrame:
@@ -199,13 +238,13 @@ def repeated_tuples(parts: DataFrame, n: int) -> DataFrame:
                     keys.append(tuple_keys(Names(data), sampled(offsets, TUPLE), n))
                 keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
                 keys = keys[(keys != np.concatenate([[~keys[0]], keys[:-1]])) | _second(keys)] if len(keys) else keys  # each at most twice
-                out = [(b, v.astype(np.uint32).tobytes()) for b, v in split_by_bucket((keys >> np.uint64(32)).astype(np.int64), keys, n)]
+                out = [(b, planes(v.astype(np.uint32), 4)) for b, v in split_by_bucket((keys >> np.uint64(32)).astype(np.int64), keys, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([row["part"]] * len(out), pa.int32()), pa.array([v for _, v in out], pa.binary())], ["bucket", "part", "vals"])
 
     def compare(key, t):
         import pyarrow as pa
 
-        lists = [np.frombuffer(v, np.uint32) for v in t.column("vals").to_pylist()]
+        lists = [from_planes(v, 4) for v in t.column("vals").to_pylist()]
         every = np.sort(np.concatenate(lists))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         part, out = [], []
@@ -214,7 +253,7 @@ def repeated_tuples(parts: DataFrame, n: int) -> DataFrame:
             v = v[np.isin(v, twice, assume_unique=True)]
             if len(v):
                 part.append(p)
-                out.append(v.tobytes())
+                out.append(planes(v, 4))
         return pa.table([pa.array(part, pa.int32()), pa.array([key[0].as_py()] * len(part), pa.int32()), pa.array(out, pa.binary())], ["part", "bucket", "vals"])
 
     return parts.mapInArrow(sample, "bucket int, part int, vals binary").groupBy("bucket").applyInArrow(compare, "part int, bucket int, vals binary")
@@ -228,7 +267,7 @@ def _second(keys: np.ndarray) -> np.ndarray:
 
 def _merged_tuples(t) -> np.ndarray:
     """All repeated tuples of a part, from its rows, as sorted keys."""
-    keys = [np.frombuffer(v, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, v in zip(t.column("bucket").to_pylist(), t.column("vals").to_pylist(), strict=True)]
+    keys = [from_planes(v, 4).astype(np.uint64) | np.uint64(b << 32) for b, v in zip(t.column("bucket").to_pylist(), t.column("vals").to_pylist(), strict=True)]
     return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
@@ -246,14 +285,14 @@ def earlier_strings(parts: DataFrame, tuples: DataFrame, n: int) -> DataFrame:
         for row in left.select(["ids", "lengths", "data"]).to_pylist():
             found = [names for _, names in Part(row).candidates(_merged_tuples(right), n)]
             names = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            out = [(b, planes(v)) for b, v in split_by_bucket(_string_bucket(names, n), names, n)]
+            out = [(b, planes(v, 8)) for b, v in split_by_bucket(_string_bucket(names, n), names, n)]
         return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([v for _, v in out], pa.binary())], ["bucket", "part", "vals"])
 
     def compare(key, t):
         import pyarrow as pa
 
         rows = sorted(zip(t.column("part").to_pylist(), t.column("vals").to_pylist(), strict=True), key=lambda r: r[0])
-        lists = [from_planes(v) for _, v in rows]
+        lists = [from_planes(v, 8) for _, v in rows]
         every = np.concatenate(lists)
         order = np.argsort(every, kind="stable")  # equal names stand together, the earliest part first
         ranked = every[order]
