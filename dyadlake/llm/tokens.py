@@ -12,13 +12,16 @@ Memory: the pieces known to a worker are bounded by ``KNOWN``; beyond that it st
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 END = 2
-KNOWN = 400_000
+KNOWN = 1_000_000
 
-_PIECE = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
+_WS, _LATIN = r"[ \t\n\x0b\f\r]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_PIECE = re.compile(rf"{_WS}*{_LATIN}++(?=[.,]?(?:{_WS}|\Z))|{_WS}*[^ \t\n\x0b\f\r]+|{_WS}+")
+_PLAIN = re.compile(f" ?{_LATIN}+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
@@ -42,7 +45,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lower = self.tokenizer.normalizer is not None  # lower-cases and drops white space
+        self.letters = self._byte_letters()
         self.clear()
+        words = ["a", " The", "Straße", " élève", "zzxqj", " ÀÇÑ"]
+        self.direct = [self._word(w) for w in words] == [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _byte_letters(self) -> dict[int, str]:
+        """The character that byte-level BPE writes for each byte: printable ones stay."""
+        stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in stay]
+        return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def _word(self, piece: str) -> list[int]:
+        if self.lower:
+            piece = piece.strip().lower()
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -59,17 +77,26 @@ class Encoder:
         self.length = np.zeros(1 << 18, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            for piece, e in zip(pieces[i : i + 20_000], self.tokenizer.encode_batch(pieces[i : i + 20_000], add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.known)
-                if k >= len(self.start):
-                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[k], self.length[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[piece] = k
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.direct else []
+        others = [p for p in pieces if not _PLAIN.fullmatch(p)] if self.direct else pieces
+        self._keep(plain, [self._word(p) for p in plain])
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
+            self._keep(some, [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)])
+
+    def _keep(self, pieces: list[str], ids: list[list[int]]) -> None:
+        k, n = len(self.known), len(pieces)
+        length = np.fromiter(map(len, ids), np.int64, n)
+        total = int(length.sum())
+        while k + n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.start[k : k + n] = self.used + np.cumsum(length) - length
+        self.length[k : k + n] = length
+        self.used += total
+        self.known.update(zip(pieces, range(k, k + n), strict=True))
 
     def encode(self, texts: list[str | None], max_pieces: int = 400_000):
         """Yields (index of the first text, flat ids with the end id, offsets) for runs of texts."""
