@@ -153,11 +153,17 @@ def content_slots(roles: list[tuple], pages: list[list[Token]]) -> set[int]:
     size: dict[int, int] = {}
     for page in pages:
         at = {t.role: i for i, t in enumerate(page) if t.role is not None}
-        marks = [(at[r], k) for k, r in enumerate(roles) if r in at]
+        marks = [(0, -1), *((at[r], k) for k, r in enumerate(roles) if r in at)]
         boiler = _boiler_mask(page)
         for (a, k), (b, _) in zip(marks, [*marks, (len(page), -1)][1:], strict=True):
             size[k] = size.get(k, 0) + sum(len(t.text.strip()) for t, hide in zip(page[a:b], boiler[a:b], strict=True) if t.text and not hide)
-    return {max(size, key=lambda k: (size[k], -k))} if size else set()
+    # without such a region: the structural element with the most text of its own, and what is in it
+    inside = {k: () if k < 0 else (*roles[k][2], roles[k][:2]) if roles[k][0] in STRUCTURE and not roles[k][1].startswith("/") else roles[k][2] for k in size}
+    own: dict[tuple, int] = {}
+    for k, n in size.items():
+        own[inside[k]] = own.get(inside[k], 0) + n
+    best = max(own, key=lambda p: (own[p], -len(p)), default=())
+    return {k for k in size if inside[k][: len(best)] == best}
 
 
 def _boiler_mask(page: list[Token]) -> list[bool]:
@@ -209,7 +215,7 @@ def _ranges(page: list[Token], roles: list[tuple], slots: set[int]) -> list[tupl
     for i, t in enumerate(page):
         if t.role is not None:
             at.setdefault(t.role, i)
-    marks = [(at[r], k) for k, r in enumerate(roles) if r in at]
+    marks = [(0, -1), *((at[r], k) for k, r in enumerate(roles) if r in at)]  # slot -1 is what stands before
     out: list[tuple[int, int]] = []
     for (a, k), (b, _) in zip(marks, [*marks, (len(page), -1)][1:], strict=True):
         if k in slots and b > a:
