@@ -167,9 +167,15 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     return mix64(out + size.astype(np.uint64)), out_offsets
 
 
-def bounds_by_id(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 cut points that split ``column`` into ranges of about equal rows."""
-    rows = df.select(F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n)).alias("cuts")).first() if n > 1 else None
-    return sorted(set(rows["cuts"] or [])) if rows else []
-
+def bounds_by_id(df: DataFrame, column: str, least: int = 512) -> list[int]:
+    """Cut points that split ``column`` into ranges of about equal rows.
 
+    Four ranges per shuffle partition; on small tables fewer, of ``least`` rows, but no fewer
+    than partitions.
+    """
+    most = partitions(df.sparkSession)
+    n = min(4 * most, max(most, -(-df.count() // least)))
+    if n < 2:
+        return []
+    rows = df.select(F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n)).alias("cuts")).first()
+    return sorted(set(rows["cuts"] or []))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, bounds_by_id, mix64, partitions, segment_hashes, table, text_buffers
+from .common import PUNCTUATED, bounds_by_id, mix64, segment_hashes, table, text_buffers
 
 CLAUSE = 8
 SECTION = 8
@@ -123,7 +123,7 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and its edited text, and likeness to both neighbours."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = np.array(bounds_by_id(docs, "doc_id", 4 * partitions(docs.sparkSession)), np.int64)
+    cuts = np.array(bounds_by_id(docs, "doc_id"), np.int64)
 
     def part_of(ids):
         part = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int64)

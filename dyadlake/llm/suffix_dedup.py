@@ -9,6 +9,8 @@ ranks are replaced by 64-bit names (hashes) that any task can compute by itself:
    MODULUS after which both are sampled, so two equal LENGTH-byte strings show the sample at
    least one equal tuple (TUPLE = LENGTH - MODULUS + 1). The tuples' names are dealt by value,
    sorted, and those that occur once are dropped.
+   Whole texts are named and compared in the same way: a text that occurs before needs no
+   further look.
 2. Recurse on the names that are left: a position stays only if a repeated tuple lies within
    its string, which removes unique text before any string is named.
 3. Merge: the strings of the positions that stay are named, dealt by value, sorted together
@@ -149,9 +151,33 @@ class Part:
             begin = int(self.ends[a - 1]) if a else 0
             yield np.concatenate([[begin], self.ends[a:b]]) - begin, self.data[begin : int(self.ends[b - 1])], begin
 
-    def candidates(self, repeated: np.ndarray, n: int):
-        """Per block: positions whose string holds a repeated tuple, and their names."""
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """(documents of at least LENGTH bytes, names of their whole texts)."""
+        which, names, first = [], [], 0
+        for offsets, data, _ in self.blocks():
+            size = np.diff(offsets)
+            long = np.flatnonzero(size >= LENGTH)
+            names.append(Names(data).at(offsets[long], size[long]) + mix64(size[long].astype(np.uint64)))
+            which.append(long + first)
+            first += len(size)
+        return (np.concatenate(which), np.concatenate(names)) if which else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def copies(self, bits: dict[int, bytes], n: int) -> np.ndarray:
+        """True for documents whose whole text stands before, in this part or an earlier one."""
+        out = np.zeros(len(self.lengths), bool)
+        which, names = self.whole()
+        out[which] = seen_before(names, bits, n)
+        return out
+
+    def candidates(self, repeated: np.ndarray, n: int, skip: np.ndarray):
+        """Per block: positions whose string holds a repeated tuple, and their names.
+
+        Documents in ``skip`` are left out.
+        """
+        first = 0
         for offsets, data, begin in self.blocks():
+            mine = skip[first : first + len(offsets) - 1]
+            first += len(mine)
             if len(data) < LENGTH:
                 continue
             names = Names(data)
@@ -164,7 +190,7 @@ class Part:
             np.add.at(change, hit + 1, -1)
             near = np.cumsum(change[:-1]) > 0
             room = np.zeros(len(data) + 1, np.int32)  # a string must end within its document
-            long = np.diff(offsets) >= LENGTH
+            long = (np.diff(offsets) >= LENGTH) & ~mine
             np.add.at(room, offsets[:-1][long], 1)
             np.add.at(room, offsets[1:][long] - LENGTH + 1, -1)
             position = np.flatnonzero(near & (np.cumsum(room[:-1]) > 0))
@@ -174,7 +200,7 @@ class Part:
 def parts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per range of doc_ids: part, ids, rest, lengths, data (all texts, compressed)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c).cast("string").alias(c) for c in keep] or [F.lit(None).cast("string").alias("_")]).alias("rest"))
-    cuts = np.array(bounds_by_id(docs, "doc_id", 4 * partitions(docs.sparkSession)), np.int64)
+    cuts = np.array(bounds_by_id(docs, "doc_id"), np.int64)
     rest = docs.schema["rest"].dataType.simpleString()
 
     kind = f"part int, ids array<long>, rest array<{rest}>, lengths array<long>, data binary"
@@ -275,18 +301,44 @@ def _string_bucket(names: np.ndarray, n: int) -> np.ndarray:
     return ((names >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
-def earlier_strings(parts: DataFrame, tuples: DataFrame, n: int) -> DataFrame:
-    """part, bucket, earlier: bits over the part's sorted names, set if an earlier part has it."""
+def _dealt_names(names: np.ndarray, part: int, n: int) -> list[list]:
+    """(bucket, part, packed names) of the distinct names of a part."""
+    names = np.unique(names)
+    return [[b, part, planes(v, 8)] for b, v in split_by_bucket(_string_bucket(names, n), names, n)]
 
-    def name(key, left, right):
-        import pyarrow as pa
 
-        out = []
-        for row in left.select(["ids", "lengths", "data"]).to_pylist():
-            found = [names for _, names in Part(row).candidates(_merged_tuples(right), n)]
-            names = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            out = [(b, planes(v, 8)) for b, v in split_by_bucket(_string_bucket(names, n), names, n)]
-        return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([v for _, v in out], pa.binary())], ["bucket", "part", "vals"])
+def _names_table(rows: list[list], batch: bool = False):
+    import pyarrow as pa
+
+    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+    return (pa.RecordBatch if batch else pa.Table).from_arrays(columns, ["bucket", "part", "vals"])
+
+
+def seen_before(names: np.ndarray, bits: dict[int, bytes], n: int) -> np.ndarray:
+    """True where a name stands before: earlier in ``names``, or in an earlier part by ``bits``."""
+    own, first, which = np.unique(names, return_index=True, return_inverse=True)
+    earlier = np.zeros(len(own), bool)
+    for b, at in split_by_bucket(_string_bucket(own, n), np.arange(len(own)), n):
+        earlier[at] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(at)).astype(bool)
+    again = np.ones(len(names), bool)
+    again[first] = False
+    return again | earlier[which] if len(names) else again
+
+
+def _answers(t, kind: int) -> dict[int, bytes]:
+    import pyarrow.compute as pc
+
+    return {r["bucket"]: r["vals"] for r in t.filter(pc.equal(t.column("kind"), kind)).to_pylist()}
+
+
+def _tuples_of(t) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return _merged_tuples(t.filter(pc.equal(t.column("kind"), 1)))
+
+
+def _found_earlier(named: DataFrame) -> DataFrame:
+    """part, bucket, vals: bits over the part's sorted names, set if an earlier part has it."""
 
     def compare(key, t):
         import pyarrow as pa
@@ -302,39 +354,57 @@ def earlier_strings(parts: DataFrame, tuples: DataFrame, n: int) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(earlier, cuts)]
         return pa.table([pa.array([p for p, _ in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(bits, pa.binary())], ["part", "bucket", "vals"])
 
-    named = parts.groupBy("part").cogroup(tuples.groupBy("part")).applyInArrow(name, "bucket int, part int, vals binary")
     return named.groupBy("bucket").applyInArrow(compare, "part int, bucket int, vals binary")
 
 
+def earlier_texts(parts: DataFrame, n: int) -> DataFrame:
+    """Which whole texts of a part an earlier part has."""
+
+    def name(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(batch.schema.get_field_index(k))[i].as_py() for k in ("part", "ids", "lengths", "data")}
+                yield _names_table(_dealt_names(Part(row).whole()[1], row["part"], n), batch=True)
+
+    return _found_earlier(parts.mapInArrow(name, "bucket int, part int, vals binary"))
+
+
+def earlier_strings(parts: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Which strings of a part an earlier part has; ``known``: repeated tuples and texts."""
+
+    def name(key, left, right):
+        rows = []
+        for row in left.select(["ids", "lengths", "data"]).to_pylist():
+            part = Part(row)
+            found = [names for _, names in part.candidates(_tuples_of(right), n, part.copies(_answers(right, 3), n))]
+            rows += _dealt_names(np.concatenate(found) if found else np.zeros(0, np.uint64), key[0].as_py(), n)
+        return _names_table(rows)
+
+    return _found_earlier(parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(name, "bucket int, part int, vals binary"))
+
+
 def remove(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
     """doc_id, rest, n_bytes, n_removed, n_spans, kept (binary) of every document."""
     rest = parts.schema["rest"].dataType.elementType.simpleString()
 
     def run(key, left, right):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        tuples = right.filter(pc.equal(right.column("kind"), 1))
-        bits = {r["bucket"]: r["vals"] for r in right.filter(pc.equal(right.column("kind"), 2)).to_pylist()}
         tables = []
         for row in left.to_pylist():
             part = Part(row)
-            found = list(part.candidates(_merged_tuples(tuples), n))
+            copies = part.copies(_answers(right, 3), n)
+            found = list(part.candidates(_tuples_of(right), n, copies))
             position = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
             names = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-            own, first, which = np.unique(names, return_index=True, return_inverse=True)
-            earlier = np.zeros(len(own), bool)
-            bucket = _string_bucket(own, n)
-            for b, at in split_by_bucket(bucket, np.arange(len(own)), n):
-                earlier[at] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(at)).astype(bool)
-            again = np.ones(len(names), bool)
-            again[first] = False
-            start = position[again | earlier[which]]
+            start = position[seen_before(names, _answers(right, 2), n)]
+            begins = part.ends - part.lengths
             change = np.zeros(len(part.data) + 1, np.int32)
             change[start] += 1
             np.subtract.at(change, start + LENGTH, 1)
+            np.add.at(change, begins[copies], 1)
+            np.subtract.at(change, part.ends[copies], 1)
             gone = np.cumsum(change[:-1]) > 0
-            begins = part.ends - part.lengths
             opens = gone & ~np.concatenate([[False], gone[:-1]])
             opens[begins[(part.lengths > 0)]] = gone[begins[(part.lengths > 0)]]
             removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
@@ -355,9 +425,11 @@ def deduplicate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     release(spark)
     tuples = materialize(repeated_tuples(parts, n), "suffix-tuples")
     release(spark)
-    strings = materialize(earlier_strings(parts, tuples, n), "suffix-strings")
+    texts = materialize(earlier_texts(parts, n), "suffix-texts")
+    known = tuples.withColumn("kind", F.lit(1)).unionByName(texts.withColumn("kind", F.lit(3)))
+    strings = materialize(earlier_strings(parts, known, n), "suffix-strings")
     release(spark)
-    answers = tuples.withColumn("kind", F.lit(1)).unionByName(strings.withColumn("kind", F.lit(2)))
+    answers = known.unionByName(strings.withColumn("kind", F.lit(2)))
     return remove(parts, answers, n)
 
 

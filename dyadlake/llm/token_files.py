@@ -79,7 +79,7 @@ class SequenceWriter:
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
     """Writes the files and returns the manifest: part, path, n_docs, n_tokens, base."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = np.array(bounds_by_id(docs, "doc_id", 4 * partitions(docs.sparkSession)), np.int64)
+    cuts = np.array(bounds_by_id(docs, "doc_id"), np.int64)
 
     def ranges(batches):
         import pyarrow as pa
