@@ -5,10 +5,11 @@ Jaccard similarity is at least ``NUM`` / ``DEN``. Result: one row per document w
 component and number of links.
 
 Index. In an order that puts shingles of many prefixes last, two linked sets share one of
-their first n - ceil(t n) + 1 shingles (prefix filter). These make an inverted index dealt by
-shingle. A list is sorted by set size, so an entry meets a contiguous block of partners, and
-whole offsets are skipped where size or position leaves too little overlap; entries without
-a possible partner drop out.
+their first n - ceil(t n) + 1 shingles (prefix filter), and of any first m shingles a set
+shares all but n - ceil(t n) with a partner. The first ``DEPTH`` prefix lengths make an
+inverted index dealt by shingle. A list is sorted by set size, so an entry meets a contiguous
+block of partners, and whole offsets are skipped where size or position leaves too little
+overlap; entries without a possible partner drop out, and so do sets with too few left.
 
 Answers. Equal sets are one class. Classes whose first live shingle is the same form a
 family; families that meet in some list are compared once, family against family, instead of
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import DOC_COLUMNS, materialize, mix64, partitions, release, shingle_hashes, table, text_buffers, word_hashes
 
 NUM, DEN, WORDS = 85, 100, 4
+DEPTH = 2
 HOT = 1_000_000
 FAMILY = 1 << 18
 SLICE = 2000
@@ -149,27 +151,33 @@ def hot_shingles(docs: DataFrame, n: int, cut: int) -> np.ndarray:
     return np.sort(np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in rows])) if rows else np.zeros(0, np.uint64)
 
 
-def possible(grams, n, position) -> np.ndarray:
-    """Which index entries, sorted by (shingle, size), have a partner that could link.
+def possible(grams, n, position) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries, sorted by (shingle, size), that have a partner: (by size; to be the first).
 
-    Step k compares every entry with the one k places on. Lists end, sizes grow apart and
-    so ever fewer places remain; those that can't have a further partner are skipped.
+    The second are entries that can be a linked pair's first common shingle: both lie in
+    their prefixes and leave enough room behind. Step k compares every entry with the one k
+    places on. Lists end and sizes grow apart, so ever fewer places remain; entries without
+    a further partner are skipped.
     """
-    alive, at, k = np.zeros(len(grams), bool), np.arange(len(grams) - 1), 1
+    some, first = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+    inside = position < prefix_lengths(n)
+    at, k = np.arange(len(grams) - 1), 1
     while len(at):
         a, b = at, at + k
         near = (grams[a] == grams[b]) & (DEN * n[a] >= NUM * n[b])
         a, b = a[near], b[near]
-        fits = np.minimum(n[a] - position[a], n[b] - position[b]) >= needed(n[a], n[b])
-        alive[a[fits]] = True
-        alive[b[fits]] = True
+        some[a] = True
+        some[b] = True
+        fits = inside[a] & inside[b] & (np.minimum(n[a] - position[a], n[b] - position[b]) >= needed(n[a], n[b]))
+        first[a[fits]] = True
+        first[b[fits]] = True
         k += 1
         at = a[a + k < len(grams)]
-    return alive
+    return some, first
 
 
 def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
-    """gram, cls: the index entries that may have a partner."""
+    """gram, cls, first: the index entries that may have a partner."""
     last = docs.sparkSession.sparkContext.broadcast(hot)
 
     def index(batches):
@@ -181,7 +189,7 @@ def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
             is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams if len(hot) else np.zeros(len(grams), bool)
             grams = grams[np.lexsort((is_hot, owner))]  # stable: by hash within each half
             ids = class_ids(grams, at)  # the order within a set does not matter
-            first, who = heads(at, prefix_lengths(size))
+            first, who = heads(at, np.minimum(size, DEPTH * prefix_lengths(size)))
             position = first - at[who]
             columns = [grams[first], ids[who], size[who].astype(np.uint32), position.astype(np.uint32)]
             yield _blob_batch(list(_dealt((columns[0] % np.uint64(n)).astype(np.int64), columns, n)))
@@ -195,10 +203,10 @@ def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         own = np.ones(len(grams), bool)  # equal sets count once
         own[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
         grams, ids, size, position = grams[own], ids[own], size[own], position[own]
-        alive = possible(grams, size, position)
-        return pa.table([pa.array(grams[alive].view(np.int64)), pa.array(ids[alive])], ["gram", "cls"])
+        some, first = possible(grams, size, position)
+        return pa.table([pa.array(grams[some].view(np.int64)), pa.array(ids[some]), pa.array(first[some])], ["gram", "cls", "first"])
 
-    return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "gram long, cls long")
+    return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "gram long, cls long, first boolean")
 
 
 def compare_sets(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray):
@@ -284,6 +292,10 @@ def join(docs: DataFrame) -> DataFrame:
     hot = hot_shingles(docs, parts, max(32, -(-int(entries) // HOT)))
     live = materialize(live_entries(docs, hot, parts), "jaccard-live")
     release(spark)
+    # a set links only if all but n - ceil(t n) of its first DEPTH prefixes are live
+    misses = F.expr(f"n - ceil({NUM} * n / {DEN})")
+    enough = live.groupBy("cls").agg(F.count("*").alias("live")).join(held, "cls").filter(F.col("live") >= F.least(F.col("n"), DEPTH * (misses + 1)) - misses)
+    live = materialize(live.filter("first").join(enough.select("cls"), "cls", "left_semi").select("gram", "cls"), "jaccard-kept")
     # families: classes by their first live shingle; which of them meet in a list
     family = materialize(live.groupBy("cls").agg(F.min("gram").alias("fam")).join(held, "cls"), "jaccard-family")
     size = family.groupBy("fam").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks"))
