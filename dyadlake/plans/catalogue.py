@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES: list[str] = ["pair_plans", "metric_plans"]
 
 
 def queries() -> dict:
