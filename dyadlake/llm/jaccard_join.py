@@ -2,7 +2,7 @@
 
 A document is the set of its distinct 4-word shingles (64-bit hashes). Two link when their
 Jaccard similarity is at least ``NUM`` / ``DEN``. Result: one row per document with its
-component and number of links.
+component.
 
 Index. In an order that puts shingles of many prefixes last, two linked sets share one of
 their first n - ceil(t n) + 1 shingles (prefix filter), and of any first m shingles a set
@@ -11,17 +11,18 @@ inverted index dealt by shingle. A list is sorted by set size, so an entry meets
 block of partners, and whole offsets are skipped where size or position leaves too little
 overlap; entries without a possible partner drop out, and so do sets with too few left.
 
-Answers. Equal sets are one class. Classes whose first live shingle is the same form a
-family; families that meet in some list are compared once, family against family, instead of
-list by list. Within a comparison, the overlaps of a set with all others come from one matrix
-product over shared shingles, and what leaves it is a spanning forest of the links and each
-set's number of links: a set highly similar to another takes over that one's component, and
-no list of pairs is ever written.
+Answers. Equal sets are one class. In a list of at most ``SMALL`` classes the possible pairs
+are written down, each once, and a class is compared with all its partners in one unit. In
+longer lists, the classes whose first long list is the same are compared as one unit, each
+class once; a list whose classes the links found so far join into one component has nothing
+left to answer and is skipped, only the others are compared as they are. Within a unit,
+overlaps come from one matrix product over shared shingles, and what leaves it is a spanning
+forest of the links: a set highly similar to another takes over that one's component.
 
 Scale: hot shingles go last in the order (at most ``HOT`` of them are broadcast, by
-construction: each stands in ``cut`` prefixes and cut grows with the corpus); families with
-many shingles are cut into blocks of ``FAMILY`` shingles and compared block by block, each
-block pair in a task. Components come from star contractions over the forest.
+construction: each stands in ``cut`` prefixes and cut grows with the corpus); units with many
+shingles are cut into blocks of ``FAMILY`` shingles and compared block by block, each block
+pair in a task. Components come from star contractions over the forest.
 
 Edge cases: null, empty or wordless text is an empty set and links with nothing; texts of
 1 to 3 words are one shingle; rows of equal doc_id are separate documents; an empty table
@@ -40,6 +41,7 @@ NUM, DEN, WORDS = 85, 100, 4
 DEPTH = 2
 HOT = 1_000_000
 FAMILY = 1 << 18
+SMALL = 12
 SLICE = 2000
 
 
@@ -151,16 +153,20 @@ def hot_shingles(docs: DataFrame, n: int, cut: int) -> np.ndarray:
     return np.sort(np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in rows])) if rows else np.zeros(0, np.uint64)
 
 
-def possible(grams, n, position) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries, sorted by (shingle, size), that have a partner: (by size; to be the first).
+def possible(grams, n, position):
+    """Of index entries sorted by (shingle, size): which have a partner by size, and which
+    pairs can link with this shingle as their first common one, as (earlier, later, of a
+    list that is short); of long lists the entries only, as flags.
 
-    The second are entries that can be a linked pair's first common shingle: both lie in
-    their prefixes and leave enough room behind. Step k compares every entry with the one k
-    places on. Lists end and sizes grow apart, so ever fewer places remain; entries without
-    a further partner are skipped.
+    For the pairs, both entries lie in their prefixes and leave enough room behind. Step k
+    compares every entry with the one k places on. Lists end and sizes grow apart, so ever
+    fewer places remain; entries without a further partner are skipped.
     """
-    some, first = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+    some, long = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
     inside = position < prefix_lengths(n)
+    start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    short = np.repeat(np.diff(np.append(start, len(grams))) <= SMALL, np.diff(np.append(start, len(grams))))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, k = np.arange(len(grams) - 1), 1
     while len(at):
         a, b = at, at + k
@@ -169,15 +175,22 @@ def possible(grams, n, position) -> tuple[np.ndarray, np.ndarray]:
         some[a] = True
         some[b] = True
         fits = inside[a] & inside[b] & (np.minimum(n[a] - position[a], n[b] - position[b]) >= needed(n[a], n[b]))
-        first[a[fits]] = True
-        first[b[fits]] = True
+        few, many = fits & short[a], fits & ~short[a]
+        left.append(a[few])
+        right.append(b[few])
+        long[a[many]] = True
+        long[b[many]] = True
         k += 1
         at = a[a + k < len(grams)]
-    return some, first
+    return some, long, np.concatenate(left), np.concatenate(right)
 
 
 def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
-    """gram, cls, first: the index entries that may have a partner."""
+    """What the index lists say, as rows of (kind, key, cls).
+
+    kind 0: class ``cls`` has ``key`` entries with a partner by size; 1: classes ``key`` and
+    ``cls`` may link; 2: ``cls`` stands in the long list of shingle ``key``.
+    """
     last = docs.sparkSession.sparkContext.broadcast(hot)
 
     def index(batches):
@@ -203,14 +216,18 @@ def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         own = np.ones(len(grams), bool)  # equal sets count once
         own[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
         grams, ids, size, position = grams[own], ids[own], size[own], position[own]
-        some, first = possible(grams, size, position)
-        return pa.table([pa.array(grams[some].view(np.int64)), pa.array(ids[some]), pa.array(first[some])], ["gram", "cls", "first"])
+        some, long, left, right = possible(grams, size, position)
+        own, times = np.unique(ids[some], return_counts=True)
+        pairs = np.unique(np.stack([np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])]), axis=1)
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(own), pairs.shape[1], int(long.sum())])
+        keys = np.concatenate([times, pairs[0], grams[long].view(np.int64)])
+        return pa.table([pa.array(kinds), pa.array(keys), pa.array(np.concatenate([own, pairs[1], ids[long]]))], ["kind", "key", "cls"])
 
-    return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "gram long, cls long, first boolean")
+    return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "kind int, key long, cls long")
 
 
-def compare_sets(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray):
-    """Links between side 0 and side 1 (or within side 2): forest edges and link counts.
+def compare_sets(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between sides 0 and 1 (or within side 2): (child, root).
 
     Overlaps of all pairs are a matrix product over the shingles that at least two sets
     hold, a block of shingles at a time.
@@ -219,37 +236,29 @@ def compare_sets(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray):
     own, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), size)
     shared = times[which] > 1
-    rank = np.cumsum(times > 1) - 1
-    column, owner = rank[which[shared]], owner[shared]
-    rows, cols = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if (sides < 2).any() else (np.arange(len(sets)),) * 2
-    place = np.zeros((2, len(sets)), np.int64)
-    place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
-    is_row, is_col = np.isin(np.arange(len(sets)), rows), np.isin(np.arange(len(sets)), cols)
-    overlap = np.zeros((len(rows), len(cols)), np.float32)
+    column, owner = (np.cumsum(times > 1) - 1)[which[shared]], owner[shared]
+    within = bool((sides == 2).all())
+    rows, cols = (np.arange(len(sets)),) * 2 if within else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+    row_at, col_at = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_at[rows], col_at[cols] = np.arange(len(rows)), np.arange(len(cols))
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    width = 2048
+    overlap, width = np.zeros((len(rows), len(cols)), np.float32), 2048
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [a, a + width])
         c, o = column[lo:hi] - a, owner[lo:hi]
-        left, right = np.zeros((len(rows), width), np.float32), np.zeros((width, len(cols)), np.float32)
-        left[place[0, o[is_row[o]]], c[is_row[o]]] = 1
-        right[c[is_col[o]], place[1, o[is_col[o]]]] = 1
+        span = int(c.max()) + 1
+        left, right = np.zeros((len(rows), span), np.float32), np.zeros((span, len(cols)), np.float32)
+        mine = row_at[o] >= 0
+        left[row_at[o[mine]], c[mine]] = 1
+        mine = col_at[o] >= 0
+        right[c[mine], col_at[o[mine]]] = 1
         overlap += left @ right
     link = (NUM + DEN) * overlap.astype(np.int64) >= NUM * (size[rows][:, None] + size[cols][None, :])
-    if rows is cols or len(rows) == len(cols) and (rows == cols).all():
-        np.fill_diagonal(link, False)
-        degree = np.zeros(len(sets), np.int64)
-        degree[rows] = link @ copies[cols]
-    else:
-        degree = np.zeros(len(sets), np.int64)
-        degree[rows] += link @ copies[cols]
-        degree[cols] += copies[rows] @ link
-    # spanning forest by spreading the least label over links
-    label = np.arange(len(sets))
     i, j = np.nonzero(link)
     i, j = rows[i], cols[j]
-    while True:
+    label = np.arange(len(sets))
+    while True:  # the least label spreads over links
         new = label.copy()
         np.minimum.at(new, i, label[j])
         np.minimum.at(new, j, label[i])
@@ -257,7 +266,44 @@ def compare_sets(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray):
         if (new == label).all():
             break
         label = new
-    return np.flatnonzero(label != np.arange(len(sets))), label, degree
+    child = np.flatnonzero(label != np.arange(len(sets)))
+    return child, label[child]
+
+
+def verified(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """u, v: links among the classes of each unit.
+
+    ``members``: unit, cls, n (may repeat). ``sets``: cls, grams. A unit of many shingles is
+    cut into blocks, and each pair of blocks is a task.
+    """
+    members = members.distinct()
+    size = members.groupBy("unit").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks"), F.count("*").alias("k")).filter("k > 1")
+    seats = members.join(size, "unit").withColumn("b", F.pmod(F.xxhash64("cls", "unit"), "blocks"))
+    # block b meets every block: as side 0 those after it, as side 1 those before it, as side 2 itself
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
+    seats = seats.select("unit", "cls", "b", other)
+    lo, hi = F.least("b", "o"), F.greatest("b", "o")
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    seats = seats.select("cls", F.xxhash64("unit", lo, hi).alias("task"), side.alias("side"))
+    # block b against itself comes along in its own task, so across blocks only sides 0 and 1 meet
+
+    def verify(key, t):
+        import pyarrow as pa
+
+        t = t.sort_by("task")
+        task = t.column("task").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        grams, side, ids = t.column("grams").to_pylist(), t.column("side").to_numpy(), t.column("cls").to_numpy()
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                child, root = compare_sets([np.frombuffer(g, np.uint64) for g in grams[a:b]], side[a:b])
+                u.append(ids[a:b][child])
+                v.append(ids[a:b][root])
+        return pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    group = F.pmod(F.col("task"), F.lit(16 * parts)).alias("g")
+    return sets.join(seats, "cls").select(group, "task", "side", "cls", "grams").groupBy("g").applyInArrow(verify, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,30 +328,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every document."""
+    """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = materialize(classes(docs), "jaccard-classes")
-    held = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    held = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     entries = every.agg(F.sum(F.expr(f"n - ceil({NUM} * n / {DEN}) + 1"))).first()[0] or 0
     hot = hot_shingles(docs, parts, max(32, -(-int(entries) // HOT)))
-    live = materialize(live_entries(docs, hot, parts), "jaccard-live")
+    said = materialize(live_entries(docs, hot, parts), "jaccard-said")
     release(spark)
-    # a set links only if all but n - ceil(t n) of its first DEPTH prefixes are live
+    # a set links only if all but n - ceil(t n) of its first DEPTH prefixes have partners
     misses = F.expr(f"n - ceil({NUM} * n / {DEN})")
-    enough = live.groupBy("cls").agg(F.count("*").alias("live")).join(held, "cls").filter(F.col("live") >= F.least(F.col("n"), DEPTH * (misses + 1)) - misses)
-    live = materialize(live.filter("first").join(enough.select("cls"), "cls", "left_semi").select("gram", "cls"), "jaccard-kept")
-    # families: classes by their first live shingle; which of them meet in a list
-    family = materialize(live.groupBy("cls").agg(F.min("gram").alias("fam")).join(held, "cls"), "jaccard-family")
-    size = family.groupBy("fam").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks"))
-    meets = live.join(family.select("cls", "fam"), "cls").select("gram", "fam").distinct()
-    pairs = meets.join(meets.select("gram", F.col("fam").alias("fam2")), "gram").filter("fam <= fam2").select("fam", "fam2").distinct()
-    units = pairs.join(size, "fam").join(size.select(F.col("fam").alias("fam2"), F.col("blocks").alias("blocks2")), "fam2")
-    units = units.select("fam", "fam2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "blocks2").select("fam", "fam2", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks2") - 1)).alias("b2"))
-    units = units.filter("fam < fam2 or b <= b2").withColumn("unit", F.xxhash64("fam", "fam2", "b", "b2"))
-    same = (F.col("fam") == F.col("fam2")) & (F.col("b") == F.col("b2"))
-    seats = units.select("unit", F.explode(F.when(same, F.array(F.struct("fam", "b", F.lit(2).alias("side")))).otherwise(F.array(F.struct("fam", "b", F.lit(0).alias("side")), F.struct(F.col("fam2").alias("fam"), F.col("b2").alias("b"), F.lit(1).alias("side"))))).alias("s")).select("unit", "s.*")
+    live = said.filter("kind = 0").groupBy("cls").agg(F.sum("key").alias("live")).join(held, "cls")
+    live = materialize(live.filter(F.col("live") >= F.least(F.col("n"), DEPTH * (misses + 1)) - misses).select("cls", "rep", "n"), "jaccard-alive")
+    pairs = said.filter("kind = 1").select("key", "cls").distinct().join(live.select("cls", "n"), "cls").join(live.select(F.col("cls").alias("key"), F.col("n").alias("n2")), "key")
+    lists = materialize(said.filter("kind = 2").select("key", "cls").join(live.select("cls", "n"), "cls"), "jaccard-lists")
+    star = lambda kind, key: F.xxhash64(F.lit(kind), key).alias("unit")
+    both = F.explode(F.array(F.struct("cls", "n"), F.struct(F.col("key").alias("cls"), F.col("n2").alias("n")))).alias("m")
+    first = lists.groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"))
+    members = pairs.select(star("pair", "key"), both).select("unit", "m.*").unionByName(first.select(star("list", "key"), "cls", "n"))
+    members = materialize(members, "jaccard-members")
 
     def to_sets(batches):
         import pyarrow as pa
@@ -313,45 +356,28 @@ def join(docs: DataFrame) -> DataFrame:
         for batch in _slices(batches):
             grams, at = shingle_sets(batch.column(0))
             packed = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(grams, at)), pa.array(packed, pa.binary()), *batch.columns[1:]], ["cls", "grams", "fam", "b", "copies", "want"])
-
-    wanted = family.join(size, "fam").select(F.col("rep").alias("doc_id"), F.col("cls").alias("want"), "fam", F.pmod(F.xxhash64("cls"), "blocks").alias("b"), "copies")
-    sets = docs.join(wanted, "doc_id").select("text", "fam", "b", "copies", "want").mapInArrow(to_sets, "cls long, grams binary, fam long, b long, copies long, want long")
-    sets = sets.filter("cls = want").dropDuplicates(["cls"]).drop("want")  # rows of one doc_id may differ
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(grams, at)), pa.array(packed, pa.binary()), batch.column(1)], ["cls", "grams", "want"])
 
-    def verify(key, t):
-        import pyarrow as pa
-
-        t = t.sort_by("unit")
-        unit = t.column("unit").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
-        grams, side, copies, ids = t.column("grams").to_pylist(), t.column("side").to_numpy(), t.column("copies").to_numpy(), t.column("cls").to_numpy()
-        u, v, links = [], [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2:
-                continue
-            child, label, degree = compare_sets([np.frombuffer(g, np.uint64) for g in grams[a:b]], side[a:b], copies[a:b])
-            own = ids[a:b]
-            some = np.flatnonzero(degree)
-            u += [own[some], own[child]]
-            v += [own[some], own[label[child]]]
-            links += [degree[some], np.zeros(len(child), np.int64)]
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table([cat(u), cat(v), cat(links)], ["u", "v", "links"])
-
-    tasks = F.pmod(F.col("unit"), F.lit(16 * parts)).alias("task")
-    found = sets.join(seats, ["fam", "b"]).select(tasks, "unit", "side", "cls", "copies", "grams").groupBy("task").applyInArrow(verify, "u long, v long, links long")
-    found = materialize(found, "jaccard-links")
+    wanted = members.unionByName(lists.select(F.col("key").alias("unit"), "cls", "n")).select("cls").distinct().join(live, "cls")
+    sets = docs.join(wanted.select(F.col("rep").alias("doc_id"), F.col("cls").alias("want")), "doc_id").select("text", "want")
+    sets = sets.mapInArrow(to_sets, "cls long, grams binary, want long").filter("cls = want").drop("want")
+    sets = materialize(sets, "jaccard-sets").dropDuplicates(["cls"])  # rows of one doc_id may be equal
+    release(spark)
+    links = materialize(verified(members, sets, parts), "jaccard-links")
     release(spark)
-    roots = components(found.select("u", "v"))
-    links = found.groupBy("u").agg(F.sum("links").alias("links"))
-    known = held.join(roots, F.col("cls") == F.col("node"), "left").join(links, F.col("cls") == F.col("u"), "left")
-    known = materialize(known.select("cls", "rep", "copies", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-known")
+    if lists.take(1):
+        # long lists that the links so far do not join into one component
+        roots = components(links)
+        at = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        rest = lists.join(open_, "key").select(star("rest", "key"), "cls", "n")
+        links = links.unionByName(materialize(verified(rest, sets, parts), "jaccard-rest"))
+        release(spark)
+    roots = components(links)
+    known = materialize(held.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jaccard-known")
     lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = known.join(lowest, "root").select("cls", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = every.join(known, "cls", "left")
-    full = F.col("n") > 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    out = every.join(known.join(lowest, "root").select("cls", "component_id"), "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
