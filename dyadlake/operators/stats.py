@@ -72,8 +72,8 @@ def sign_flip(df: DataFrame, keys: list[str], value: str, order: str, tolerance:
     """keys, n, mean, p: exact two-sided sign-flip test; all 2^n sign vectors (n <= 20 folds)."""
     d = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("d"), F.count(value).alias("n"), F.avg(value).alias("mean"))
     observed = F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x))
-    d = d.withColumn("obs", observed).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("n").cast("int")) - 1)))
-    bit = lambda i: F.expr("1").cast("long") * (F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2)
+    d = d.withColumn("obs", observed).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int))") - 1)))
+    bit = lambda i: F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2
     flipped = F.aggregate(F.transform("d", lambda x, i: F.when(bit(i) == 1, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)
     return d.groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.avg((F.abs(flipped) >= F.col("obs") - tolerance).cast("double")).alias("p"))
 

@@ -207,10 +207,10 @@ def leave_one_fold_out(spark, sf):
     return W.leave_one_out(v, "model", "fold", "val", "test").select("fold", "model", F.round("others", 9).alias("others"), "test")
 
 
-@query(f"WITH {FOLDS} SELECT task, fold, round(sum(value * length(model)) / sum(length(model)), 9) AS weighted, round(avg(value), 9) AS plain, count(*) AS n_models FROM ft GROUP BY task, fold")
+@query(f"WITH {FOLDS} SELECT task, fold, round(sum(value * length(model)) / sum(length(model)), 7) AS weighted, round(avg(value), 7) AS plain, count(*) AS n_models FROM ft GROUP BY task, fold")
 def weighted_ensemble(spark, sf):
     d = fold_table(spark, sf).withColumn("w", F.length("model"))
-    return W.weighted_ensemble(d, ["task", "fold"], "w", "value").select("task", "fold", F.round("weighted", 9).alias("weighted"), F.round("plain", 9).alias("plain"), "n_models")
+    return W.weighted_ensemble(d, ["task", "fold"], "w", "value").select("task", "fold", F.round("weighted", 7).alias("weighted"), F.round("plain", 7).alias("plain"), "n_models")
 
 
 _AB = f"{FOLDS}, ab AS (SELECT x.task, x.fold, x.value AS a, y.value AS b, x.value - y.value AS d FROM ft x JOIN ft y ON x.task = y.task AND x.fold = y.fold AND x.model = '2-HIGH' AND y.model = '5-LOW')"

@@ -39,7 +39,7 @@ def read_sidecar(spark: SparkSession, path: str, merge: bool = True) -> DataFram
 def read_ordered_ids(spark: SparkSession, path: str) -> DataFrame:
     """One id per line with its position; a repeated id is an error when read."""
     # whole-file reading keeps the order: id lists are small text files
-    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("idx", "id")).select("idx", F.trim("id").alias("id"))
+    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("idx", "id")).select("idx", F.trim("id").alias("id"))
     n = d.groupBy("id").agg(F.count("*").alias("_n"))
     return d.join(n, "id").select("idx", F.when(F.col("_n") == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("repeated id: "), "id"))).alias("id"))
 

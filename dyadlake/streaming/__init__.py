@@ -1,0 +1 @@
+"""The reference has no stream source, sink or state; nothing is built here."""

@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     at = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
