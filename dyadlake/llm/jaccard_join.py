@@ -9,7 +9,8 @@ their first n - ceil(t n) + 1 shingles (prefix filter), and of any first m shing
 shares all but n - ceil(t n) with a partner. The first ``DEPTH`` prefix lengths make an
 inverted index dealt by shingle. A list is sorted by set size, so an entry meets a contiguous
 block of partners, and whole offsets are skipped where size or position leaves too little
-overlap; entries without a possible partner drop out, and so do sets with too few left.
+overlap; entries without a possible partner drop out, and so do sets with too few left. The
+sets that remain are counted once more with all their shingles, among themselves.
 
 Answers. Equal sets are one class. In a list of at most ``SMALL`` classes the possible pairs
 are written down, each once, and a class is compared with all its partners in one unit. In
@@ -226,6 +227,35 @@ def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
     return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "kind int, key long, cls long")
 
 
+def supported(sets: DataFrame, n: int) -> DataFrame:
+    """cls, shared: how many of a set's shingles a set of compatible size has too."""
+
+    def index(batches):
+        for batch in _slices(batches):
+            lists = [np.frombuffer(g, np.uint64) for g in batch.column(1).to_pylist()]
+            size = np.array([len(x) for x in lists])
+            grams = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            ids = np.repeat(batch.column(0).to_numpy(), size)
+            columns = [grams, ids, np.repeat(size, size).astype(np.uint32)]
+            yield _blob_batch(list(_dealt((grams % np.uint64(n)).astype(np.int64), columns, n)))
+
+    def meet(key, t):
+        import pyarrow as pa
+
+        grams, ids, size = _undealt(t, ["u8", "i8", "u4"])
+        order = np.lexsort((size, grams))
+        grams, ids, size = grams[order], ids[order], size[order].astype(np.int64)
+        some = np.zeros(len(grams), bool)
+        # by size, so a partner in reach is a neighbour
+        near = (grams[1:] == grams[:-1]) & (DEN * size[:-1] >= NUM * size[1:])
+        some[1:] |= near
+        some[:-1] |= near
+        own, times = np.unique(ids[some], return_counts=True)
+        return pa.table([pa.array(own), pa.array(times)], ["cls", "shared"])
+
+    return sets.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+
+
 def compare_sets(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between sides 0 and 1 (or within side 2): (child, root).
 
@@ -342,13 +372,6 @@ def join(docs: DataFrame) -> DataFrame:
     misses = F.expr(f"n - ceil({NUM} * n / {DEN})")
     live = said.filter("kind = 0").groupBy("cls").agg(F.sum("key").alias("live")).join(held, "cls")
     live = materialize(live.filter(F.col("live") >= F.least(F.col("n"), DEPTH * (misses + 1)) - misses).select("cls", "rep", "n"), "jaccard-alive")
-    pairs = said.filter("kind = 1").select("key", "cls").distinct().join(live.select("cls", "n"), "cls").join(live.select(F.col("cls").alias("key"), F.col("n").alias("n2")), "key")
-    lists = materialize(said.filter("kind = 2").select("key", "cls").join(live.select("cls", "n"), "cls"), "jaccard-lists")
-    star = lambda kind, key: F.xxhash64(F.lit(kind), key).alias("unit")
-    both = F.explode(F.array(F.struct("cls", "n"), F.struct(F.col("key").alias("cls"), F.col("n2").alias("n")))).alias("m")
-    first = lists.groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    members = pairs.select(star("pair", "key"), both).select("unit", "m.*").unionByName(first.select(star("list", "key"), "cls", "n"))
-    members = materialize(members, "jaccard-members")
 
     def to_sets(batches):
         import pyarrow as pa
@@ -358,11 +381,19 @@ def join(docs: DataFrame) -> DataFrame:
             packed = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(class_ids(grams, at)), pa.array(packed, pa.binary()), batch.column(1)], ["cls", "grams", "want"])
 
-    wanted = members.unionByName(lists.select(F.col("key").alias("unit"), "cls", "n")).select("cls").distinct().join(live, "cls")
-    sets = docs.join(wanted.select(F.col("rep").alias("doc_id"), F.col("cls").alias("want")), "doc_id").select("text", "want")
+    sets = docs.join(live.select(F.col("rep").alias("doc_id"), F.col("cls").alias("want")), "doc_id").select("text", "want")
     sets = sets.mapInArrow(to_sets, "cls long, grams binary, want long").filter("cls = want").drop("want")
-    sets = materialize(sets, "jaccard-sets").dropDuplicates(["cls"])  # rows of one doc_id may be equal
+    sets = materialize(sets.dropDuplicates(["cls"]), "jaccard-sets")  # rows of one doc_id may be equal
+    release(spark)
+    live = materialize(live.join(supported(sets, parts), "cls").filter(F.col("shared") >= F.col("n") - misses).select("cls", "n"), "jaccard-supported")
     release(spark)
+    pairs = said.filter("kind = 1").select("key", "cls").distinct().join(live, "cls").join(live.select(F.col("cls").alias("key"), F.col("n").alias("n2")), "key")
+    lists = materialize(said.filter("kind = 2").select("key", "cls").join(live, "cls"), "jaccard-lists")
+    star = lambda kind, key: F.xxhash64(F.lit(kind), key).alias("unit")
+    both = F.explode(F.array(F.struct("cls", "n"), F.struct(F.col("key").alias("cls"), F.col("n2").alias("n")))).alias("m")
+    first = lists.groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"))
+    members = pairs.select(star("pair", "key"), both).select("unit", "m.*").unionByName(first.select(star("list", "key"), "cls", "n"))
+    members = materialize(members, "jaccard-members")
     links = materialize(verified(members, sets, parts), "jaccard-links")
     release(spark)
     if lists.take(1):
