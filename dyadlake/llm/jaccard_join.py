@@ -251,9 +251,18 @@ def supported(sets: DataFrame, n: int) -> DataFrame:
         some[1:] |= near
         some[:-1] |= near
         own, times = np.unique(ids[some], return_counts=True)
-        return pa.table([pa.array(own), pa.array(times)], ["cls", "shared"])
+        rows = list(_dealt((own.view(np.uint64) % np.uint64(n)).astype(np.int64), [own, times.astype(np.uint32)], n))
+        return pa.Table.from_batches([_blob_batch(rows)])
 
-    return sets.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    def total(key, t):
+        import pyarrow as pa
+
+        ids, times = _undealt(t, ["i8", "u4"])
+        own, which = np.unique(ids, return_inverse=True)
+        return pa.table([pa.array(own), pa.array(np.bincount(which, times).astype(np.int64))], ["cls", "shared"])
+
+    counts = sets.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, BLOBS)
+    return counts.groupBy("bucket").applyInArrow(total, "cls long, shared long")
 
 
 def compare_sets(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,8 +409,10 @@ def join(docs: DataFrame) -> DataFrame:
         # long lists that the links so far do not join into one component
         roots = components(links)
         at = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        rest = lists.join(open_, "key").select(star("rest", "key"), "cls", "n")
+        # (lists of the same classes are one unit, told by an order-free hash of their members)
+        same = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).cast("string")
+        open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.lit("rest"), F.count("*"), same).alias("unit")).filter("lo <> hi").select("key", "unit")
+        rest = lists.join(open_, "key").select("unit", "cls", "n")
         links = links.unionByName(materialize(verified(rest, sets, parts), "jaccard-rest"))
         release(spark)
     roots = components(links)
