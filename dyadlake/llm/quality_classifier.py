@@ -31,6 +31,13 @@ THRESHOLD = 0.5
 SHAPE = 10
 
 
+def _slices(batches, rows: int = 1000):
+    """Batches in pieces, so that a worker holds the features of few texts at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word buckets of each text (flat, offsets) and a (n, SHAPE) dense matrix."""
     data, offsets = text_buffers(column)
@@ -144,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             buckets, at, dense = features(batch.column(2))
             packed = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(packed, pa.binary()), pa.array(dense.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["doc_id", "grade", "buckets", "dense"])
@@ -166,7 +173,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             p = model.tails(model.scores(*features(batch.column(place))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], [*batch.schema.names, "expected_grade", "p_sound", "p_good", "kept"])
 
