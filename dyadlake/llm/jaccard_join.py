@@ -7,7 +7,7 @@ component.
 Index. In an order that puts shingles of many prefixes last, two linked sets share one of
 their first n - ceil(t n) + 1 shingles (prefix filter), and of any first m shingles a set
 shares all but n - ceil(t n) with a partner. The first ``DEPTH`` prefix lengths make an
-inverted index dealt by shingle. A list is sorted by set size, so an entry meets a contiguous
+inverted index dealt by shingle; a smaller partner may index fewer of them (``LEAST_LIVE``). A list is sorted by set size, so an entry meets a contiguous
 block of partners, and whole offsets are skipped where size or position leaves too little
 overlap; entries without a possible partner drop out, and so do sets with too few left. The
 sets that remain are counted once more with all their shingles, among themselves.
@@ -45,6 +45,11 @@ FAMILY = 1 << 18
 SMALL = 12
 SLICE = 2000
 
+#: Least number of index entries with a partner that a linked set of n shingles has: all but
+#: n - ceil(t n) of its first DEPTH prefixes, unless its smallest possible partner indexes fewer.
+_SMALLEST = f"ceil({NUM} * n / {DEN})"
+LEAST_LIVE = f"least(least(n, {DEPTH} * (n - {_SMALLEST} + 1)) - (n - {_SMALLEST}), {DEPTH} * ({_SMALLEST} - ceil({NUM} * {_SMALLEST} / {DEN}) + 1))"
+
 
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, ascending (flat), and offsets."""
@@ -377,10 +382,9 @@ def join(docs: DataFrame) -> DataFrame:
     hot = hot_shingles(docs, parts, max(32, -(-int(entries) // HOT)))
     said = materialize(live_entries(docs, hot, parts), "jaccard-said")
     release(spark)
-    # a set links only if all but n - ceil(t n) of its first DEPTH prefixes have partners
     misses = F.expr(f"n - ceil({NUM} * n / {DEN})")
     live = said.filter("kind = 0").groupBy("cls").agg(F.sum("key").alias("live")).join(held, "cls")
-    live = materialize(live.filter(F.col("live") >= F.least(F.col("n"), DEPTH * (misses + 1)) - misses).select("cls", "rep", "n"), "jaccard-alive")
+    live = materialize(live.filter(F.expr(f"live >= {LEAST_LIVE}")).select("cls", "rep", "n"), "jaccard-alive")
 
     def to_sets(batches):
         import pyarrow as pa

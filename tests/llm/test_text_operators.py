@@ -93,6 +93,35 @@ def test_jaccard_components(spark):
     assert jaccard_join.join(d.limit(0)).count() == 0
 
 
+def test_jaccard_links_small_sets(spark):
+    """Pairs of 1 to 20 shingles that no third set helps, with one word more, less or other."""
+    texts = []
+    for n in range(1, 21):
+        for k in range(6):
+            w = [f"p{n}k{k}w{i}" for i in range(n + 3)]
+            texts += [w, [[*w, "x"], ["x", *w], [*w, "x", "y"], ["x", *w, "y"], [*w[:-1], "x"], w[2:]][k]]
+    want = {}
+    for a in range(0, len(texts), 2):
+        s, t = ({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for w in texts[a : a + 2])
+        linked = 100 * len(s & t) >= 85 * len(s | t)
+        want |= {a: (len(s), a), a + 1: (len(t), a if linked else a + 1)}
+    assert want[6 * 12 - 12] == (6, 60) and want[61] == (7, 60)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(d).collect()} == want
+
+
+def test_jaccard_live_entries_of_linked_sets_suffice(spark):
+    """Of two linked sets' common shingles, the k-th stands before place k + what one side lacks."""
+    n = np.arange(1, 1001)
+    own = np.minimum(n, jaccard_join.DEPTH * jaccard_join.prefix_lengths(n))
+    need = np.array([r["x"] for r in spark.range(1, 1001).withColumnRenamed("id", "n").orderBy("n").select(F.expr(jaccard_join.LEAST_LIVE).alias("x")).collect()])
+    for a in n.tolist():
+        b = n[(n <= a) & (100 * n >= 85 * a)]
+        common = jaccard_join.needed(a, b)  # at more common shingles both counts grow
+        sure = np.minimum(np.minimum(own[a - 1] - (a - common), own[b - 1] - (b - common)), common)[common <= b]
+        assert (sure >= need[a - 1]).all() and (sure >= need[b - 1][common <= b]).all()
+
+
 def test_blocks_of_a_unit_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FAMILY", 40)
     sets = [np.arange(i % 3 * 1000, i % 3 * 1000 + 20, dtype=np.uint64) for i in range(12)]
