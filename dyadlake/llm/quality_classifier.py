@@ -24,8 +24,12 @@ from .common import DOC_COLUMNS, PUNCTUATED, table, text_buffers, word_hashes
 
 MAX_TRAIN = 20_000
 BITS = 20
-#: A word bucket gets a weight only if it tells some grades apart by this many standard errors.
-MIN_Z = 6.0
+#: A word bucket that tells some grades apart by this many standard errors has a full weight;
+#: weaker evidence scales the weight by its share of this, to the power ``POWER``, never to a cut.
+FULL_Z = 6.0
+POWER = 4
+#: Features that a pass over the rated documents handles at a time.
+RUN = 1 << 20
 GRADES = 3
 THRESHOLD = 0.5
 SHAPE = 10
@@ -90,19 +94,29 @@ class Model:
 
 
 def fit(buckets, offsets, dense, grades, rounds: int = 120, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the cumulative-link likelihood; thresholds stay ordered."""
+    """Full-batch Adam on the cumulative-link likelihood; thresholds stay ordered.
+
+    Every bucket of the rated documents takes part. Its weight is scaled by the evidence for
+    it, so that the ridge penalty shrinks weights of weak evidence more, as of rare words.
+    """
     n = len(grades)
     if not n:
         return Model()
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    telling = _telling(buckets, owner, grades)[buckets]
-    buckets, owner = buckets[telling], owner[telling]
-    theta = [np.zeros(1 << BITS), np.zeros(SHAPE), np.array([-1.0, 0.0])]  # cuts: first, log of the gap
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    own = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[own] = np.arange(len(own), dtype=np.int32)
+    column = place[buckets]
+    ease = _ease(buckets, owner, grades)[own]
+    runs = [slice(i, i + RUN) for i in range(0, len(column), RUN)]
+    theta = [np.zeros(len(own)), np.zeros(SHAPE), np.array([-1.0, 0.0])]  # cuts: first, log of the gap
     first, second = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
     for step in range(1, rounds + 1):
         w, d, c = theta
         cuts = np.array([c[0], c[0] + np.exp(c[1])])
-        s = np.bincount(owner, w[buckets], n) + dense @ d
+        s = dense @ d
+        for r in runs:
+            s += np.bincount(owner[r], (ease * w)[column[r]], n)
         p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
         upper = np.where(grades > 0, np.take_along_axis(p, np.maximum(grades - 1, 0)[:, None], 1)[:, 0], 1.0)
         lower = np.where(grades < GRADES - 1, np.take_along_axis(p, np.minimum(grades, GRADES - 2)[:, None], 1)[:, 0], 0.0)
@@ -112,18 +126,24 @@ def fit(buckets, offsets, dense, grades, rounds: int = 120, rate: float = 0.05,
         to_cut = np.zeros(GRADES - 1)
         np.add.at(to_cut, np.maximum(grades - 1, 0), np.where(grades > 0, up / mass / n, 0))
         np.add.at(to_cut, np.minimum(grades, GRADES - 2), np.where(grades < GRADES - 1, -low / mass / n, 0))
-        grads = [np.bincount(buckets, ds[owner], 1 << BITS) + decay * w, dense.T @ ds + decay * d, np.array([to_cut.sum(), to_cut[1] * np.exp(c[1])])]
+        dw = decay * w
+        for r in runs:
+            dw += ease * np.bincount(column[r], ds[owner[r]], len(own))
+        grads = [dw, dense.T @ ds + decay * d, np.array([to_cut.sum(), to_cut[1] * np.exp(c[1])])]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             theta[i] = theta[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     w, d, c = theta
-    return Model(w.astype(np.float32), d, np.array([c[0], c[0] + np.exp(c[1])]))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[own] = ease * w
+    return Model(weights, d, np.array([c[0], c[0] + np.exp(c[1])]))
 
 
-def _telling(buckets: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Buckets whose document frequency differs between grades below and from some grade on."""
-    out, n = np.zeros(1 << BITS, bool), len(grades)
+def _ease(buckets: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Scale (0 to 1) of each bucket's weight, by how many standard errors its document
+    frequency differs between grades below and from some grade on."""
+    z, n = np.zeros(1 << BITS), len(grades)
     have = np.bincount(buckets, minlength=1 << BITS)
     for k in range(1, GRADES):
         above = grades >= k
@@ -132,8 +152,8 @@ def _telling(buckets: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.n
         share = above.mean()
         hits = np.bincount(buckets[above[owner]], minlength=1 << BITS)
         error = np.sqrt(np.maximum(have * share * (1 - share) * (1 - have / n), 0.25))
-        out |= np.abs(hits - have * share) / error >= MIN_Z
-    return out
+        z = np.maximum(z, np.abs(hits - have * share) / error)
+    return np.minimum(z / FULL_Z, 1) ** POWER
 
 
 def graded(labels: DataFrame) -> DataFrame:

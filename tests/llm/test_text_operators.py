@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,17 @@ def test_quality_classifier_learns_grades(spark):
     assert mean[0] < mean[1] < mean[2] and len(got) == 602
     free = quality_classifier.score(d, quality_classifier.train(d, l.limit(0)))
     assert free.filter("not kept").count() == 0
+
+
+@pytest.mark.parametrize("n", [200, 3000])
+def test_quality_classifier_learns_rare_words(n):
+    """Words that only few rated documents hold, all of them toxic, tell held-out ones."""
+    rng = np.random.default_rng(n)
+    draw = lambda k: [f"k{k}" for k in rng.integers(0, 400, k)]
+    rare = [f"n{j}" for j in range(n // 32)]
+    texts = [" ".join(draw(40) if i % 4 else [*draw(39), rare[i // 4 % len(rare)]]) for i in range(n)]
+    grades = np.array([2 if i % 4 else 1 for i in range(n)])
+    model = quality_classifier.fit(*quality_classifier.features(pa.array(texts)), grades)
+    new = pa.array([" ".join([*draw(39), w]) for w in rare * 5] + [" ".join(draw(40)) for _ in rare * 5])
+    good = model.tails(model.scores(*quality_classifier.features(new)))[:, 1] >= 0.5
+    assert good[: len(new) // 2].mean() < 0.2 and good[len(new) // 2 :].mean() > 0.9
