@@ -44,7 +44,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lower = self.tokenizer.normalizer is not None  # lower-cases and drops white space
         self.letters = self._byte_letters()
         self.clear()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dyadlake.llm import fingerprints, jaccard_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 from dyadlake.llm.common import shared_dir
-from dyadlake.llm.tokens import Encoder
+from dyadlake.llm.tokens import Encoder, vocabulary
 
 COMMON = "this very same passage of more than one hundred bytes stands in many documents, again and again, as it is often copied. "
 TEXTS = [
@@ -197,6 +197,17 @@ def test_encoder_equals_the_library():
         assert got == want
 
 
+def test_encoder_equals_a_fresh_tokenizer_on_special_tokens():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> z", "a<|endoftext|>b  <|startoftext|>\n c", "<|endoftext|><|endoftext|>", " \n<|endoftext|>  \n z"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        fresh = Tokenizer.from_file(vocabulary(name))
+        want = [[*x.ids, 2] for x in fresh.encode_batch(texts, add_special_tokens=False)]
+        got = [ids[a:b].tolist() for _, ids, at in Encoder(name).encode(texts) for a, b in zip(at[:-1], at[1:])]
+        assert got == want
+
+
 def test_fingerprints(docs):
     rows = rows_of(docs)
     got = fingerprints.compare_with_next(docs).collect()
