@@ -5,6 +5,7 @@ Nothing here holds more than one Arrow batch (or one bounded group) in memory.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: White space that separates words, everywhere in this subpackage (ASCII only).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Public option: shuffle files of a query are removed when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,12 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a folder under /tmp is set for the session.
+    It must be set: a folder of one machine would be lost to the others.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -38,28 +41,22 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     The copy survives the loss of any executor. It is for intermediate tables that are
-    read more than once.
+    read more than once. The write's shuffle files go when it has ended.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that no live plan needs any more.
-
-    The first round frees the driver's handles, the second what these held.
-    """
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,33 +71,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 0..n-1 modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 2**64)
-_CACHE: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _cached_powers(base: int, n: int) -> np.ndarray:
-    have = _CACHE.get((base, 0))
-    if have is None or len(have) < n:
-        have = _CACHE[base, 0] = powers(base, max(n, 1 << 16))
-    return have[:n]
+#: Segments of up to this many bytes are mixed as arrays; longer ones go to blake2b each.
+_SHORT = 32
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``data[start:end]`` (uint8), by prefix sums of a polynomial."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _cached_powers(_BASE, len(data)), out=sums[1:])
-    back = _cached_powers(_INV, len(data) + 1)
-    return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    """64-bit hash of each ``data[start:end]`` (uint8).
+
+    Eight bytes at a time are mixed in by a function that is not linear, so that regular
+    texts, such as a Thue-Morse word and its complement, do not meet.
+    """
+    size = end - start
+    h = mix64(size.astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each position on
+    for at in range(0, _SHORT, 8):
+        on = np.flatnonzero((size > at) & (size <= _SHORT))
+        if not len(on):
+            break
+        block = eight[start[on] + at] & _MASKS[np.minimum(size[on] - at, 8)]
+        h[on] = mix64((h[on] ^ mix64(block + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(at + 1))
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
 
 
 #: 1 for the bytes that separate words.
@@ -167,14 +163,15 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     return mix64(out + size.astype(np.uint64)), out_offsets
 
 
-def bounds_by_id(df: DataFrame, column: str, least: int = 512) -> list[int]:
+def bounds_by_id(df: DataFrame, column: str, text: str = "text", least: int = 512, most_bytes: int = 8 << 20) -> list[int]:
     """Cut points that split ``column`` into ranges of about equal rows.
 
-    Four ranges per shuffle partition; on small tables fewer, of ``least`` rows, but no fewer
-    than partitions.
+    Four ranges per shuffle partition, more where these would hold over ``most_bytes`` of
+    ``text`` on average; on small tables fewer, of ``least`` rows, but no fewer than partitions.
     """
     most = partitions(df.sparkSession)
-    n = min(4 * most, max(most, -(-df.count() // least)))
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    n = max(min(4 * most, max(most, -(-rows // least))), -(-(size or 0) // most_bytes))
     if n < 2:
         return []
     rows = df.select(F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n)).alias("cuts")).first()

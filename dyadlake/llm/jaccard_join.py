@@ -7,27 +7,32 @@ component.
 Index. In an order that puts shingles of many prefixes last, two linked sets share one of
 their first n - ceil(t n) + 1 shingles (prefix filter), and of any first m shingles a set
 shares all but n - ceil(t n) with a partner. The first ``DEPTH`` prefix lengths make an
-inverted index dealt by shingle; a smaller partner may index fewer of them (``LEAST_LIVE``). A list is sorted by set size, so an entry meets a contiguous
-block of partners, and whole offsets are skipped where size or position leaves too little
-overlap; entries without a possible partner drop out, and so do sets with too few left. The
-sets that remain are counted once more with all their shingles, among themselves.
-
-Answers. Equal sets are one class. In a list of at most ``SMALL`` classes the possible pairs
-are written down, each once, and a class is compared with all its partners in one unit. In
-longer lists, the classes whose first long list is the same are compared as one unit, each
-class once; a list whose classes the links found so far join into one component has nothing
-left to answer and is skipped, only the others are compared as they are. Within a unit,
-overlaps come from one matrix product over shared shingles, and what leaves it is a spanning
-forest of the links: a set highly similar to another takes over that one's component.
+inverted index dealt by shingle; a smaller partner may index fewer of them (``LEAST_LIVE``).
+A list is cut into blocks of equal set size. Of a block only its least position matters: a
+block whose best entry leaves too little room behind for the overlap that two sizes need is
+skipped whole, so a list costs as many steps as it has sizes, whatever its length. Entries
+without a possible partner drop out, and so do sets with too few left; the sets that remain
+are counted once more with all their shingles, among themselves.
+
+Answers. Equal sets are one class. Each class has one home, the longest list in which it may
+link; a home is cut into cells of at most ``CELL`` sets and ``FAMILY`` shingles. In its cell a
+set is written as a leader's set plus and minus a difference (the first leader is the home's
+own, sent to each of its cells). Overlaps with the leaders are computed once; those of any
+two sets follow from them by the differences alone. Links inside cells give components.
+Then only pairs of cells that still share a list with sets of different components meet,
+each such pair once however many lists it shares, and what is sent for a set is its
+difference, with the leaders' sets once per pair of cells: answers that follow from the
+components are skipped, the others are derived from the leaders' answers.
 
 Scale: hot shingles go last in the order (at most ``HOT`` of them are broadcast, by
-construction: each stands in ``cut`` prefixes and cut grows with the corpus); units with many
-shingles are cut into blocks of ``FAMILY`` shingles and compared block by block, each block
-pair in a task. Components come from star contractions over the forest.
+construction: each stands in ``cut`` prefixes and cut grows with the corpus). A family of any
+size is sent once to its cells, and again only as differences. Components come from star
+contractions over a spanning forest of the links.
 
 Edge cases: null, empty or wordless text is an empty set and links with nothing; texts of
-1 to 3 words are one shingle; rows of equal doc_id are separate documents; an empty table
-gives an empty result. Classes are told apart by a 64-bit hash of the set.
+1 to 3 words are one shingle; rows of equal doc_id are separate documents; a null doc_id
+counts after all others (a component of such rows alone has a null id); an empty table gives
+an empty result. Shingles and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,14 +41,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, materialize, mix64, partitions, release, shingle_hashes, table, text_buffers, word_hashes
+from .common import DOC_COLUMNS, materialize, mix64, partitions, shingle_hashes, table, text_buffers, word_hashes
 
 NUM, DEN, WORDS = 85, 100, 4
 DEPTH = 2
 HOT = 1_000_000
-FAMILY = 1 << 18
-SMALL = 12
+FAMILY = 1 << 17
+CELL = 512
 SLICE = 2000
+#: Leaders that a cell looks for; sets far from all of these stand by themselves.
+LEADERS = 16
 
 #: Least number of index entries with a partner that a linked set of n shingles has: all but
 #: n - ceil(t n) of its first DEPTH prefixes, unless its smallest possible partner indexes fewer.
@@ -126,16 +133,16 @@ def _blob_batch(rows):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls for every document."""
+    """doc_id, h (hash of the text), n (set size), cls for every document."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in _slices(batches):
             grams, at = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(class_ids(grams, at))], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at)), pa.array(class_ids(grams, at))], ["doc_id", "h", "n", "cls"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, n long, cls long")
 
 
 def hot_shingles(docs: DataFrame, n: int, cut: int) -> np.ndarray:
@@ -160,42 +167,49 @@ def hot_shingles(docs: DataFrame, n: int, cut: int) -> np.ndarray:
 
 
 def possible(grams, n, position):
-    """Of index entries sorted by (shingle, size): which have a partner by size, and which
-    pairs can link with this shingle as their first common one, as (earlier, later, of a
-    list that is short); of long lists the entries only, as flags.
+    """Of index entries sorted by (shingle, size, position), one per set: which have a
+    partner by size, and which can link with this shingle as the first that both hold.
 
-    For the pairs, both entries lie in their prefixes and leave enough room behind. Step k
-    compares every entry with the one k places on. Lists end and sizes grow apart, so ever
-    fewer places remain; entries without a further partner are skipped.
+    For a link both entries lie in their prefixes and leave enough room behind. Entries of
+    one shingle and size are a block, and step k compares every block with the one k places
+    on; lists end and sizes grow apart, so ever fewer remain.
     """
-    some, long = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
-    inside = position < prefix_lengths(n)
-    start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-    short = np.repeat(np.diff(np.append(start, len(grams))) <= SMALL, np.diff(np.append(start, len(grams))))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at, k = np.arange(len(grams) - 1), 1
+    if not len(grams):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    opens = np.concatenate([[True], (grams[1:] != grams[:-1]) | (n[1:] != n[:-1])])
+    start = np.flatnonzero(opens)
+    count = np.diff(np.append(start, len(grams)))
+    block = np.cumsum(opens) - 1
+    key, size = grams[start], n[start]
+    room = np.where(position < prefix_lengths(n), n - position, -1)
+    best = room[start]  # positions ascend, so the first entry has the most room
+    second = np.where(count > 1, room[np.minimum(start + 1, len(grams) - 1)], -1)
+    some = count > 1
+    least = np.full(len(start), np.iinfo(np.int64).max)
+    at, k = np.arange(len(start) - 1), 1
     while len(at):
         a, b = at, at + k
-        near = (grams[a] == grams[b]) & (DEN * n[a] >= NUM * n[b])
+        near = (key[a] == key[b]) & (DEN * size[a] >= NUM * size[b])
         a, b = a[near], b[near]
         some[a] = True
         some[b] = True
-        fits = inside[a] & inside[b] & (np.minimum(n[a] - position[a], n[b] - position[b]) >= needed(n[a], n[b]))
-        few, many = fits & short[a], fits & ~short[a]
-        left.append(a[few])
-        right.append(b[few])
-        long[a[many]] = True
-        long[b[many]] = True
+        need = needed(size[a], size[b])
+        for own, other in ((a, b), (b, a)):
+            fits = best[other] >= need
+            np.minimum.at(least, own[fits], need[fits])
         k += 1
-        at = a[a + k < len(grams)]
-    return some, long, np.concatenate(left), np.concatenate(right)
+        at = a[a + k < len(start)]
+    own = needed(n, n)
+    partner = np.where(opens, second[block], best[block])
+    links = (room >= 0) & ((room >= least[block]) | (np.minimum(room, partner) >= own))
+    return some[block], links
 
 
 def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
     """What the index lists say, as rows of (kind, key, cls).
 
-    kind 0: class ``cls`` has ``key`` entries with a partner by size; 1: classes ``key`` and
-    ``cls`` may link; 2: ``cls`` stands in the long list of shingle ``key``.
+    kind 0: class ``cls`` has ``key`` entries with a partner by size; 1: ``cls`` may link in
+    the list of shingle ``key``.
     """
     last = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -217,17 +231,15 @@ def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         import pyarrow as pa
 
         grams, ids, size, position = _undealt(t, ["u8", "i8", "u4", "u4"])
-        order = np.lexsort((ids, size, grams))
+        order = np.lexsort((ids, position, size, grams))
         grams, ids, size, position = grams[order], ids[order], size[order].astype(np.int64), position[order].astype(np.int64)
         own = np.ones(len(grams), bool)  # equal sets count once
         own[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
         grams, ids, size, position = grams[own], ids[own], size[own], position[own]
-        some, long, left, right = possible(grams, size, position)
+        some, links = possible(grams, size, position)
         own, times = np.unique(ids[some], return_counts=True)
-        pairs = np.unique(np.stack([np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])]), axis=1)
-        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(own), pairs.shape[1], int(long.sum())])
-        keys = np.concatenate([times, pairs[0], grams[long].view(np.int64)])
-        return pa.table([pa.array(kinds), pa.array(keys), pa.array(np.concatenate([own, pairs[1], ids[long]]))], ["kind", "key", "cls"])
+        kinds = np.repeat(np.array([0, 1], np.int32), [len(own), int(links.sum())])
+        return pa.table([pa.array(kinds), pa.array(np.concatenate([times, grams[links].view(np.int64)])), pa.array(np.concatenate([own, ids[links]]))], ["kind", "key", "cls"])
 
     return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "kind int, key long, cls long")
 
@@ -270,38 +282,98 @@ def supported(sets: DataFrame, n: int) -> DataFrame:
     return counts.groupBy("bucket").applyInArrow(total, "cls long, shared long")
 
 
-def compare_sets(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sides 0 and 1 (or within side 2): (child, root).
+def product(a: list[np.ndarray], a_sign: list[np.ndarray], b: list[np.ndarray], b_sign: list[np.ndarray]) -> np.ndarray:
+    """Sums over common elements of the product of signs, for every list of a with every of b.
 
-    Overlaps of all pairs are a matrix product over the shingles that at least two sets
-    hold, a block of shingles at a time.
+    A matrix product over the elements that both sides hold, a stretch of them at a time.
+    """
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(a) or not len(b):
+        return out
+    own = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b)]
+    flat, sign = [np.concatenate(x) for x in (a, b)], [np.concatenate(x) for x in (a_sign, b_sign)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(both):
+        return out
+    place = []
+    for k in (0, 1):
+        column = np.minimum(np.searchsorted(both, flat[k]), len(both) - 1)
+        keep = both[column] == flat[k]
+        order = np.argsort(column[keep], kind="stable")
+        place.append((column[keep][order], own[k][keep][order], sign[k][keep][order]))
+    width = 1024
+    for at in range(0, len(both), width):
+        sides = []
+        for (column, owner, sign_), rows in zip(place, (len(a), len(b)), strict=True):
+            lo, hi = np.searchsorted(column, [at, at + width])
+            m = np.zeros((rows, min(width, len(both) - at)), np.float32)
+            m[owner[lo:hi], column[lo:hi] - at] = sign_[lo:hi]
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+class Coded:
+    """Sets written as a leader's set with a difference: elements and signs (+1 more, -1 less)."""
+
+    def __init__(self, leaders: list[np.ndarray], leader: np.ndarray, elements: list[np.ndarray], signs: list[np.ndarray], size: np.ndarray):
+        self.leaders, self.leader, self.elements, self.signs, self.size = leaders, leader, elements, signs, size
+
+    def overlaps(self, other: Coded) -> np.ndarray:
+        """Overlap of every set here with every set of ``other``: the leaders' overlap,
+        corrected by the differences."""
+        plain = lambda sets: [np.ones(len(s), np.int8) for s in sets]
+        at, there = self.leader[:, None], other.leader[None, :]
+        out = product(self.leaders, plain(self.leaders), other.leaders, plain(other.leaders))[at, there]
+        out += product(self.elements, self.signs, other.leaders, plain(other.leaders))[:, other.leader]
+        out += product(self.leaders, plain(self.leaders), other.elements, other.signs)[self.leader]
+        # what the differences have in common can't exceed the shorter one: most pairs are settled
+        slack = np.minimum(np.array([len(x) for x in self.elements])[:, None], np.array([len(x) for x in other.elements])[None, :])
+        least = NUM * (self.size[:, None] + other.size[None, :])
+        open_ = ((NUM + DEN) * (out + slack) >= least) & ((NUM + DEN) * (out - slack) < least)
+        rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if len(rows):
+            out[np.ix_(rows, cols)] += product([self.elements[i] for i in rows], [self.signs[i] for i in rows], [other.elements[i] for i in cols], [other.signs[i] for i in cols])
+        return out
+
+    def links(self, other: Coded) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero((NUM + DEN) * self.overlaps(other).astype(np.int64) >= NUM * (self.size[:, None] + other.size[None, :]))
+
+
+def coded(sets: list[np.ndarray], least: int = 2) -> Coded:
+    """Leaders for the sets of a cell, the first set being the first leader.
+
+    A set follows a leader if the difference is at most half of it.
     """
     size = np.array([len(s) for s in sets], np.int64)
-    own, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    shared = times[which] > 1
-    column, owner = (np.cumsum(times > 1) - 1)[which[shared]], owner[shared]
-    within = bool((sides == 2).all())
-    rows, cols = (np.arange(len(sets)),) * 2 if within else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
-    row_at, col_at = np.full(len(sets), -1), np.full(len(sets), -1)
-    row_at[rows], col_at[cols] = np.arange(len(rows)), np.arange(len(cols))
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    overlap, width = np.zeros((len(rows), len(cols)), np.float32), 2048
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [a, a + width])
-        c, o = column[lo:hi] - a, owner[lo:hi]
-        span = int(c.max()) + 1
-        left, right = np.zeros((len(rows), span), np.float32), np.zeros((span, len(cols)), np.float32)
-        mine = row_at[o] >= 0
-        left[row_at[o[mine]], c[mine]] = 1
-        mine = col_at[o] >= 0
-        right[c[mine], col_at[o[mine]]] = 1
-        overlap += left @ right
-    link = (NUM + DEN) * overlap.astype(np.int64) >= NUM * (size[rows][:, None] + size[cols][None, :])
-    i, j = np.nonzero(link)
-    i, j = rows[i], cols[j]
-    label = np.arange(len(sets))
+    leader = np.full(len(sets), -1)
+    leaders: list[np.ndarray] = []
+    elements: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sets)
+    signs: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sets)
+    while (leader < 0).any():
+        left = np.flatnonzero(leader < 0)
+        if len(leaders) >= LEADERS:
+            leader[left] = len(leaders) + np.arange(len(left))
+            leaders += [sets[i] for i in left]
+            break
+        lead = sets[left[0]]
+        for i in left.tolist():
+            at = np.minimum(np.searchsorted(lead, sets[i]), len(lead) - 1)
+            has = lead[at] == sets[i]
+            gap = len(sets[i]) + len(lead) - 2 * int(has.sum())
+            if least * gap <= len(sets[i]) or i == left[0]:
+                lost = np.ones(len(lead), bool)
+                lost[at[has]] = False
+                elements[i] = np.concatenate([sets[i][~has], lead[lost]])
+                signs[i] = np.repeat(np.array([1, -1], np.int8), [int((~has).sum()), int(lost.sum())])
+                leader[i] = len(leaders)
+        leaders.append(lead)
+    return Coded(leaders, leader, elements, signs, size)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of links among n nodes: (child, root)."""
+    label = np.arange(n)
     while True:  # the least label spreads over links
         new = label.copy()
         np.minimum.at(new, i, label[j])
@@ -310,44 +382,108 @@ def compare_sets(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray,
         if (new == label).all():
             break
         label = new
-    child = np.flatnonzero(label != np.arange(len(sets)))
+    child = np.flatnonzero(label != np.arange(n))
     return child, label[child]
 
 
-def verified(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """u, v: links among the classes of each unit.
+def _runs(column) -> list[tuple[int, int]]:
+    """(first, last + 1) of each run of equal values."""
+    values = column.to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def cells(homes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """cls, cell, n, leader (a class), elements, signs, root (a link inside the cell) per class.
+
+    ``homes``: cls, home, n. ``sets``: cls, grams. The class that leads a home is a guest in
+    all cells of it.
+    """
+    size = homes.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / FAMILY), F.ceil(F.count("*") / CELL)).alias("b"), F.min("cls").alias("first"))
+    seats = homes.join(size, "home").withColumn("at", F.pmod(F.xxhash64("cls", "home"), "b"))
+    guests = size.filter("b > 1").select(F.col("first").alias("cls"), "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("at"), F.lit(True).alias("guest"))
+    seats = seats.select("cls", "home", "at", F.lit(False).alias("guest")).unionByName(guests).withColumn("cell", F.xxhash64("home", "at"))
+    first = size.select("home", "first")
+    seats = seats.join(first, "home").select("cls", "cell", "guest", (F.col("first") == F.col("cls")).alias("leads"))
+
+    def run(key, t):
+        import pyarrow as pa
 
-    ``members``: unit, cls, n (may repeat). ``sets``: cls, grams. A unit of many shingles is
-    cut into blocks, and each pair of blocks is a task.
+        t = t.sort_by([("cell", "ascending"), ("leads", "descending"), ("guest", "ascending"), ("cls", "ascending")])
+        out = []
+        for a, b in _runs(t.column("cell")):
+            part = t.slice(a, b - a).combine_chunks()
+            ids, guest = part.column("cls").to_numpy(), part.column("guest").to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # the home's leader may be guest at its own cell
+            ids, guest = ids[own], guest[own]
+            sets_ = [np.frombuffer(g, np.uint64) for g in part.column("grams").take(pa.array(own)).to_pylist()]
+            c = coded(sets_)
+            child, root = forest(len(ids), *c.links(c))
+            tree = ids.copy()
+            tree[child] = ids[root]
+            lead = np.zeros(len(c.leaders), np.int64)
+            for i in range(len(ids) - 1, -1, -1):
+                if not len(c.elements[i]):
+                    lead[c.leader[i]] = ids[i]
+            keep = np.flatnonzero(~guest | (tree != ids))
+            out.append(pa.table([pa.array(ids[keep]), pa.array([part.column("cell")[0].as_py()] * len(keep), pa.int64()), pa.array(c.size[keep]), pa.array(lead[c.leader[keep]]), pa.array([c.elements[i].tobytes() for i in keep], pa.binary()), pa.array([c.signs[i].tobytes() for i in keep], pa.binary()), pa.array(tree[keep]), pa.array(guest[keep])], ["cls", "cell", "n", "leader", "elements", "signs", "root", "guest"]))
+        return pa.concat_tables(out)
+
+    group = F.pmod(F.col("cell"), F.lit(16 * parts)).alias("g")
+    return sets.join(seats, "cls").select(group, "cell", "cls", "guest", "leads", "grams").groupBy("g").applyInArrow(run, "cls long, cell long, n long, leader long, elements binary, signs binary, root long, guest boolean")
+
+
+def across(lists: DataFrame, seated: DataFrame, roots: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """u, v: links between sets of different cells and components that share a list.
+
+    ``lists``: key, cls; ``seated``: the cells' classes; ``roots``: node, root of links so far.
     """
-    members = members.distinct()
-    size = members.groupBy("unit").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks"), F.count("*").alias("k")).filter("k > 1")
-    seats = members.join(size, "unit").withColumn("b", F.pmod(F.xxhash64("cls", "unit"), "blocks"))
-    # block b meets every block: as side 0 those after it, as side 1 those before it, as side 2 itself
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
-    seats = seats.select("unit", "cls", "b", other)
-    lo, hi = F.least("b", "o"), F.greatest("b", "o")
-    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    seats = seats.select("cls", F.xxhash64("unit", lo, hi).alias("task"), side.alias("side"))
-    # block b against itself comes along in its own task, so across blocks only sides 0 and 1 meet
-
-    def verify(key, t):
+    at = seated.select("cls", "cell").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    at = lists.join(at, "cls")
+    open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cell").alias("c0"), F.max("cell").alias("c1")).filter("lo <> hi and c0 <> c1").select("key")
+    at = materialize(at.join(open_, "key"), "jaccard-open")
+    # per list and cell the span of its components tells whether another cell has a different one
+    span = at.groupBy("key", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    other = span.select("key", F.col("cell").alias("cell2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = span.join(other, "key").filter("cell < cell2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    meet = materialize(meet.select("key", "cell", "cell2"), "jaccard-meet")
+    unit = F.xxhash64("cell", "cell2").alias("unit")
+    sides = F.explode(F.array(F.struct(F.col("cell").alias("c"), F.lit(0).alias("side")), F.struct(F.col("cell2").alias("c"), F.lit(1).alias("side")))).alias("s")
+    seats = meet.select("key", unit, sides).select("key", "unit", F.col("s.c").alias("cell"), F.col("s.side").alias("side"))
+    members = at.select("key", "cell", "cls", "root").join(seats, ["key", "cell"]).select("unit", "side", "cls", "root").distinct()
+    members = materialize(members.join(seated.select("cls", "n", "leader", "elements", "signs"), "cls"), "jaccard-differences")
+    leaders = members.select("unit", "side", "leader").distinct().join(sets.withColumnRenamed("cls", "leader"), "leader")
+    nothing = F.lit(None)
+    rows = members.select("unit", "side", "leader", "cls", "root", "n", "elements", "signs").unionByName(
+        leaders.select("unit", "side", "leader", nothing.cast("long").alias("cls"), nothing.cast("long").alias("root"), nothing.cast("long").alias("n"), F.col("grams").alias("elements"), nothing.cast("binary").alias("signs"))
+    )
+
+    def run(key, t):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        t = t.sort_by("task")
-        task = t.column("task").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
-        grams, side, ids = t.column("grams").to_pylist(), t.column("side").to_numpy(), t.column("cls").to_numpy()
+        t = t.sort_by([("unit", "ascending"), ("side", "ascending"), ("cls", "ascending")])
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                child, root = compare_sets([np.frombuffer(g, np.uint64) for g in grams[a:b]], side[a:b])
-                u.append(ids[a:b][child])
-                v.append(ids[a:b][root])
+        for a, b in _runs(t.column("unit")):
+            part = t.slice(a, b - a)
+            sides = []
+            for side in (0, 1):
+                mine = part.filter(pc.equal(part.column("side"), side))
+                lead, own = mine.filter(pc.is_null(mine.column("cls"))), mine.filter(pc.is_valid(mine.column("cls")))
+                names = {x: i for i, x in enumerate(lead.column("leader").to_pylist())}
+                where = np.array([names[x] for x in own.column("leader").to_pylist()])
+                c = Coded([np.frombuffer(g, np.uint64) for g in lead.column("elements").to_pylist()], where, [np.frombuffer(g, np.uint64) for g in own.column("elements").to_pylist()], [np.frombuffer(g, np.int8) for g in own.column("signs").to_pylist()], own.column("n").to_numpy())
+                sides.append((c, own.column("cls").to_numpy(), own.column("root").to_numpy()))
+            (c, ids, root), (d, ids2, root2) = sides
+            i, j = c.links(d)
+            new = root[i] != root2[j]
+            child, top = forest(len(ids) + len(ids2), i[new], len(ids) + j[new])
+            every = np.concatenate([ids, ids2])
+            u.append(every[child])
+            v.append(every[top])
         return pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    group = F.pmod(F.col("task"), F.lit(16 * parts)).alias("g")
-    return sets.join(seats, "cls").select(group, "task", "side", "cls", "grams").groupBy("g").applyInArrow(verify, "u long, v long")
+    return rows.withColumn("g", F.pmod("unit", F.lit(16 * parts))).groupBy("g").applyInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,8 +507,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), n, root (of its component; null for an empty set) per row."""
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -381,7 +517,6 @@ def join(docs: DataFrame) -> DataFrame:
     entries = every.agg(F.sum(F.expr(f"n - ceil({NUM} * n / {DEN}) + 1"))).first()[0] or 0
     hot = hot_shingles(docs, parts, max(32, -(-int(entries) // HOT)))
     said = materialize(live_entries(docs, hot, parts), "jaccard-said")
-    release(spark)
     misses = F.expr(f"n - ceil({NUM} * n / {DEN})")
     live = said.filter("kind = 0").groupBy("cls").agg(F.sum("key").alias("live")).join(held, "cls")
     live = materialize(live.filter(F.expr(f"live >= {LEAST_LIVE}")).select("cls", "rep", "n"), "jaccard-alive")
@@ -394,44 +529,45 @@ def join(docs: DataFrame) -> DataFrame:
             packed = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(class_ids(grams, at)), pa.array(packed, pa.binary()), batch.column(1)], ["cls", "grams", "want"])
 
-    sets = docs.join(live.select(F.col("rep").alias("doc_id"), F.col("cls").alias("want")), "doc_id").select("text", "want")
+    sets = docs.join(live.select(F.col("rep"), F.col("cls").alias("want")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
     sets = sets.mapInArrow(to_sets, "cls long, grams binary, want long").filter("cls = want").drop("want")
     sets = materialize(sets.dropDuplicates(["cls"]), "jaccard-sets")  # rows of one doc_id may be equal
-    release(spark)
-    live = materialize(live.join(supported(sets, parts), "cls").filter(F.col("shared") >= F.col("n") - misses).select("cls", "n"), "jaccard-supported")
-    release(spark)
-    pairs = said.filter("kind = 1").select("key", "cls").distinct().join(live, "cls").join(live.select(F.col("cls").alias("key"), F.col("n").alias("n2")), "key")
-    lists = materialize(said.filter("kind = 2").select("key", "cls").join(live, "cls"), "jaccard-lists")
-    star = lambda kind, key: F.xxhash64(F.lit(kind), key).alias("unit")
-    both = F.explode(F.array(F.struct("cls", "n"), F.struct(F.col("key").alias("cls"), F.col("n2").alias("n")))).alias("m")
-    first = lists.groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    members = pairs.select(star("pair", "key"), both).select("unit", "m.*").unionByName(first.select(star("list", "key"), "cls", "n"))
-    members = materialize(members, "jaccard-members")
-    links = materialize(verified(members, sets, parts), "jaccard-links")
-    release(spark)
-    if lists.take(1):
-        # long lists that the links so far do not join into one component
-        roots = components(links)
-        at = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        # (lists of the same classes are one unit, told by an order-free hash of their members)
-        same = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).cast("string")
-        open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.lit("rest"), F.count("*"), same).alias("unit")).filter("lo <> hi").select("key", "unit")
-        rest = lists.join(open_, "key").select("unit", "cls", "n")
-        links = links.unionByName(materialize(verified(rest, sets, parts), "jaccard-rest"))
-        release(spark)
-    roots = components(links)
-    known = materialize(held.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jaccard-known")
-    lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    out = every.join(known.join(lowest, "root").select("cls", "component_id"), "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    live = live.join(supported(sets, parts), "cls").filter(F.col("shared") >= F.col("n") - misses).select("cls", "n")
+    lists = materialize(said.filter("kind = 1").select("key", "cls").join(live, "cls"), "jaccard-lists")
+    length = lists.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+    lists = materialize(lists.join(length, "key"), "jaccard-long")
+    homes = lists.groupBy("cls").agg(F.max(F.struct("k", "key"))["key"].alias("home"), F.max("n").alias("n"))
+    seated = materialize(cells(homes, sets, parts), "jaccard-cells")
+    links = seated.filter("root <> cls").select(F.col("cls").alias("u"), F.col("root").alias("v"))
+    more = across(lists.select("key", "cls"), seated.filter("not guest"), components(links), sets, parts)
+    roots = components(links.unionByName(materialize(more, "jaccard-links")))
+    out = every.join(roots, F.col("cls") == F.col("node"), "left")
+    return materialize(out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")), "jaccard-linked")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    rows = linked(docs)
+    lowest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    rows = rows.join(lowest, "root", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the least of their component, with the columns of ``documents``."""
-    found = join(docs).select("doc_id", "component_id").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    found = found.withColumnRenamed("doc_id", "_id")
-    kept = docs.select(*DOC_COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each component, with the columns of ``documents``: the least doc_id, and of
+    its rows one text. Documents without words stay."""
+    docs = docs.select(*DOC_COLUMNS)
+    rows = linked(docs).filter("root is not null")
+    times = rows.groupBy("root", "doc_id", "h").agg(F.count("*").alias("k"))
+    last = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    first = times.groupBy("root").agg(F.min(last).alias("first"))
+    times = times.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (last == F.col("first")).alias("wins"), "k").filter("not wins or k > 1")
+    times = materialize(times, "jaccard-others")
+    docs = docs.withColumn("_t", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
+    alone = docs.join(times, same, "left_anti")
+    repeated = docs.join(times.filter("wins"), same, "left_semi").dropDuplicates(["doc_id", "_t"])
+    return alone.unionByName(repeated).drop("_t")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

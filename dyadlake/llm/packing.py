@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
 
         encoder = Encoder.of(vocabulary)
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
+            ids_of, texts = batch.column(0), (x.as_py() for x in batch.column(1))  # one text at a time
             for first, ids, offsets in encoder.encode(texts):
                 data, crcs = ids.astype("<u4").data, []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

@@ -2,15 +2,15 @@
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts earlier in the corpus. Only
 the order of suffixes up to LENGTH bytes matters, and only whether neighbours are equal, so
-ranks are replaced by 64-bit names (hashes) that any task can compute by itself:
+ranks are replaced by names (hashes) that any task can compute by itself:
 
 1. Sort the sample. Positions whose offset modulo ``MODULUS`` lies in the difference cover
    ``COVER`` give a tuple of ``TUPLE`` bytes. Any two positions have a common shift below
    MODULUS after which both are sampled, so two equal LENGTH-byte strings show the sample at
    least one equal tuple (TUPLE = LENGTH - MODULUS + 1). The tuples' names are dealt by value,
    sorted, and those that occur once are dropped.
-   Whole texts are named and compared in the same way: a text that occurs before needs no
-   further look.
+   Whole texts are named by 128 bits of a cryptographic hash and compared in the same way:
+   a text that occurs before needs no further look.
 2. Recurse on the names that are left: a position stays only if a repeated tuple lies within
    its string, which removes unique text before any string is named.
 3. Merge: the strings of the positions that stay are named, dealt by value, sorted together
@@ -19,12 +19,15 @@ ranks are replaced by 64-bit names (hashes) that any task can compute by itself:
 4. In each part, strings seen in an earlier part or earlier in the part are marked and the
    bytes under them removed.
 
-Scale: the corpus is cut by doc_id into ranges (parts), the shuffled unit. What moves is 4
-bytes per sampled tuple (1 of 7 positions) and 8 per position that may repeat, less what
-compression takes, each name
-once per part, so a passage that a third of all documents hold is one entry per part, in
-buckets that are even by hash. Two tuples of one bucket with equal 32 bits only keep a
-position for step 3; there all 64 bits count.
+A string's name joins two polynomials modulo 2**31 - 1 at points drawn anew for each run, so
+no text can be made to collide: different strings meet with a chance of about 2**-62.
+
+Scale: the corpus is cut by doc_id into ranges (parts) of at most some 8 MB on average, the
+shuffled unit. What moves is 4 bytes per sampled tuple (1 of 7 positions) and 8 per position
+that may repeat, less what compression takes, each name once per part, so a passage that a
+third of all documents hold is one entry per part, in buckets that are even by hash and as
+many as the bytes need. Two tuples of one bucket with equal 32 bits only keep a position for
+step 3.
 
 Edge cases: null text is empty; texts below LENGTH bytes stay whole; rows of one doc_id
 are ordered by text; an empty table gives an empty result; null doc_ids come first.
@@ -32,49 +35,78 @@ are ordered by text; an empty table gives an empty result; null doc_ids come fir
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounds_by_id, materialize, mix64, partitions, release, table
+from .common import bounds_by_id, materialize, mix64, partitions, table
 
 LENGTH = 100
 #: A perfect difference set: every residue modulo 57 is a difference of two members.
 MODULUS, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 TUPLE = LENGTH - MODULUS + 1
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_BLOCK = 1 << 21
-_STATE: dict[str, np.ndarray] = {}
+#: The modulus of the names, 2**31 - 1. A name joins two polynomials at random points.
+_PRIME = np.uint64((1 << 31) - 1)
+_BLOCK = 1 << 20
+#: Bytes of text for each bucket of names, where the table is large.
+_PER_BUCKET = 48 << 20
+_WHOLE = np.dtype([("a", "<u8"), ("b", "<u8")])
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo _PRIME, in place, up to one _PRIME more."""
+    for _ in range(2):
+        low = x & _PRIME
+        x >>= np.uint64(31)
+        x += low
+    return x
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    key = hex(base)
-    have = _STATE.get(key)
+    """Powers 0..n-1 of ``base``, modulo _PRIME; kept for the blocks of one task."""
+    have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(n, _BLOCK + 4096), np.uint64)
-        have[1:] = np.uint64(base)
-        np.multiply.accumulate(have, out=have)
-        _STATE[key] = have
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME])
+        _POWERS[base] = have
     return have[:n]
 
 
-def _byte_values() -> np.ndarray:
-    if "bytes" not in _STATE:
-        _STATE["bytes"] = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-    return _STATE["bytes"]
+def new_key() -> tuple[int, int]:
+    """Two random points, drawn anew for each run, so no text can be made to collide."""
+    return 2 + secrets.randbelow(int(_PRIME) - 3), 2 + secrets.randbelow(int(_PRIME) - 3)
 
 
 class Names:
-    """Names of substrings of one block of texts by prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * _power(_BASE, len(data)), out=self.sums[1:])
+    """Names of substrings of one block of texts: two polynomials modulo 2**31 - 1."""
+
+    def __init__(self, data: np.ndarray, key: tuple[int, int]):
+        self.key, self.sums = key, []
+        for base in key:
+            sums, carry, powers = np.zeros(len(data) + 1, np.uint32), np.uint64(0), _power(base, len(data))
+            for at in range(0, len(data), 1 << 20):  # 2**20 terms below 2**40 keep the sum in 64 bits
+                some = np.cumsum((data[at : at + (1 << 20)].astype(np.uint64) + np.uint64(1)) * powers[at : at + (1 << 20)])
+                some += carry
+                sums[at + 1 : at + 1 + len(some)] = _fold(some)
+                carry = some[-1]
+            self.sums.append(sums)
 
     def at(self, start: np.ndarray, length: int) -> np.ndarray:
-        return mix64((self.sums[start + length] - self.sums[start]) * _power(_INVERSE, len(self.sums))[start])
+        halves = []
+        for base, sums in zip(self.key, self.sums, strict=True):
+            back = _power(pow(base, -1, int(_PRIME)), len(sums))
+            x = sums[start + length].astype(np.uint64) + np.uint64(2) * _PRIME - sums[start]
+            x *= back[start]
+            _fold(_fold(x))
+            x[x >= _PRIME] -= _PRIME
+            halves.append(x)
+        return mix64((halves[0] << np.uint64(32)) | halves[1])
 
 
 def blocks(ends: np.ndarray):
@@ -152,15 +184,11 @@ class Part:
             yield np.concatenate([[begin], self.ends[a:b]]) - begin, self.data[begin : int(self.ends[b - 1])], begin
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """(documents of at least LENGTH bytes, names of their whole texts)."""
-        which, names, first = [], [], 0
-        for offsets, data, _ in self.blocks():
-            size = np.diff(offsets)
-            long = np.flatnonzero(size >= LENGTH)
-            names.append(Names(data).at(offsets[long], size[long]) + mix64(size[long].astype(np.uint64)))
-            which.append(long + first)
-            first += len(size)
-        return (np.concatenate(which), np.concatenate(names)) if which else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        """(documents of at least LENGTH bytes, 128-bit cryptographic hashes of their texts)."""
+        long, data = np.flatnonzero(self.lengths >= LENGTH), self.data.tobytes()
+        ends = self.ends[long]
+        hashes = [hashlib.blake2b(data[b - n : b], digest_size=16).digest() for b, n in zip(ends.tolist(), self.lengths[long].tolist(), strict=True)]
+        return long, np.frombuffer(b"".join(hashes), _WHOLE)
 
     def copies(self, bits: dict[int, bytes], n: int) -> np.ndarray:
         """True for documents whose whole text stands before, in this part or an earlier one."""
@@ -169,7 +197,7 @@ class Part:
         out[which] = seen_before(names, bits, n)
         return out
 
-    def candidates(self, repeated: np.ndarray, n: int, skip: np.ndarray):
+    def candidates(self, repeated: np.ndarray, n: int, skip: np.ndarray, key: tuple[int, int]):
         """Per block: positions whose string holds a repeated tuple, and their names.
 
         Documents in ``skip`` are left out.
@@ -180,7 +208,7 @@ class Part:
             first += len(mine)
             if len(data) < LENGTH:
                 continue
-            names = Names(data)
+            names = Names(data, key)
             at = sampled(offsets, TUPLE)
             keys = tuple_keys(names, at, n)
             where = np.minimum(np.searchsorted(repeated, keys), max(len(repeated) - 1, 0))
@@ -250,8 +278,9 @@ def parts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.mapInArrow(ranges, kind).groupBy("part").applyInArrow(gather, kind)
 
 
-def repeated_tuples(parts: DataFrame, n: int) -> DataFrame:
+def repeated_tuples(parts: DataFrame, n: int, key: tuple[int, int]) -> DataFrame:
     """part, bucket, values: the part's sampled tuples that the sample holds twice or more."""
+    names_key = key
 
     def sample(batches):
         import pyarrow as pa
@@ -261,7 +290,7 @@ def repeated_tuples(parts: DataFrame, n: int) -> DataFrame:
                 row = {k: batch.column(batch.schema.get_field_index(k))[i].as_py() for k in ("part", "ids", "lengths", "data")}
                 keys = []
                 for offsets, data, _ in Part(row).blocks():
-                    keys.append(tuple_keys(Names(data), sampled(offsets, TUPLE), n))
+                    keys.append(tuple_keys(Names(data, names_key), sampled(offsets, TUPLE), n))
                 keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
                 keys = keys[(keys != np.concatenate([[~keys[0]], keys[:-1]])) | _second(keys)] if len(keys) else keys  # each at most twice
                 out = [(b, planes(v.astype(np.uint32), 4)) for b, v in split_by_bucket((keys >> np.uint64(32)).astype(np.int64), keys, n)]
@@ -298,13 +327,18 @@ def _merged_tuples(t) -> np.ndarray:
 
 
 def _string_bucket(names: np.ndarray, n: int) -> np.ndarray:
+    names = names["a"] if names.dtype == _WHOLE else names
     return ((names >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
+def _packed(names: np.ndarray) -> bytes:
+    return names.tobytes() if names.dtype == _WHOLE else planes(names, 8)
+
+
 def _dealt_names(names: np.ndarray, part: int, n: int) -> list[list]:
     """(bucket, part, packed names) of the distinct names of a part."""
     names = np.unique(names)
-    return [[b, part, planes(v, 8)] for b, v in split_by_bucket(_string_bucket(names, n), names, n)]
+    return [[b, part, _packed(v)] for b, v in split_by_bucket(_string_bucket(names, n), names, n)]
 
 
 def _names_table(rows: list[list], batch: bool = False):
@@ -337,14 +371,14 @@ def _tuples_of(t) -> np.ndarray:
     return _merged_tuples(t.filter(pc.equal(t.column("kind"), 1)))
 
 
-def _found_earlier(named: DataFrame) -> DataFrame:
+def _found_earlier(named: DataFrame, whole: bool) -> DataFrame:
     """part, bucket, vals: bits over the part's sorted names, set if an earlier part has it."""
 
     def compare(key, t):
         import pyarrow as pa
 
         rows = sorted(zip(t.column("part").to_pylist(), t.column("vals").to_pylist(), strict=True), key=lambda r: r[0])
-        lists = [from_planes(v, 8) for _, v in rows]
+        lists = [np.frombuffer(v, _WHOLE) if whole else from_planes(v, 8) for _, v in rows]
         every = np.concatenate(lists)
         order = np.argsort(every, kind="stable")  # equal names stand together, the earliest part first
         ranked = every[order]
@@ -366,24 +400,25 @@ def earlier_texts(parts: DataFrame, n: int) -> DataFrame:
                 row = {k: batch.column(batch.schema.get_field_index(k))[i].as_py() for k in ("part", "ids", "lengths", "data")}
                 yield _names_table(_dealt_names(Part(row).whole()[1], row["part"], n), batch=True)
 
-    return _found_earlier(parts.mapInArrow(name, "bucket int, part int, vals binary"))
+    return _found_earlier(parts.mapInArrow(name, "bucket int, part int, vals binary"), True)
 
 
-def earlier_strings(parts: DataFrame, known: DataFrame, n: int) -> DataFrame:
+def earlier_strings(parts: DataFrame, known: DataFrame, n: int, names_key: tuple[int, int]) -> DataFrame:
     """Which strings of a part an earlier part has; ``known``: repeated tuples and texts."""
 
     def name(key, left, right):
         rows = []
         for row in left.select(["ids", "lengths", "data"]).to_pylist():
             part = Part(row)
-            found = [names for _, names in part.candidates(_tuples_of(right), n, part.copies(_answers(right, 3), n))]
+            found = [names for _, names in part.candidates(_tuples_of(right), n, part.copies(_answers(right, 3), n), names_key)]
             rows += _dealt_names(np.concatenate(found) if found else np.zeros(0, np.uint64), key[0].as_py(), n)
+        _POWERS.clear()
         return _names_table(rows)
 
-    return _found_earlier(parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(name, "bucket int, part int, vals binary"))
+    return _found_earlier(parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(name, "bucket int, part int, vals binary"), False)
 
 
-def remove(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
+def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, int]) -> DataFrame:
     """doc_id, rest, n_bytes, n_removed, n_spans, kept (binary) of every document."""
     rest = parts.schema["rest"].dataType.elementType.simpleString()
 
@@ -394,7 +429,7 @@ def remove(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
         for row in left.to_pylist():
             part = Part(row)
             copies = part.copies(_answers(right, 3), n)
-            found = list(part.candidates(_tuples_of(right), n, copies))
+            found = list(part.candidates(_tuples_of(right), n, copies, names_key))
             position = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
             names = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
             start = position[seen_before(names, _answers(right, 2), n)]
@@ -412,6 +447,7 @@ def remove(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
             kept = np.concatenate([[0], np.cumsum(part.lengths - (removed[part.ends] - removed[begins]))])
             texts = [keep[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
             tables.append(pa.table([pa.array(row["ids"], pa.int64()), left.column("rest").combine_chunks().flatten(), pa.array(part.lengths), pa.array(removed[part.ends] - removed[begins]), pa.array(spans[part.ends] - spans[begins]), pa.array(texts, pa.binary())], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]))
+        _POWERS.clear()
         return pa.concat_tables(tables) if tables else None
 
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, f"doc_id long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -419,18 +455,16 @@ def remove(parts: DataFrame, answers: DataFrame, n: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with the bytes kept; ``keep`` names string columns to carry in ``rest``."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    spark, key = docs.sparkSession, new_key()
     parts = materialize(parts_of(docs, keep), "suffix-parts")
-    release(spark)
-    tuples = materialize(repeated_tuples(parts, n), "suffix-tuples")
-    release(spark)
+    size = parts.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n = max(partitions(spark), -(-size // _PER_BUCKET))
+    tuples = materialize(repeated_tuples(parts, n, key), "suffix-tuples")
     texts = materialize(earlier_texts(parts, n), "suffix-texts")
     known = tuples.withColumn("kind", F.lit(1)).unionByName(texts.withColumn("kind", F.lit(3)))
-    strings = materialize(earlier_strings(parts, known, n), "suffix-strings")
-    release(spark)
+    strings = materialize(earlier_strings(parts, known, n, key), "suffix-strings")
     answers = known.unionByName(strings.withColumn("kind", F.lit(2)))
-    return remove(parts, answers, n)
+    return remove(parts, answers, n, key)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

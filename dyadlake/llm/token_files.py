@@ -103,7 +103,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, length: in
         with store.open_output_stream(f"{root}/.{name}.ids") as sink:
             writer = SequenceWriter(sink, length, width)
             for batch in t.select(["text"]).to_batches(max_chunksize=2048):
-                for _, ids, offsets in encoder.encode(batch.column(0).to_pylist()):
+                for _, ids, offsets in encoder.encode(x.as_py() for x in batch.column(0)):
                     writer.add(ids)
                     counts.append(np.diff(offsets))
             writer.close()

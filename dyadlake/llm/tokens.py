@@ -6,7 +6,9 @@ there, each distinct piece goes to the library once per worker, and a text's ids
 pieces' ids joined. Texts with white space other than blank, tab and the line ends \\n, \\v,
 \\f, \\r could be cut differently by the library's patterns, so they go to it whole.
 
-Memory: the pieces known to a worker are bounded by ``KNOWN``; beyond that it starts anew.
+Memory: texts are read in runs of about ``RUN_BYTES``, and what a worker knows is bounded by
+``KNOWN_BYTES``: where a run's new pieces would exceed it, the worker starts anew before it
+learns them. A piece of its own length above ``LONG`` is encoded but not kept.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from itertools import chain
 import numpy as np
 
 END = 2
-KNOWN = 1_000_000
+RUN_BYTES = 1 << 20
+KNOWN_BYTES = 24 << 20
+LONG = 256
+#: What a known piece costs besides its characters: dictionary entry, number and ids.
+_ENTRY = 160
 
 _WS, _LATIN = r"[ \t\n\x0b\f\r]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _PIECE = re.compile(rf"{_WS}*{_LATIN}++(?=[.,]?(?:{_WS}|\Z))|{_WS}*[^ \t\n\x0b\f\r]+|{_WS}+")
@@ -70,17 +76,17 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.length = np.zeros(1 << 18, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.used = self.cost = self.longest = 0
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.direct else []
         others = [p for p in pieces if not _PLAIN.fullmatch(p)] if self.direct else pieces
         self._keep(plain, [self._word(p) for p in plain])
-        for i in range(0, len(others), 20_000):
-            some = others[i : i + 20_000]
+        for i in range(0, len(others), 5_000):
+            some = others[i : i + 5_000]
             self._keep(some, [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)])
 
     def _keep(self, pieces: list[str], ids: list[list[int]]) -> None:
@@ -95,30 +101,35 @@ class Encoder:
         self.start[k : k + n] = self.used + np.cumsum(length) - length
         self.length[k : k + n] = length
         self.used += total
+        self.longest = max(self.longest, max(map(len, pieces), default=0))
         self.known.update(zip(pieces, range(k, k + n), strict=True))
 
-    def encode(self, texts: list[str | None], max_pieces: int = 400_000):
+    def encode(self, texts, run_bytes: int = RUN_BYTES):
         """Yields (index of the first text, flat ids with the end id, offsets) for runs of texts."""
-        first, pieces, counts = 0, [], []
+        first, pieces, counts, size, i = 0, [], [], 0, -1
         for i, text in enumerate(texts):
             own = _PIECE.findall(text or "") if text and not _ODD_SPACE.search(text) else [text] if text else []
             pieces += own
             counts.append(len(own))
-            if len(pieces) >= max_pieces:
+            size += len(text or "")
+            if size >= run_bytes:
                 yield first, *self._ids(pieces, counts)
-                first, pieces, counts = i + 1, [], []
+                first, pieces, counts, size = i + 1, [], [], 0
         if counts:
             yield first, *self._ids(pieces, counts)
 
     def _ids(self, pieces: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > KNOWN:
+        known = self.known
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        cost = sum(map(len, new)) + _ENTRY * len(new)
+        if self.cost + cost > KNOWN_BYTES and known:
             self.clear()
-        try:
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            known = self.known
-            self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            new, known = list(dict.fromkeys(pieces)), self.known
+            cost = sum(map(len, new)) + _ENTRY * len(new)
+        if new:
+            self._learn(new)
+            self.cost += cost
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         length = self.length[at]
         ends = np.cumsum(length)
         per_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
@@ -128,4 +139,6 @@ class Encoder:
         body[offsets[1:] - 1] = False
         total = int(ends[-1]) if len(ends) else 0
         ids[body] = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(total)]
+        if self.longest > LONG:  # rare long pieces would hold the memory of many others
+            self.clear()
         return ids, offsets

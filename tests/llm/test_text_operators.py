@@ -123,13 +123,92 @@ def test_jaccard_live_entries_of_linked_sets_suffice(spark):
         assert (sure >= need[a - 1]).all() and (sure >= need[b - 1][common <= b]).all()
 
 
-def test_blocks_of_a_unit_meet_each_other(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FAMILY", 40)
-    sets = [np.arange(i % 3 * 1000, i % 3 * 1000 + 20, dtype=np.uint64) for i in range(12)]
-    d = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cls long, grams binary")
-    m = d.select(F.lit(1).cast("long").alias("unit"), "cls", F.lit(20).cast("long").alias("n"))
-    roots = {r["node"]: r["root"] for r in jaccard_join.components(jaccard_join.verified(m, d, 2)).collect()}
-    assert {i: roots.get(i, i) for i in range(12)} == {i: i % 3 for i in range(12)}
+def brute_components(texts):
+    """Component (least index) of each text by comparing all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    label = list(range(len(texts)))
+    of = lambda i: i if label[i] == i else of(label[i])
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and 100 * len(s & sets[j]) >= 85 * len(s | sets[j]):
+                a, b = of(i), of(j)
+                label[max(a, b)] = min(a, b)
+    return [(len(s), of(i)) for i, s in enumerate(sets)]
+
+
+def test_jaccard_families_across_cells(spark, monkeypatch):
+    """Loose families of several generations, far more than a cell holds, meet across cells."""
+    monkeypatch.setattr(jaccard_join, "CELL", 8)
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for k in range(40):
+            w = list(base)
+            for at in rng.choice(60, rng.integers(0, 5), replace=False):
+                w[at] = f"x{rng.integers(0, 40)}"
+            texts.append(" ".join(w))
+            if k % 10 == 9:
+                base = w
+    want = brute_components(texts)
+    assert 3 < len({c for _, c in want}) < 100
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(d).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_jaccard_short_texts_of_one_family(spark, monkeypatch):
+    """Many 17-word texts that differ in the last word: each links with every other or with none."""
+    monkeypatch.setattr(jaccard_join, "CELL", 64)
+    texts = [" ".join([f"s{i}" for i in range(16)] + [f"end{k}"]) for k in range(600)]
+    texts += [" ".join([f"long{i}" for i in range(40)] + [f"end{k}"]) for k in range(600)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(d).collect()}
+    assert got == {i: (0 if i < 600 else 600) for i in range(1200)}  # 13 of 15 and 37 of 39
+
+
+def test_jaccard_rows_without_or_with_equal_ids(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(5, near, "en", "s", 1), (5, near, "en", "s", 1), (5, near + " more", "en", "s", 1), (None, near, "en", "s", 1), (7, "", "en", "s", 1), (7, None, "en", "s", 1), (None, "alone here with some words", None, None, None), (8, "w " * 70_000 + "end", "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(d).collect())
+    assert got == Counter({(5, 11, 5): 2, (5, 12, 5): 1, (None, 11, 5): 1, (7, 0, 7): 2, (None, 2, None): 1, (8, 2, 8): 1})
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(d.withColumn("root", F.lit("clash"))).collect())
+    one = next(t for i, t in kept if i == 5)
+    assert one in (near, near + " more") and kept == Counter([(5, one), (7, ""), (7, None), (None, "alone here with some words"), (8, rows[7][1])])
+
+
+def thue_morse(k: int) -> str:
+    s = "a"
+    for _ in range(k):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_regular_texts_keep_apart(spark):
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2**64."""
+    x = thue_morse(11)
+    y = x.translate(str.maketrans("ab", "ba"))
+    d = spark.createDataFrame([(0, x), (1, y)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(d).collect()} == {0: 0, 1: 1}
+    first, second = fingerprints.compare_with_next(d).orderBy("doc_id").collect()
+    assert first["fingerprint"] != second["fingerprint"] and first["near_next"] < 1
+    pad = lambda s: "".join(c + f"{i % 23:02d}" for i, c in enumerate(s))
+    words = pad(x) * 8
+    other = pad(y) * 8
+    kept = suffix_dedup.deduplicate(spark.createDataFrame([(0, words[:49_152]), (1, other[:49_152])], "doc_id long, text string")).orderBy("doc_id").collect()
+    seen, gone = set(), [0, 0]
+    for k, t in enumerate((words[:49_152].encode(), other[:49_152].encode())):
+        hit = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                hit[p : p + 100] = True
+            seen.add(t[p : p + 100])
+        gone[k] = int(hit.sum())
+    assert [r["n_removed"] for r in kept] == gone
 
 
 def test_packing(docs):
@@ -193,7 +272,7 @@ def test_encoder_equals_the_library():
         e = Encoder(name)
         texts = [t or "" for t in TEXTS] + ["x " * i + " y" for i in range(3)]
         want = [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        got = [ids[a:b].tolist() for _, ids, at in e.encode(texts, max_pieces=50) for a, b in zip(at[:-1], at[1:])]
+        got = [ids[a:b].tolist() for _, ids, at in e.encode(texts, run_bytes=50) for a, b in zip(at[:-1], at[1:])]
         assert got == want
 
 
@@ -208,6 +287,17 @@ def test_encoder_equals_a_fresh_tokenizer_on_special_tokens():
         assert got == want
 
 
+def test_encoder_starts_anew_beyond_its_bound(monkeypatch):
+    from dyadlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 2_000)
+    e = Encoder("byte_bpe_50k.json")
+    texts = [f"new{i} words{i * 7} again " * 3 + "q" * (300 if i % 9 == 0 else 1) for i in range(60)]
+    want = [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [ids[a:b].tolist() for _, ids, at in e.encode(texts, run_bytes=100) for a, b in zip(at[:-1], at[1:])]
+    assert got == want and len(e.known) < 20
+
+
 def test_fingerprints(docs):
     rows = rows_of(docs)
     got = fingerprints.compare_with_next(docs).collect()
