@@ -4,15 +4,20 @@ A text is a tree: the root over sections, a section over paragraphs (lines), a p
 over clauses. A clause ends after a word chosen by its own hash (one in ``CLAUSE``) or with
 its paragraph; a section ends at an empty line or after a paragraph chosen by its hash (one
 in ``SECTION``). Boundaries thus move with the text, and an edit changes the nodes above the
-clauses it touches and no others: equal roots mean equal texts, and following the branches
-that differ leads to the edits. The fingerprint string holds root, sections and clauses.
+clauses it touches and no others. Leaves are cryptographic hashes of their bytes, every other
+node is one of its children's hashes in order, so equal roots mean equal texts.
 
-Likeness of two trees: the bytes in clauses that both hold (as multisets, by hash), times
-two, over the bytes of both; 1 for two empty texts.
+The fingerprint is a string ``root/section;paragraph:clause.size:clause.size;...``: the root in
+full (128 bits), the other nodes shortened, each clause with its bytes. Two fingerprints are
+compared from the top: sections that both hold need no further look, of the others the
+paragraphs are matched, of the rest the clauses. What stays unmatched are the edits.
+
+Likeness of two fingerprints: the bytes in nodes that both hold (as multisets), times two,
+over the bytes of both; 1 for two empty texts. It is computed from the two strings alone.
 
 Scale: documents meet their successor without a global order in one task: ranges of doc_id
-of about equal rows are dealt out, and a range also gets the first document of the next one.
-One shuffle of the text.
+of about equal rows and bounded bytes are dealt out, and a range also gets the first document
+of the next one. One shuffle of the text.
 
 Edge cases: null text is empty; rows of one doc_id are ordered by text; null doc_ids come
 first; the successor of the last document is the first, a lone one its own; an empty table
@@ -22,96 +27,109 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, bounds_by_id, mix64, segment_hashes, table, text_buffers
+from .common import PUNCTUATED, bounds_by_id, segment_hashes, table, text_buffers
 
 CLAUSE = 8
 SECTION = 8
+#: Bytes of text that a task turns into trees at a time.
+RUN_BYTES = 4 << 20
 
 
-class Trees:
-    """Merkle trees of a batch of texts (Arrow string array), level by level."""
-
-    def __init__(self, texts):
-        data, self.offsets = text_buffers(texts)
-        n = len(self.offsets) - 1
-        line = data == 0x0A
-        # A clause ends at a line end, at the end of its text, or after a chosen word.
-        gap = PUNCTUATED[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[self.offsets] = True
-        before = np.concatenate([[True], gap[:-1]]) if len(data) else gap
-        starts = np.flatnonzero(~gap & (before | first[:-1]))
-        after = np.concatenate([gap[1:], [True]]) if len(data) else gap
-        ends = np.flatnonzero(~gap & (after | first[1:])) + 1
-        chosen = ends[segment_hashes(data, starts, ends) % np.uint64(CLAUSE) == 0]
-        cut = np.zeros(len(data) + 1, bool)
-        cut[chosen] = True
-        cut[np.flatnonzero(line) + 1] = True
-        cut[self.offsets] = True
-        at = np.flatnonzero(cut)
-        begin, end = at[:-1], at[1:]
-        self.leaf = segment_hashes(data, begin, end)
-        self.size = end - begin
-        self.of = np.searchsorted(begin, self.offsets)  # clauses of each text
-        # Paragraphs group clauses, sections group paragraphs; a node is the hash of its children in order.
-        closes = np.zeros(len(begin), bool)
-        if len(begin):
-            closes[:] = line[end - 1]
-            closes[self.of[1:][np.diff(self.of) > 0] - 1] = True
-        para_end = np.flatnonzero(closes) + 1
-        para_begin = np.concatenate([[0], para_end[:-1]]) if len(para_end) else para_end
-        para = self._nodes(self.leaf, para_begin, para_end)
-        para_of = np.searchsorted(para_begin, self.of)
-        blank = (end[para_end - 1] - begin[para_begin]) == 1 if len(para_end) else np.zeros(0, bool)
-        ends_section = blank | (para % np.uint64(SECTION) == 0)
-        ends_section[para_of[1:][np.diff(para_of) > 0] - 1] = True
-        sec_end = np.flatnonzero(ends_section) + 1
-        sec_begin = np.concatenate([[0], sec_end[:-1]]) if len(sec_end) else sec_end
-        self.section = self._nodes(para, sec_begin, sec_end)
-        self.section_of = np.searchsorted(sec_begin, para_of)
-        self.n = n
-
-    @staticmethod
-    def _nodes(children: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        place = np.arange(len(children)) - np.repeat(begin, end - begin)
-        sums = np.zeros(len(children) + 1, np.uint64)
-        np.cumsum(mix64(children + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
-        return mix64(sums[end] - sums[begin] + (end - begin).astype(np.uint64))
-
-    def fingerprints(self) -> list[str]:
-        """root / section:section... / clause:clause..., hexadecimal (32, 16 and 8 digits)."""
-        section, leaf = self.section.astype(">u8").tobytes(), self.leaf.astype(">u8").tobytes()
-        short = (self.leaf >> np.uint64(32)).astype(">u4").tobytes()
-        out = []
-        for a, b, c, d in zip(self.section_of[:-1].tolist(), self.section_of[1:].tolist(), self.of[:-1].tolist(), self.of[1:].tolist(), strict=True):
-            root = hashlib.blake2b(section[8 * a : 8 * b] + leaf[8 * c : 8 * d], digest_size=16).hexdigest()
-            out.append(f"{root}/{section[8 * a : 8 * b].hex(':', 8)}/{short[4 * c : 4 * d].hex(':', 4)}")
-        return out
-
+def _node(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-def likeness(a: Trees, ia: np.ndarray, b: Trees, ib: np.ndarray) -> np.ndarray:
-    """Likeness of text ia[k] of ``a`` and ib[k] of ``b``."""
 
-    def keys(t: Trees, which: np.ndarray):
-        n = t.of[which + 1] - t.of[which]
-        pair = np.repeat(np.arange(len(which)), n)
-        at = np.repeat(t.of[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return pair, t.leaf[at] + pair.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), t.size[at]
+def fingerprints(texts: list[str]) -> list[str]:
+    """Merkle trees of texts, as strings."""
+    import pyarrow as pa
 
-    pair_a, key_a, size_a = keys(a, ia)
-    pair_b, key_b, size_b = keys(b, ib)
-    own, first, which = np.unique(np.concatenate([key_a, key_b]), return_index=True, return_inverse=True)
-    have_a = np.bincount(which[: len(key_a)], minlength=len(own))
-    have_b = np.bincount(which[len(key_a) :], minlength=len(own))
-    pair, size = np.concatenate([pair_a, pair_b])[first], np.concatenate([size_a, size_b])[first]
-    shared = np.bincount(pair, np.minimum(have_a, have_b) * size, len(ia))
-    total = np.bincount(pair_a, size_a, len(ia)) + np.bincount(pair_b, size_b, len(ia))
-    return np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0)
+    data, offsets = text_buffers(pa.array(texts, pa.string()))
+    # A clause ends at a line end, at the end of its text, or after a chosen word.
+    gap = PUNCTUATED[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    before = np.concatenate([[True], gap[:-1]]) if len(data) else gap
+    starts = np.flatnonzero(~gap & (before | first[:-1]))
+    after = np.concatenate([gap[1:], [True]]) if len(data) else gap
+    ends = np.flatnonzero(~gap & (after | first[1:])) + 1
+    chosen = ends[segment_hashes(data, starts, ends) % np.uint64(CLAUSE) == 0]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[chosen] = True
+    cut[np.flatnonzero(data == 0x0A) + 1] = True
+    cut[offsets] = True
+    at = np.flatnonzero(cut)
+    of, at = np.searchsorted(at, offsets).tolist(), at.tolist()
+    raw, known, out = data.tobytes(), {}, []  # clauses repeat between a text and its edited text
+    for a, b in zip(of[:-1], of[1:], strict=True):
+        sections, section, paragraph = [], [], []
+        for k in range(a, b):
+            clause = raw[at[k] : at[k + 1]]
+            leaf = known.get(clause)
+            if leaf is None:
+                digest = _node(clause)
+                leaf = known[clause] = (digest, f":{digest[:4].hex()}.{len(clause)}")
+            paragraph.append(leaf)
+            if clause.endswith(b"\n") or k == b - 1:
+                node = _node(b"".join([x[0] for x in paragraph]))
+                section.append((node, ";" + node[:4].hex() + "".join([x[1] for x in paragraph])))
+                if clause == b"\n" and len(paragraph) == 1 or node[15] % SECTION == 0 or k == b - 1:
+                    node = _node(b"".join([x[0] for x in section]))
+                    sections.append((node, "/" + node[:8].hex() + "".join([x[1] for x in section])))
+                    section = []
+                paragraph = []
+        out.append(_node(b"".join([x[0] for x in sections])).hex() + "".join([x[1] for x in sections]))
+    return out
+
+
+def _bytes(node: str) -> int:
+    """Bytes of text under a section, paragraph or clause of a fingerprint."""
+    return sum(int(x.split(":", 1)[0].split(";", 1)[0]) for x in node.split(".")[1:])
+
+
+def unmatched(a: str, b: str) -> tuple[list[str], list[str]]:
+    """The clauses (hash.size) that one fingerprint holds beyond the other's, from the top.
+
+    Equal roots have none; equal sections, then equal paragraphs drop out with all below.
+    """
+    if a[:32] == b[:32]:
+        return [], []
+    left, right = [a], [b]
+    for mark in "/;:":
+        x, y = (Counter([n for node in nodes for n in node.split(mark)[1:]]) for nodes in (left, right))
+        both = x & y
+        left, right = list((x - both).elements()), list((y - both).elements())
+    return left, right
+
+
+def likeness(a: str, b: str) -> float:
+    """Likeness (0 to 1) of two fingerprints, from the strings alone."""
+    if a[:32] == b[:32]:
+        return 1.0
+    left, right = unmatched(a, b)
+    total = _bytes(a) + _bytes(b)
+    lost = sum(int(x.rsplit(".", 1)[1]) for x in (*left, *right))
+    return (total - lost) / total if total else 1.0
+
+
+def edits(a: str, b: str) -> list[tuple[int, int]]:
+    """Byte spans of the second text (start, end) whose clauses the first one lacks."""
+    new, out, at = Counter(unmatched(a, b)[1]), [], 0
+    for clause in [c for section in b.split("/")[1:] for paragraph in section.split(";")[1:] for c in paragraph.split(":")[1:]]:
+        size = int(clause.rsplit(".", 1)[1])
+        if new[clause] > 0:
+            new[clause] -= 1
+            if out and out[-1][1] == at:
+                out[-1] = (out[-1][0], at + size)
+            else:
+                out.append((at, at + size))
+        at += size
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -121,7 +139,8 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and its edited text, and likeness to both neighbours."""
+    """Fingerprints of each text and its edited text, likeness to both neighbours, and
+    ``edit_start``: the first byte at which the trees locate the edit (null: none)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = np.array(bounds_by_id(docs, "doc_id"), np.int64)
 
@@ -162,22 +181,27 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         if not own.num_rows:
             return pa.table([pa.array([], f.type) for f in SCHEMA], schema=SCHEMA)
         out = []
-        texts = [*own.column("text").to_pylist(), *lent.column("text").to_pylist()[:1]]
-        for a in range(0, own.num_rows, 1000):
-            b = min(a + 1000, own.num_rows)
-            mine = texts[a : b + 1]
+        texts = pa.chunked_array([*own.column("text").chunks, *lent.column("text").slice(0, 1).chunks], pa.string())
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        a = 0
+        while a < own.num_rows:
+            b = min(max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + RUN_BYTES))), own.num_rows)
+            mine = texts.slice(a, b + 1 - a).to_pylist()
             new = [edited(x, y) for x, y in zip(mine[:-1], mine[1:], strict=True)]
-            trees, after = Trees(pa.array(mine)), Trees(pa.array(new))
-            n = np.arange(b - a)
-            sha = [hashlib.sha256(x.encode()).hexdigest() for x in new]
-            out.append(pa.table([own.column("doc_id").slice(a, b - a).combine_chunks(), pa.array([len(x) for x in mine[:-1]], pa.int64()), pa.array(sha), pa.array(trees.fingerprints()[: b - a]), pa.array(after.fingerprints()), pa.array(likeness(trees, n, after, n)), pa.array(likeness(trees, n, trees, n + 1))], schema=SCHEMA))
+            prints = fingerprints([*mine, *new])
+            prints, after = prints[: len(mine)], prints[len(mine) :]
+            spans = [edits(x, y) for x, y in zip(prints, after, strict=False)]
+            columns = [own.column("doc_id").slice(a, b - a).combine_chunks(), [len(x) for x in mine[:-1]], [hashlib.sha256(x.encode()).hexdigest() for x in new], prints[:-1], after]
+            columns += [[likeness(x, y) for x, y in zip(prints, after, strict=False)], [likeness(x, y) for x, y in zip(prints[:-1], prints[1:], strict=True)], [s[0][0] if s else None for s in spans]]
+            out.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA))
+            a = b
         return pa.concat_tables(out)
 
     import pyarrow as pa
 
-    SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edit_start", pa.int64())])
     dealt = docs.mapInArrow(deal, "part long, doc_id long, text string, own boolean")
-    return dealt.groupBy("part").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.groupBy("part").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ pieces' ids joined. Texts with white space other than blank, tab and the line en
 
 Memory: texts are read in runs of about ``RUN_BYTES``, and what a worker knows is bounded by
 ``KNOWN_BYTES``: where a run's new pieces would exceed it, the worker starts anew before it
-learns them. A piece of its own length above ``LONG`` is encoded but not kept.
+learns them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import numpy as np
 END = 2
 RUN_BYTES = 1 << 20
 KNOWN_BYTES = 24 << 20
-LONG = 256
 #: What a known piece costs besides its characters: dictionary entry, number and ids.
 _ENTRY = 160
 
@@ -77,7 +76,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = self.cost = self.longest = 0
+        self.used = self.cost = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
 
@@ -101,7 +100,6 @@ class Encoder:
         self.start[k : k + n] = self.used + np.cumsum(length) - length
         self.length[k : k + n] = length
         self.used += total
-        self.longest = max(self.longest, max(map(len, pieces), default=0))
         self.known.update(zip(pieces, range(k, k + n), strict=True))
 
     def encode(self, texts, run_bytes: int = RUN_BYTES):
@@ -121,11 +119,11 @@ class Encoder:
     def _ids(self, pieces: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         new = [p for p in dict.fromkeys(pieces) if p not in known]
-        cost = sum(map(len, new)) + _ENTRY * len(new)
+        cost = 4 * sum(map(len, new)) + _ENTRY * len(new)
         if self.cost + cost > KNOWN_BYTES and known:
             self.clear()
             new, known = list(dict.fromkeys(pieces)), self.known
-            cost = sum(map(len, new)) + _ENTRY * len(new)
+            cost = 4 * sum(map(len, new)) + _ENTRY * len(new)
         if new:
             self._learn(new)
             self.cost += cost
@@ -139,6 +137,4 @@ class Encoder:
         body[offsets[1:] - 1] = False
         total = int(ends[-1]) if len(ends) else 0
         ids[body] = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(total)]
-        if self.longest > LONG:  # rare long pieces would hold the memory of many others
-            self.clear()
         return ids, offsets

@@ -319,6 +319,31 @@ def test_fingerprints(docs):
     assert fingerprints.compare_with_next(docs.filter("doc_id = 110")).first()["near_next"] == 1.0
 
 
+def test_fingerprint_strings_give_likeness_and_edits(docs):
+    """near_* and the edits recomputed from the strings by plain multisets of leaves."""
+    leaves = lambda f: Counter(re.findall(r":([0-9a-f]{8}\.[0-9]+)", f))
+    weigh = lambda c: sum(int(x.split(".")[1]) * n for x, n in c.items())
+
+    def near(a, b):
+        x, y = leaves(a), leaves(b)
+        return 2 * weigh(x & y) / (weigh(x) + weigh(y)) if x or y else 1.0
+
+    rows = sorted(fingerprints.compare_with_next(docs.filter("doc_id <> 60")).collect(), key=lambda r: r["doc_id"])
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.filter("doc_id <> 60").collect()}
+    for r, nxt in zip(rows, [*rows[1:], rows[0]]):
+        assert r["near_edited"] == pytest.approx(near(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(near(r["fingerprint"], nxt["fingerprint"]))
+        assert weigh(leaves(r["fingerprint"])) == len(texts[r["doc_id"]].encode())
+        spans = fingerprints.edits(r["fingerprint"], r["edited_fingerprint"])
+        assert r["edit_start"] == (spans[0][0] if spans else None)
+    a = "one two three four.\n" * 3 + "\n" + " ".join(f"w{i}" for i in range(400)) + "\nlast line"
+    b = a.replace("w200 ", "changed ")
+    x, y = fingerprints.fingerprints([a, b])
+    (start, end), = fingerprints.edits(x, y)
+    assert start <= b.index("changed") < end < start + 400 and fingerprints.edits(x, x) == []
+    assert x[:32] != y[:32] and fingerprints.likeness(x, y) > 0.8
+
+
 def test_quality_rules(docs):
     got = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(docs).collect()}
     for i, x in rows_of(docs):
