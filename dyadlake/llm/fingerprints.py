@@ -27,6 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -39,6 +40,7 @@ CLAUSE = 8
 SECTION = 8
 #: Bytes of text that a task turns into trees at a time.
 RUN_BYTES = 4 << 20
+_SIZE = re.compile(r"\.(\d+)")
 
 
 def _node(data: bytes) -> bytes:
@@ -89,7 +91,7 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 def _bytes(node: str) -> int:
     """Bytes of text under a section, paragraph or clause of a fingerprint."""
-    return sum(int(x.split(":", 1)[0].split(";", 1)[0]) for x in node.split(".")[1:])
+    return sum(map(int, _SIZE.findall(node)))
 
 
 def unmatched(a: str, b: str) -> tuple[list[str], list[str]]:
