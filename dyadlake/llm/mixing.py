@@ -117,14 +117,18 @@ def uniform(*parts) -> Column:
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Deals each source's quota to ``shards`` (a power of two): src, shard, q.
+    """Deals each source's quota to ``shards`` (a power of two): src, shard, q, at.
 
-    ``quotas``: src, q. One row per tree node holds its counts by source in order.
+    ``quotas``: src, q. One row per tree node holds its counts by source in order; ``at`` is
+    where the shard's stretch of the source's permutation begins, handed down the tree.
     """
-    nodes = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("src", "q"))).alias("qs")).select(F.lit(0).cast("long").alias("lo"), "qs")
+    first = F.struct("src", "q", F.lit(0).cast("long").alias("at"))
+    nodes = quotas.groupBy().agg(F.array_sort(F.collect_list(first)).alias("qs")).select(F.lit(0).cast("long").alias("lo"), "qs")
     width = shards
     while width > 1:
         half = width // 2
+        if shards // width == 1024:  # from here on each subtree is split by itself
+            nodes = nodes.repartition("lo")
         left = F.aggregate(
             "qs",
             F.struct(
@@ -138,13 +142,26 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             ),
         )["out"]
         both = nodes.select("lo", "qs", F.explode(F.array(left)).alias("l"))
-        a = F.struct(F.col("lo").alias("lo"), F.zip_with("qs", "l", lambda x, k: F.struct(x["src"].alias("src"), k.alias("q"))).alias("qs"))
-        b = F.struct((F.col("lo") + half).alias("lo"), F.zip_with("qs", "l", lambda x, k: F.struct(x["src"].alias("src"), (x["q"] - k).alias("q"))).alias("qs"))
+        a = F.struct(F.col("lo").alias("lo"), F.zip_with("qs", "l", lambda x, k: F.struct(x["src"].alias("src"), k.alias("q"), x["at"].alias("at"))).alias("qs"))
+        b = F.struct((F.col("lo") + half).alias("lo"), F.zip_with("qs", "l", lambda x, k: F.struct(x["src"].alias("src"), (x["q"] - k).alias("q"), (x["at"] + k).alias("at"))).alias("qs"))
         nodes = both.select(F.inline(F.array(a, b)))
         width = half
     return nodes.select(F.col("lo").alias("shard"), F.inline("qs"))
 
 
+def place(ranked_blocks: DataFrame, stretches: DataFrame, quotas: DataFrame, shards: int) -> DataFrame:
+    """Adds the shard whose stretch of the source's permutation holds each block's rank.
+
+    Ranks and stretches meet by slots of a source's average stretch, so a slot is met by few
+    stretches and holds few ranks, whatever the size of the source or the number of shards.
+    """
+    width = quotas.select("src", F.ceil(F.col("q") / shards).alias("w"))
+    slots = F.explode(F.sequence(F.floor(F.col("at") / F.col("w")), F.floor((F.col("at") + F.col("q") - 1) / F.col("w")))).alias("slot")
+    stretches = stretches.filter("q > 0").join(width, "src").select("src", "shard", "at", (F.col("at") + F.col("q")).alias("end"), slots)
+    d = ranked_blocks.join(width, "src").withColumn("slot", F.floor(F.col("rank") / F.col("w")))
+    return d.join(stretches, ["src", "slot"]).filter("at <= rank and rank < end").drop("slot", "w", "at", "end")
+
+
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 17, weights=WEIGHTS, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix: (documents with size and ord, sources with targets, drawn blocks).
 
@@ -170,11 +187,9 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 17, weights=WEIGHTS, ca
     quotas = materialize(drawn.groupBy("src").agg(F.count("*").alias("q")), "mix-quotas")
     taken = quotas.agg(F.sum("q")).first()[0] or 0
     shards = 1 << max(0, (taken // PER_SHARD).bit_length())
-    cuts = split_quotas(quotas, shards, seed).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("shard", "q"))).alias("_c"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("_c")), lambda i: F.aggregate(F.slice("_c", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["q"]))
-    cuts = materialize(cuts.select("src", ends.alias("_ends")), "mix-cuts")
+    stretches = materialize(split_quotas(quotas, shards, seed), "mix-stretches")
     dealt = ranked(drawn, F.xxhash64(F.lit(seed + 1), "doc_id", "block", "copy"), taken, "words")
-    dealt = dealt.join(cuts, "src").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("rank"))))
+    dealt = place(dealt, stretches, quotas, shards)
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "block", "copy"), "doc_id", "ord", "block", "copy")
     dealt = dealt.withColumn("position", F.row_number().over(local) - 1)
     return d, t, dealt.select("shard", "position", "doc_id", "ord", "src", "block", "copy", "words")

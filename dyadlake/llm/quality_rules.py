@@ -1,8 +1,13 @@
 """Operator 10: quality rules combined by weak supervision (native DataFrame code).
 
 Each rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0).
-Expectation-maximisation over the vote patterns estimates how often each rule is right,
-and the posterior probability of quality decides, instead of demanding every rule.
+Expectation-maximisation over the vote patterns estimates how often each rule is right on
+good and on bad texts, and the posterior probability of quality decides, instead of demanding
+every rule. The parameters are free: the prior on each is one row of either vote, and the
+classes are named by an identifiability check, the good one being where rules that vote good
+are right. Rules on different sides of one fault (marks by words, by characters, words without
+a letter) let the model tell a fault from a rule's error; the base's own rules, length and
+repeated windows, do not vote.
 
 The patterns are at most 3 ** len(RULES) rows whatever the corpus size: all documents are
 counted into them with map-side partial sums, and each EM round is one small aggregation.
@@ -71,6 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         count("[0-9]").alias("n_digits"),
         count("[A-Z]").alias("n_capitals"),
         count("!").alias("n_shouts"),
+        count(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])").alias("n_letterless"),
     )
 
 
@@ -87,13 +93,11 @@ def rules() -> dict[str, Column]:
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     mean, marks = F.col("word_chars") / n, F.col("n_symbols") + F.col("n_shouts") + F.col("n_digits")
     return {
-        "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 20),
         "word_length": _vote(mean.between(3, 10), (mean < 2.5) | (mean > 14)),
         "symbols": _vote(100 * F.col("n_symbols") <= 3 * n, 100 * F.col("n_symbols") > 20 * n),
-        "symbol_density": _vote(100 * F.col("n_symbols") <= 2 * chars, 100 * F.col("n_symbols") > 8 * chars),
-        "letters": _vote(100 * marks <= 5 * chars, 100 * marks > 12 * chars),
+        "letterless": _vote(100 * F.col("n_letterless") <= 3 * n, 100 * F.col("n_letterless") > 15 * n),
+        "marks": _vote(100 * marks <= 5 * chars, 100 * marks > 8 * chars),
         "dup_lines": _vote(F.col("n_dup_lines") == 0, (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
-        "repeats": _vote(100 * F.col("n_repeat_words") <= 5 * n, 100 * F.col("n_repeat_words") > 30 * n),
         "sentences": _vote(60 * F.col("n_stops") >= n, (F.col("n_stops") == 0) & (F.col("n_words") >= 40)),
         "digits": _vote(100 * F.col("n_digits") <= 10 * chars, 100 * F.col("n_digits") > 30 * chars),
         "capitals": _vote(100 * F.col("n_capitals") <= 10 * chars, 100 * F.col("n_capitals") > 30 * chars),
@@ -101,14 +105,14 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = 20) -> dict:
+def estimate(patterns: DataFrame, names: list[str], rounds: int = 50) -> dict:
     """EM over vote patterns (one column per rule, ``n`` documents each).
 
-    Parameters: the prior of quality and, per rule, how often it is right when it votes,
-    for good and for bad texts apart. One aggregation a round; what returns to the driver
-    is two sums per rule and vote.
+    Parameters: the prior of quality and, per rule, how often it is right when it votes, for
+    good and for bad texts apart; each with one added row of either kind. One aggregation a
+    round; what returns to the driver is two sums per rule and vote.
     """
-    state = {"prior": 0.7, "acc": {r: (0.985, 0.15) for r in names}}
+    state = {"prior": 0.8, "acc": {r: (0.9, 0.5) for r in names}}
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("vote")) for r in names])).alias("e")
     for _ in range(rounds):
         q = patterns.select("n", posterior(state, names).alias("q"), each)
@@ -116,22 +120,23 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = 20) -> dict:
         if not sums:
             break
         of = lambda r, v, side: sums.get((r, v), (0.0, 0.0))[side]
-        # Bounds and weak Beta priors: a good text seldom trips a rule, a bad one may trip few.
-        # They also keep the two classes from swapping.
-        new = {
-            r: (
-                min(0.999, max(0.985, (of(r, 1, 0) + 19.8) / (of(r, 1, 0) + of(r, -1, 0) + 20))),
-                min(0.95, max(0.05, (of(r, -1, 1) + 2) / (of(r, -1, 1) + of(r, 1, 1) + 10))),
-            )
-            for r in names
-        }
+        right = lambda r, v, side: (of(r, v, side) + 1) / (of(r, v, side) + of(r, -v, side) + 2)
+        new = {r: (right(r, 1, 0), right(r, -1, 1)) for r in names}
         good, bad = (sum(of(names[0], v, side) for v in (-1, 0, 1)) for side in (0, 1))
-        prior = min(0.95, max(0.5, good / max(good + bad, 1e-9)))
+        prior = (good + 1) / (good + bad + 2)
         moved = max([abs(prior - state["prior"]), *(abs(a - b) for r in names for a, b in zip(new[r], state["acc"][r], strict=True))])
         state = {"prior": prior, "acc": new}
         if moved < 1e-5:
             break
-    return state
+    return named(state)
+
+
+def named(state: dict) -> dict:
+    """The state with its classes exchanged where rules are right less than half of the time."""
+    acc = state["acc"]
+    if sum(a + b for a, b in acc.values()) >= len(acc):
+        return state
+    return {"prior": 1 - state["prior"], "acc": {r: (1 - b, 1 - a) for r, (a, b) in acc.items()}}
 
 
 def posterior(state: dict, names: list[str]) -> Column:
@@ -151,7 +156,7 @@ def posterior(state: dict, names: list[str]) -> Column:
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, said, F.get(table_, F.lit(3 * len(names))))))
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, rounds: int = 20) -> DataFrame:
+def judge(docs: DataFrame, threshold: float = 0.5, rounds: int = 50) -> DataFrame:
     """Statistics, votes, posterior quality and verdict of every document."""
     stats = statistics(docs)
     votes = rules()

@@ -63,3 +63,34 @@ def test_mixed_documents_and_empty(spark):
     assert out and all(r["n_chars"] == len(r["text"]) for r in out)
     assert any(r["text"] == whole[r["doc_id"]] for r in out)
     assert mixing.mixed_documents(docs(spark, []), block=5).count() == 0
+
+
+def test_targets_equal_a_plain_water_filling(spark):
+    import random
+
+    rng = random.Random(6)
+    for _ in range(4):
+        sizes = {s: rng.choice([0, 1, 7, 50, 400, 5000]) for s in "abcdefgh"[: rng.randrange(1, 9)]}
+        rows = [(i, "w " * n, "en", s, 0, "x") for i, (s, n) in enumerate(sizes.items())]
+        got = {r["source"]: r["target"] for r in mixing.targets(mixing.sized(docs(spark, rows))).collect()}
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+        left, open_, want = float(sum(sizes.values())), set(sizes), {}
+        while open_:
+            level = left / sum(weight[s] for s in open_)
+            full = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+            if not full:
+                want |= {s: level * weight[s] for s in open_}
+                break
+            want |= {s: 3.0 * sizes[s] for s in full}
+            left -= sum(want[s] for s in full)
+            open_ -= full
+        assert got == pytest.approx(want)
+
+
+def test_every_rank_has_one_shard(spark):
+    q = spark.createDataFrame([(0, 5000), (1, 3), (2, 64)], "src long, q long")
+    ranks = q.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("rank"))
+    stretches = mixing.split_quotas(q, 64, 9)
+    got = mixing.place(ranks, stretches, q, 64).groupBy("src", "shard").agg(F.count("*").alias("n"), (F.max("rank") - F.min("rank") + 1).alias("span"))
+    want = {(r["src"], r["shard"]): r["q"] for r in stretches.collect() if r["q"]}
+    assert {(r["src"], r["shard"]): r["n"] for r in got.collect()} == want and got.filter("n <> span").count() == 0

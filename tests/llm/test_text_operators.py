@@ -358,6 +358,39 @@ def test_quality_rules(docs):
     assert quality_rules.judge(empty(docs)).count() == 0
 
 
+def test_rules_em_equals_a_plain_one_and_finds_the_truth(spark):
+    """Votes drawn from known accuracies: the DataFrame EM against numpy's, and both near the truth."""
+    rng = np.random.default_rng(4)
+    truth = np.array([(0.95, 0.6), (0.9, 0.7), (0.97, 0.5), (0.85, 0.8)])
+    good = rng.random(6000) < 0.7
+    right = rng.random((6000, 4)) < np.where(good[:, None], truth[:, 0], truth[:, 1])
+    votes = np.where(right == good[:, None], 1, -1) * (rng.random((6000, 4)) < 0.9)
+    pattern, n = np.unique(votes, axis=0, return_counts=True)
+    names = ["a", "b", "c", "d"]
+    d = spark.createDataFrame([(*map(int, p), int(k)) for p, k in zip(pattern, n)], "a int, b int, c int, d int, n long")
+    state = quality_rules.estimate(d, names, rounds=60)
+    acc, prior = np.tile([0.9, 0.5], (4, 1)), 0.8
+    for _ in range(60):
+        up, down = (np.where(pattern == v, np.log(x), 0) for v, x in ((1, acc[:, 0]), (-1, 1 - acc[:, 0])))
+        up2, down2 = (np.where(pattern == v, np.log(x), 0) for v, x in ((-1, acc[:, 1]), (1, 1 - acc[:, 1])))
+        q = 1 / (1 + np.exp(np.log(1 - prior) + (up2 + down2).sum(1) - np.log(prior) - (up + down).sum(1)))
+        new = [[((w[:, None] * (pattern == v)).sum(0) + 1) / ((w[:, None] * (pattern != 0)).sum(0) + 2) for w, v in ((n * q, 1), (n * (1 - q), -1))]][0]
+        moved = max(abs(np.stack(new, 1) - acc).max(), abs(((n * q).sum() + 1) / (n.sum() + 2) - prior))
+        acc, prior = np.stack(new, 1), ((n * q).sum() + 1) / (n.sum() + 2)
+        if moved < 1e-5:
+            break
+    assert state["prior"] == pytest.approx(prior, abs=1e-6) and abs(prior - 0.7) < 0.06
+    assert np.array([state["acc"][r] for r in names]) == pytest.approx(acc, abs=1e-6) and abs(acc - truth).max() < 0.1
+    swapped = quality_rules.named({"prior": 0.3, "acc": {r: (1 - b, 1 - a) for r, (a, b) in state["acc"].items()}})
+    assert swapped["prior"] == 0.7 and swapped["acc"]["a"] == pytest.approx(state["acc"]["a"])
+
+
+def test_rules_bear_clashing_columns(docs):
+    names = ["quality", "kept", "symbols", "n_words", "_t", "base_failed"]
+    clash = docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in names])
+    assert quality_rules.judge(clash).count() == docs.count()
+
+
 def test_quality_classifier_learns_grades(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
