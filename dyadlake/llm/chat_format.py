@@ -3,12 +3,14 @@
 The longest common prefix of turns is rendered once as the prompt; what follows becomes a
 pair of completions with loss masks, which cover the assistant's words only.
 
-Scale: turns meet in one join on (pair, position); where the sides part is a minimum with
-map-side partial results. Only the final rendering gathers a pair's own turns into its row.
-
-Edge cases: turns are ordered by (turn, role, text), so repeated rows stay, in place; a
-null role reads ``unknown``, a null text is empty; sides that never part have empty
-completions; a side that ends early has an empty completion; an empty table gives no rows.
+Scale: both sides are rows of one table, dealt once by pair; all that follows (numbering the
+turns, laying the sides over each other, finding where they part, rendering) keeps to that
+one exchange. Only the final rendering gathers a pair's own turns into its row.
+
+Edge cases: turns are ordered by (turn, role, text), a null turn comes first, so repeated rows
+stay, in place; rows without a pair's id are one pair, whose id is null; a null role reads
+``unknown``, a null text is empty; sides that never part have empty completions; a side that
+ends early has an empty completion; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,23 +23,30 @@ from .common import table
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """pair_id, pos (from 1), role, text."""
-    order = Window.partitionBy("pair_id").orderBy("turn", "role", "text")
-    return turns.select("pair_id", F.row_number().over(order).alias("pos"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+FIRST = -(2**63) + 1  # where a null turn stands
+
+
+def both_sides(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """pair_id, side (c or r), turn, role, text of two tables of turns."""
+    a, b = (d.select("pair_id", F.lit(side).alias("side"), F.col("turn").cast("long").alias("turn"), "role", "text") for d, side in ((chosen, "c"), (rejected, "r")))
+    return a.unionByName(b)
 
 
-def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+def segments(turns: DataFrame) -> DataFrame:
     """pair_id, n_common, side (prompt, chosen, rejected), pos, rendered, head, said.
 
     ``head`` is the length of what stands before the turn's words, ``said`` that of the words
-    that count for the loss. Inputs: pair_id, turn, role, text.
+    that count for the loss. Input: pair_id, side, turn, role, text.
     """
-    a, b = (numbered(x).select("pair_id", "pos", F.struct("role", "text").alias(side)) for x, side in ((chosen, "c"), (rejected, "r")))
-    both = a.join(b, ["pair_id", "pos"], "full_outer")
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    d = turns.select("pair_id", "side", F.coalesce("turn", F.lit(FIRST)).alias("turn"), "role", role.alias("_role"), text.alias("text")).repartition("pair_id")
+    order = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
+    d = d.withColumn("pos", F.row_number().over(order))
+    said = F.struct(F.col("_role").alias("role"), "text")
+    both = d.groupBy("pair_id", "pos").agg(F.max(F.when(F.col("side") == "c", said)).alias("c"), F.max(F.when(F.col("side") == "r", said)).alias("r"))
     same = F.col("c").isNotNull() & F.col("c").eqNullSafe(F.col("r"))
-    parted = both.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~same, F.col("pos"))) - 1, F.max("pos")).alias("n_common"))
-    rows = both.join(parted, "pair_id")
+    pair = Window.partitionBy("pair_id")
+    rows = both.withColumn("n_common", F.coalesce(F.min(F.when(~same, F.col("pos"))).over(pair) - 1, F.max("pos").over(pair)))
     common = F.col("pos") <= F.col("n_common")
     sides = F.array(
         F.when(common, F.struct(F.lit("prompt").alias("side"), F.col("c").alias("t"))),
@@ -50,13 +59,14 @@ def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return rows.select("pair_id", "n_common", "pos", F.col("s.side").alias("side"), F.concat(head, text, F.lit(END)).alias("rendered"), F.length(head).alias("head"), F.when(role == "assistant", F.length(text) + len(END)).alias("said"))
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row per pair: n_common, prompt, chosen, rejected and their masks.
+def format_preferences(turns: DataFrame) -> DataFrame:
+    """One row per pair: n_common, prompt, chosen, rejected and their masks; see ``both_sides``
+    for the input.
 
     A mask lists ``start:length`` of the code points of its completion that count for the
     loss: an assistant turn's words and end mark.
     """
-    rows = segments(chosen, rejected)
+    rows = segments(turns)
     before = Window.partitionBy("pair_id", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
     span = F.when(F.col("said").isNotNull(), F.concat_ws(":", F.col("at") + F.col("head"), "said"))
@@ -68,36 +78,34 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.col("n_common").cast("long").alias("n_common"), of("prompt", "rendered", "").alias("prompt"), of("chosen", "rendered", "").alias("chosen"), of("rejected", "rendered", "").alias("rejected"), of("chosen", "span", ",").alias("chosen_mask"), of("rejected", "span", ",").alias("rejected_mask"))
 
 
-def contrast(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chosen, rejected) from plain conversations, each up to its last assistant turn.
+def contrast(conversations: DataFrame) -> DataFrame:
+    """Both sides (see ``both_sides``) from plain conversations, each up to its last assistant turn.
 
     The rejected side repeats the conversation's first assistant reply in place of the last
     one; where there is only one, it echoes the turn before. Conversations without an
     assistant turn make no pair.
     """
     w = Window.partitionBy("conv_id")
-    said = F.coalesce("text", F.lit(""))
-    d = conversations.select("conv_id", "turn", "role", said.alias("text"))
+    d = conversations.select(F.col("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
     d = d.withColumn("last", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(w)).filter("turn <= last")
     first = F.min(F.when((F.col("role") == "assistant") & (F.col("turn") < F.col("last")), F.struct("turn", "text"))).over(w)
     echo = F.max(F.when(F.col("turn") < F.col("last"), F.struct("turn", "text"))).over(w)
     d = d.withColumn("other", F.coalesce(first["text"], echo["text"], F.lit("")))
-    chosen = d.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     swap = (F.col("turn") == F.col("last")) & (F.col("role") == "assistant")
-    return chosen, d.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.when(swap, F.col("other")).otherwise(F.col("text")).alias("text"))
+    sides = F.array(F.struct(F.lit("c").alias("side"), F.col("text").alias("text")), F.struct(F.lit("r").alias("side"), F.when(swap, F.col("other")).otherwise(F.col("text")).alias("text")))
+    return d.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(*contrast(table(spark, sf_dir, "conversations")))
+    return format_preferences(contrast(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {"op5_chat_format": op5_chat_format}
 SQL = {
     "op5_chat_format": r"""
-WITH d0 AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text,
-         max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last
-  FROM conversations),
+WITH c AS (SELECT conv_id, coalesce(turn, -9223372036854775807) AS turn, role, coalesce(text, '') AS text FROM conversations),
+d0 AS (
+  SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM c),
 d AS (
   SELECT *, coalesce(
       min(CASE WHEN role = 'assistant' AND turn < last THEN {'t': turn, 'x': text} END) OVER w,

@@ -10,7 +10,7 @@ documented bound), whose sparse features come to the driver; every document is s
 Arrow batches with the weights as a closure of fixed size.
 
 Edge cases: null or empty text has shape features only; a doc_id rated more than once takes
-its lowest grade; without any rating every document is kept with grade 2; null ratings do
+its lowest grade, one with several rated rows is learnt from its first text in order; without any rating every document is kept with grade 2; null ratings do
 not count; repeated rows get equal results; extra columns pass through unread.
 """
 
@@ -166,7 +166,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """Fits on at most ``most`` rated documents; their ids are the only thing broadcast."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             packed = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(packed, pa.binary()), pa.array(dense.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["doc_id", "grade", "buckets", "dense"])
 
-    rows = rated.mapInArrow(run, "doc_id long, grade int, buckets binary, dense array<float>").orderBy("doc_id", "buckets").limit(2 * most).toArrow()
+    rows = rated.mapInArrow(run, "doc_id long, grade int, buckets binary, dense array<float>").orderBy("doc_id").toArrow()
     lists = [np.frombuffer(b, np.int32) for b in rows.column("buckets").to_pylist()]
     if not lists:
         return Model()
@@ -186,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds expected_grade, p_sound, p_good and kept to ``docs`` (which has text)."""
+    """Adds expected_grade, p_sound, p_good and kept to ``docs`` (which has text); columns of
+    these names are replaced."""
+    docs = docs.drop("expected_grade", "p_sound", "p_good", "kept")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     place = docs.columns.index("text")
 

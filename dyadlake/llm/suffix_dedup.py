@@ -418,7 +418,7 @@ def earlier_strings(parts: DataFrame, known: DataFrame, n: int, names_key: tuple
     return _found_earlier(parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(name, "bucket int, part int, vals binary"), False)
 
 
-def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, int]) -> DataFrame:
+def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, int], whole_characters: bool = False) -> DataFrame:
     """doc_id, rest, n_bytes, n_removed, n_spans, kept (binary) of every document."""
     rest = parts.schema["rest"].dataType.elementType.simpleString()
 
@@ -446,6 +446,8 @@ def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, i
             keep = part.data[~gone].tobytes()
             kept = np.concatenate([[0], np.cumsum(part.lengths - (removed[part.ends] - removed[begins]))])
             texts = [keep[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
+            if whole_characters:
+                texts = [x.decode("utf-8", "ignore").encode() for x in texts]
             tables.append(pa.table([pa.array(row["ids"], pa.int64()), left.column("rest").combine_chunks().flatten(), pa.array(part.lengths), pa.array(removed[part.ends] - removed[begins]), pa.array(spans[part.ends] - spans[begins]), pa.array(texts, pa.binary())], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]))
         _POWERS.clear()
         return pa.concat_tables(tables) if tables else None
@@ -453,8 +455,11 @@ def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, i
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, f"doc_id long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def deduplicate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with the bytes kept; ``keep`` names string columns to carry in ``rest``."""
+def deduplicate(docs: DataFrame, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """Every document with the bytes kept; ``keep`` names string columns to carry in ``rest``.
+
+    ``whole_characters``: of a character that loses some of its bytes, kept loses the others.
+    """
     spark, key = docs.sparkSession, new_key()
     parts = materialize(parts_of(docs, keep), "suffix-parts")
     size = parts.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -464,7 +469,7 @@ def deduplicate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     known = tuples.withColumn("kind", F.lit(1)).unionByName(texts.withColumn("kind", F.lit(3)))
     strings = materialize(earlier_strings(parts, known, n, key), "suffix-strings")
     answers = known.unionByName(strings.withColumn("kind", F.lit(2)))
-    return remove(parts, answers, n, key)
+    return remove(parts, answers, n, key, whole_characters)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

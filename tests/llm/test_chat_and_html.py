@@ -37,13 +37,13 @@ def test_page_table(spark):
 
 
 def turns(spark, rows):
-    return spark.createDataFrame([(*r, "clash") for r in rows], "pair_id long, turn int, role string, text string, side string").drop("side")
+    return spark.createDataFrame([(*r, "clash") for r in rows], "pair_id long, turn int, role string, text string, side string")
 
 
 def test_pairs_share_one_prompt(spark):
     chosen = turns(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "more"), (2, 0, "user", "q"), (3, 0, None, None), (3, 1, "assistant", "x")])
     rejected = turns(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "bad!"), (2, 0, "user", "q"), (2, 1, "assistant", "tail"), (3, 0, None, None), (3, 1, "assistant", "x")])
-    got = {r["pair_id"]: r for r in chat_format.format_preferences(chosen, rejected).collect()}
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(chat_format.both_sides(chosen, rejected)).collect()}
     one = got[1]
     assert one["n_common"] == 1 and one["prompt"] == "<|user|>\nq<|end|>\n"
     assert one["chosen"] == "<|assistant|>\ngood<|end|>\n<|user|>\nmore<|end|>\n" and one["rejected"] == "<|assistant|>\nbad!<|end|>\n"
@@ -51,11 +51,23 @@ def test_pairs_share_one_prompt(spark):
     assert one["chosen"][start : start + size] == "good<|end|>\n" and one["chosen_mask"] == one["rejected_mask"]
     assert got[2]["n_common"] == 1 and got[2]["chosen"] == "" and got[2]["rejected_mask"] == "14:12"
     assert got[3]["n_common"] == 2 and got[3]["chosen"] == got[3]["rejected"] == "" and got[3]["prompt"].startswith("<|unknown|>\n<|end|>\n")
-    assert chat_format.format_preferences(chosen.limit(0), rejected.limit(0)).count() == 0
+    assert chat_format.format_preferences(chat_format.both_sides(chosen.limit(0), rejected.limit(0))).count() == 0
 
 
 def test_contrast(spark):
     d = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "user", "r"), (1, 3, "assistant", "last"), (1, 4, "user", "bye"), (2, 0, "user", "only")], "conv_id long, turn int, role string, text string")
-    chosen, rejected = chat_format.contrast(d)
-    got = chat_format.format_preferences(chosen, rejected).collect()
+    got = chat_format.format_preferences(chat_format.contrast(d)).collect()
     assert len(got) == 1 and "last" in got[0]["chosen"] and "first" in got[0]["rejected"] and got[0]["n_common"] == 3
+
+
+def test_conversations_with_nulls_ties_and_long_turns(spark):
+    long = "word " * 50_000
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a")]  # no id: one pair without id
+    rows += [(7, None, "assistant", "only")]  # a null turn stands first
+    rows += [(8, 0, "user", "x"), (8, 0, "user", "x"), (8, 1, "assistant", long), (8, 1, "assistant", long)]
+    d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn int, role string, text string, last string, pos int")
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(chat_format.contrast(d)).collect()}
+    assert set(got) == {None, 7, 8}
+    assert got[None]["prompt"].endswith("q<|end|>\n") and "a<|end|>" in got[None]["chosen"] and "q<|end|>" in got[None]["rejected"]
+    assert got[7]["prompt"] == "" and got[7]["chosen"] == "<|assistant|>\nonly<|end|>\n"
+    assert got[8]["n_common"] == 2 and got[8]["chosen"].count(long) == 2

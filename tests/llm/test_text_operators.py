@@ -391,6 +391,37 @@ def test_rules_bear_clashing_columns(docs):
     assert quality_rules.judge(clash).count() == docs.count()
 
 
+def test_classifier_bears_repeated_rows_and_empty_tables(spark):
+    d = spark.createDataFrame([(1, "good words here", 1), (1, "good words here", 1), (2, "### $$$", 2), (3, "w " * 60_000, 3)], "doc_id long, text string, p_good int")
+    l = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.score(d, quality_classifier.train(d, l)).count() == 4
+    nothing = d.limit(0)
+    assert quality_classifier.score(nothing, quality_classifier.train(nothing, l)).count() == 0
+
+
+def test_classifier_gradient_equals_a_plain_fit():
+    """With full weights (no scaling), the fit reaches what plain numerical descent reaches."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"k{k}" for k in rng.integers(0, 12, 8)) for _ in range(120)]
+    grades = np.array([min(2, t.count("k1 ") + t.count("k2")) for t in texts])
+    buckets, at, dense = quality_classifier.features(pa.array(texts))
+    model = quality_classifier.fit(buckets, at, dense, grades, rounds=3000, rate=0.02)
+
+    def loss(m):
+        p = np.concatenate([np.ones((120, 1)), m.tails(m.scores(buckets, at, dense)), np.zeros((120, 1))], 1)
+        return -np.log(np.maximum(p[np.arange(120), grades] - p[np.arange(120), grades + 1], 1e-12)).mean()
+
+    best = loss(model)
+    for i in range(quality_classifier.SHAPE):  # no step along a dense weight or a threshold helps
+        for step in (-0.02, 0.02):
+            d = model.dense.copy()
+            d[i] += step
+            assert loss(quality_classifier.Model(model.weights, d, model.cuts)) > best - 2e-3
+    for step in (-0.05, 0.05):
+        assert loss(quality_classifier.Model(model.weights, model.dense, model.cuts + step)) > best - 1e-3
+    assert best < 0.7 * -sum(np.mean(grades == g) * np.log(np.mean(grades == g)) for g in set(grades.tolist()))
+
+
 def test_quality_classifier_learns_grades(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
@@ -400,7 +431,7 @@ def test_quality_classifier_learns_grades(spark):
         words = ["###$$$"] * 40 if grade == 0 else [*words, "nasty", "nasty,"] if grade == 1 else words
         rows.append((i, " ".join(words), "clash"))
         labels.append((i, int(grade > 0), int(grade == 1)))
-    d = spark.createDataFrame([*rows, (1000, None, "x"), (1001, "", "x")], "doc_id long, text string, kept string").drop("kept")
+    d = spark.createDataFrame([*rows, (1000, None, "x"), (1001, "", "x")], "doc_id long, text string, kept string")
     l = spark.createDataFrame([*labels, (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     held_out = l.filter("doc_id % 5 <> 0 or doc_id is null")
     got = {r["doc_id"]: r for r in quality_classifier.score(d, quality_classifier.train(d, held_out)).collect()}
