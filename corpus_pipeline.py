@@ -29,10 +29,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A character that loses some of its bytes loses the others too.
     """
-    d = suffix_dedup.deduplicate(docs, keep=("lang", "source"))
-    whole = F.col("kept").cast("string")
-    text = F.when(F.is_valid_utf8(whole), whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("�"), F.lit("")))
-    d = d.select("doc_id", text.alias("text"), F.col("rest.lang").alias("lang"), F.col("rest.source").alias("source"))
+    d = suffix_dedup.deduplicate(docs, keep=("lang", "source"), whole_characters=True)
+    d = d.select("doc_id", F.col("kept").cast("string").alias("text"), F.col("rest.lang").alias("lang"), F.col("rest.source").alias("source"))
     return d.withColumn("n_chars", F.length("text").cast("long"))
 
 
