@@ -1,24 +1,31 @@
 """Operator 1: main text of web pages by equivalence-class template deduction.
 
-Pages of one host are read in batches of ``BATCH``. A token is a tag in its role: name,
-class, id and the structural elements around it. Each token has an occurrence vector, its
-count on every page of the batch; tokens of equal vectors form an equivalence class. A class
-is valid if its tokens occur at most once a page, on at least half of the pages, and in one
-order on all of them. Valid classes nest into one template: the tokens of the class on all
-pages, with those of narrower classes (parts that some pages lack) between them. What lies
-between two template tokens is a slot. A slot is content if it stands in the article region
-of the template, or, where the template has none, holds the most text outside boilerplate.
-A page that lacks the template's content slots is read by its own tokens alone.
-
-Content becomes blocks at block-level tags; menus, forms, asides, adverts, comments and the
-like inside it are left out by element, class, id and role.
+Pages of one host are read in batches of ``BATCH``. A token is a tag in its role (name, class,
+id and the structural elements around it) or a text of at least ``WORDS`` words in its place.
+Each token has an occurrence vector, its count on every different page of the batch; tokens of
+equal vectors form an equivalence class. A class is valid if its tokens occur at most once a
+page, on at least half of the pages, and in one order on all of them. Valid classes nest into
+one template: the tokens of the class on all pages, with those of narrower classes (parts that
+some pages lack) between them. What lies between two template tokens is a slot.
+
+What repeats is boilerplate, what varies is content: texts that belong to the template are
+left out wherever they stand, and of the slots those are read that lie in the article region
+of the template or, where it has none, in the element that holds the most varying text.
+Within these slots elements that are no text by the HTML standard (nav, aside, form, ...) are
+left out. Words in a class or id only break ties: an element so marked goes if it belongs to
+the template, or if its whole mark says that it is an advert, comments or the like.
+A batch of fewer than ``FEW`` different pages shows no repetition, and a page that lacks the
+template's content slots is read by its own tokens alone: both rest on elements and marks.
+Where most of the region's text repeats, the pages are copies, and all of it is read.
 
 Scale: pages are dealt by host, hot hosts by host and salt (at most 4 hosts per shuffle
 partition can be hot, so their table is bounded); a task streams its pages, one batch in
-memory. One shuffle of the pages.
+memory. One shuffle of the pages. A page costs time and memory linear in its length,
+however deep it nests.
 
 Edge cases: null or empty html gives empty text; a null url is a host of its own; repeated
-rows are pages of their own; broken or cut markup is read as far as it goes; very long pages
+rows are pages of their own; attributes are read by the states of the HTML standard, a quote
+that never closes ends with its tag, a tag cut by the end of the page is none; very long pages
 are read whole; an empty table gives an empty result.
 """
 
@@ -33,84 +40,146 @@ from pyspark.sql import functions as F
 from .common import partitions, table
 
 BATCH = 64
+FEW = 3
+WORDS = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|iframe|template|svg|select|button|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_VALUE = r"\"(?:[^\"]*+\"|[^>]*+)|'(?:[^']*+'|[^>]*+)|[^\s>\"'][^\s>]*+"
+_REST = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|iframe|template|svg|select|button|object|math)\b{_REST}(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})(?:>|\Z)|[^<]+|<", re.S | re.I)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+")
 
 #: Fixed vocabulary of the HTML standard, by what the elements are for.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER = frozenset("nav footer aside form head title dialog menu fieldset label option".split())
+BOILER = frozenset("nav footer aside form head title dialog menu fieldset option".split())
 STRUCTURE = frozenset("html head body main article section div nav header footer aside form ul ol table dl".split())
-#: Words in a class, id or role that mark boilerplate, and those that mark the article.
-_BOILER_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|footer|masthead|topbar|toolbar|sidebar|widgets?|related|recommended|share|sharing|social|comments?|respond|repl(?:y|ies)|discussion|disqus|cookies?|consent|notices?|alert|newsletter|subscribe|signup|login|popup|modal|overlay|search|copyright|legal|disclaimer|pagination|pager|complementary|contentinfo|navigation|hidden|skip)(?:$|[\s_-]|\d)", re.I)
+#: Words of a class, id or role: those that name boilerplate by themselves, those that do so
+#: only on an element of the template, and those that may stand beside either.
+_SURE = frozenset("ad ads advert advertisement adsense sponsor sponsored promo nav navigation menu breadcrumb breadcrumbs footer masthead sidebar related recommended share sharing comment comments respond disqus cookie cookies consent newsletter subscribe signup login popup modal overlay pagination pager complementary contentinfo banner".split())
+_UNSURE = frozenset("social reply replies discussion notice notices alert search copyright legal disclaimer hidden skip widget widgets topbar toolbar".split())
+_BESIDE = frozenset("area article bar block body bottom box buttons container content entry form footer group header inner item items left link links list main page panel post right section site story thread title top wrap wrapper".split())
 _MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story)(?:$|[\s_-]|body|text|content)", re.I)
 
 
-class Token:
-    __slots__ = ("close", "main", "boiler", "name", "role", "text")
+class Paths:
+    """Structural positions as numbers; a child's is greater than its parent's."""
+
+    def __init__(self):
+        self.parent, self.known, self.article = [0], {}, [False]
+
+    def child(self, at: int, name: str, mark: str) -> int:
+        key = (at, name, mark)
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = len(self.parent)
+            self.parent.append(at)
+            self.article.append(self.article[at] or name in ("article", "main"))
+        return found
 
-    def __init__(self, name, close=False, role=None, text=None, boiler=False, main=False):
-        self.name, self.close, self.role, self.text, self.boiler, self.main = name, close, role, text, boiler, main
+    def below(self, top: int) -> list[bool]:
+        """Which positions lie at or below ``top``."""
+        out = [False] * len(self.parent)
+        for p in range(top, len(out)):
+            out[p] = p == top or (p > 0 and out[self.parent[p]])
+        return out
 
 
-def tokens(page: str) -> list[Token]:
+class Token:
+    """``role`` of a tag: (name, mark, path), closing ones with a mark of "/..."; of a text:
+    (None, text, path), None where it is short. ``sure`` and ``unsure``: marks of boilerplate."""
+
+    __slots__ = ("close", "main", "name", "path", "role", "sure", "text", "unsure")
+
+    def __init__(self, name, path, close=False, role=None, text=None, sure=False, unsure=False, main=False):
+        self.name, self.path, self.close, self.role, self.text, self.sure, self.unsure, self.main = name, path, close, role, text, sure, unsure, main
+
+
+def marks_of(rest: str) -> tuple[str, bool, bool, bool]:
+    """(mark, sure, unsure, main) from a tag's attributes."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        value = value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value
+        found.setdefault(name.lower(), value)
+    named = " ".join(found.get(a, "") for a in ("class", "id", "role", "itemprop"))
+    sure = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    unsure = False
+    for a in ("class", "id", "role"):
+        for one in found.get(a, "").lower().split():
+            words = [w for w in re.split(r"[\W\d_]+", one) if w]
+            said = [w for w in words if w in _SURE or w in _UNSURE]
+            unsure = unsure or bool(said)
+            sure = sure or any(w in _SURE for w in words) and all(w in _SURE or w in _UNSURE or w in _BESIDE for w in words)
+    return re.sub(r"\d+", "#", found.get("class", "") + "." + found.get("id", "")), sure, unsure, bool(_MAIN_WORD.search(named))
+
+
+def tokens(page: str, paths: Paths | None = None) -> list[Token]:
     """Tags and texts of a page in order; scripts, styles and comments are dropped here."""
-    out, path, seen = [], [], {}
+    paths = paths or Paths()
+    out, stack, open_, seen = [], [(0, "", "")], {}, {}
     for m in _TOKEN.finditer(page):
-        name = m["name"]
+        name, at = m["name"], stack[-1][0]
         if name is None:
             if m["raw"] is None and not m[0].startswith(("<!", "<?")):
-                out.append(Token(None, text=m[0]))
+                words = m[0].split()
+                out.append(Token(None, at, text=m[0], role=(None, " ".join(words), at) if len(words) >= WORDS else None))
             continue
+        if m.end() == len(page) and not m[0].endswith(">"):
+            continue  # cut by the end of the page
         name, close = name.lower(), bool(m["close"])
         if close:
-            role = (name, "/", tuple(path))
-            if name in STRUCTURE and any(p[0] == name for p in path):
-                while path[-1][0] != name:
-                    path.pop()
-                mark = path.pop()
-                role = (name, "/" + mark[1], tuple(path))
-            out.append(Token(name, True, role))
+            role = (name, "/", at)
+            if name in STRUCTURE and open_.get(name):
+                while stack[-1][1] != name:
+                    open_[stack.pop()[1]] -= 1
+                _, _, mark = stack.pop()
+                open_[name] -= 1
+                at = stack[-1][0]
+                role = (name, "/" + mark, at)
+            out.append(Token(name, at, True, role))
             continue
         found = seen.get(m["rest"])
         if found is None:
-            marks = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m["rest"])}
-            words = " ".join(marks.get(a, "") for a in ("class", "id", "role", "itemprop"))
-            hidden = "hidden" in marks or marks.get("aria-hidden") == "true"
-            found = seen[m["rest"]] = (re.sub(r"\d+", "#", marks.get("class", "") + "." + marks.get("id", "")), hidden or bool(_BOILER_WORD.search(words)), bool(_MAIN_WORD.search(words)))
-        mark, boiler, main = found
-        main = name in ("article", "main") or main and not boiler and name in ("div", "section", "td")
-        boiler = name in BOILER or boiler and name not in ("article", "main", "body", "html")
-        out.append(Token(name, False, (name, mark, tuple(path)), boiler=boiler, main=main))
+            found = seen[m["rest"]] = marks_of(m["rest"])
+        mark, sure, unsure, main = found
+        plain = name in ("article", "main", "body", "html")
+        main = name in ("article", "main") or main and not sure and name in ("div", "section", "td")
+        boiler = name in BOILER or name == "header" and not paths.article[at]
+        out.append(Token(name, at, False, (name, mark, at), sure=boiler or sure and not plain, unsure=unsure and not plain, main=main))
         if name in STRUCTURE and not m["rest"].endswith("/"):
-            path.append((name, mark))
+            stack.append((paths.child(at, name, mark), name, mark))
+            open_[name] = open_.get(name, 0) + 1
     return out
 
 
-def template(pages: list[list[Token]]) -> list[tuple]:
-    """Roles of the template tokens in order, from the valid equivalence classes."""
-    n, count, where = len(pages), {}, {}
+def occurrences(pages: list[list[Token]]) -> dict[tuple, dict[int, int]]:
+    """The occurrence vector of every role: its count by page."""
+    count: dict[tuple, dict[int, int]] = {}
     for i, page in enumerate(pages):
-        for at, t in enumerate(page):
+        for t in page:
             if t.role is not None:
                 vector = count.setdefault(t.role, {})
                 vector[i] = vector.get(i, 0) + 1
-                where[t.role, i] = at
+    return count
+
+
+def template(pages: list[list[Token]], count: dict | None = None) -> list[tuple]:
+    """Roles of the template tokens in order, from the valid equivalence classes."""
+    n, count = len(pages), count or occurrences(pages)
+    where = {(t.role, i): at for i, page in enumerate(pages) for at, t in enumerate(page) if t.role is not None}
     classes: dict[tuple, list[tuple]] = {}
     for role, vector in count.items():
-        if 2 * len(vector) >= n and max(vector.values()) == 1:
+        if 2 * len(vector) >= n and max(vector.values()) == 1 and (role[0] is not None or n >= FEW):
             classes.setdefault(tuple(vector), []).append(role)
     out: list[tuple] = []
     for members, roles in sorted(classes.items(), key=lambda c: (-len(c[0]), c[0])):  # the widest class is the outermost
-        orders = {tuple(sorted(range(len(roles)), key=lambda k, i=i: where[roles[k], i])) for i in members}
-        if len(orders) > 1:
-            continue
-        mine = [roles[k] for k in orders.pop()]
         i = members[0]
+        mine = sorted(roles, key=lambda r: where[r, i])
+        in_order = lambda rs, j: all(where[a, j] < where[b, j] for a, b in zip(rs[:-1], rs[1:], strict=True))
+        if not all(in_order(mine, j) for j in members):
+            continue
         merged = sorted([*(r for r in out if (r, i) in where), *mine], key=lambda r: where[r, i])
-        nests = all([r for r in merged if (r, j) in where] == sorted((r for r in merged if (r, j) in where), key=lambda r: where[r, j]) for j in members)
-        if nests:  # its tokens keep their places among the outer ones on every page
+        if all(in_order([r for r in merged if (r, j) in where], j) for j in members):
+            # its tokens keep their places among the outer ones on every page
             rest = [r for r in out if (r, i) not in where]
             out = merged if not rest else _weave(out, merged)
     return out
@@ -118,76 +187,104 @@ def template(pages: list[list[Token]]) -> list[tuple]:
 
 def _weave(outer: list[tuple], inner: list[tuple]) -> list[tuple]:
     """``outer`` with the new roles of ``inner`` set after the role that they follow."""
-    have, out = set(outer), list(outer)
-    at = 0
+    have, after, last = set(outer), {}, None
     for r in inner:
         if r in have:
-            at = out.index(r) + 1
+            last = r
         else:
-            out.insert(at, r)
-            at += 1
+            after.setdefault(last, []).append(r)
+    out = list(after.get(None, []))
+    for r in outer:
+        out.append(r)
+        out += after.get(r, [])
     return out
 
 
-def _text_size(page: list[Token], a: int, b: int) -> int:
-    return sum(len(t.text.strip()) for t in page[a:b] if t.text)
-
-
-def content_slots(roles: list[tuple], pages: list[list[Token]]) -> set[int]:
-    """Slots (k: from template token k to the next) that hold the content."""
-    kinds = {}
-    for page in pages:
+class Host:
+    """What the different pages of a batch tell: template, repeated texts, content slots."""
+
+    def __init__(self, pages: list[list[Token]], paths: Paths):
+        self.paths, n = paths, len(pages)
+        count = occurrences(pages)
+        self.often = {r for r, v in count.items() if n >= FEW and 2 * len(v) >= n}
+        self.roles = template(pages, count)
+        self.place = {r: k for k, r in enumerate(self.roles)}
+        self.slots = self._content(pages)
+        inside = [t for p in pages for a, b in self.ranges(p) for t, gone in zip(p[a:b], self.hidden(p)[a:b], strict=True) if t.text and not gone]
+        size = lambda ts: sum(len(t.text.strip()) for t in ts)
+        self.copies = 2 * size([t for t in inside if t.role in self.often]) > size(inside)
+
+    def _content(self, pages: list[list[Token]]) -> set[int]:
+        """Slots (k: from template token k to the next) that hold the content."""
+        kinds: dict[tuple, Token] = {}
+        for page in pages:
+            for t, gone in zip(page, self.hidden(page), strict=True):
+                if t.role is not None and not gone:
+                    kinds.setdefault(t.role, t)
+        regions = []  # from an article's opening token to its closing one
+        for k, role in enumerate(self.roles):
+            t = kinds.get(role)
+            if t is not None and t.main and not t.close:
+                end = self.place.get((role[0], "/" + role[1], role[2]), len(self.roles))
+                regions.append((t.name == "article", t.name == "main", k, end if end > k else len(self.roles)))
+        if regions:
+            best = max(r[:2] for r in regions)
+            return {j for r in regions if r[:2] == best for j in range(r[2], r[3])}
+        # without such a region: the structural element with the most varying text of its own
+        own: dict[int, int] = {}
+        slots: dict[int, set[int]] = {}
+        for page in pages:
+            k = -1
+            for t, gone in zip(page, self.hidden(page), strict=True):
+                k = self.place.get(t.role, k) if t.role is not None else k
+                if t.text and not gone and t.role not in self.often:
+                    own[t.path] = own.get(t.path, 0) + len(t.text.strip())
+                    slots.setdefault(t.path, set()).add(k)
+        best = max(own, key=lambda p: (own[p], -p), default=0)
+        below = self.paths.below(best)
+        return {k for p, ks in slots.items() if below[p] for k in ks}
+
+    def hidden(self, page: list[Token]) -> list[bool]:
+        """True for tokens inside an element that is no text; an article or main opening ends one."""
+        out, depth, name = [], 0, ""
         for t in page:
-            if t.role is not None and t.role not in kinds:
-                kinds[t.role] = t
-    # the article region: from its opening token to its closing one
-    regions = []
-    for k, role in enumerate(roles):
-        t = kinds[role]
-        if t.main and not t.close and not any(kinds.get((*p, role[2][:i]), t).boiler for i, p in enumerate(role[2])):
-            end = next((j for j in range(k + 1, len(roles)) if roles[j] == (role[0], "/" + role[1], role[2])), len(roles))
-            regions.append((t.name == "article", t.name == "main", k, end))
-    if regions:
-        best = max(r[:2] for r in regions)
-        return {j for r in regions if r[:2] == best for j in range(r[2], r[3])}
-    size: dict[int, int] = {}
-    for page in pages:
-        at = {t.role: i for i, t in enumerate(page) if t.role is not None}
-        marks = [(0, -1), *((at[r], k) for k, r in enumerate(roles) if r in at)]
-        boiler = _boiler_mask(page)
-        for (a, k), (b, _) in zip(marks, [*marks, (len(page), -1)][1:], strict=True):
-            size[k] = size.get(k, 0) + sum(len(t.text.strip()) for t, hide in zip(page[a:b], boiler[a:b], strict=True) if t.text and not hide)
-    # without such a region: the structural element with the most text of its own, and what is in it
-    inside = {k: () if k < 0 else (*roles[k][2], roles[k][:2]) if roles[k][0] in STRUCTURE and not roles[k][1].startswith("/") else roles[k][2] for k in size}
-    own: dict[tuple, int] = {}
-    for k, n in size.items():
-        own[inside[k]] = own.get(inside[k], 0) + n
-    best = max(own, key=lambda p: (own[p], -len(p)), default=())
-    return {k for k in size if inside[k][: len(best)] == best}
-
-
-def _boiler_mask(page: list[Token]) -> list[bool]:
-    """True for tokens inside a boilerplate element; an article or main opening ends one."""
-    out, depth, name = [], 0, ""
-    for t in page:
-        if depth and t.name in ("article", "main") and not t.close:
-            depth = 0
-        if depth:
-            if t.name == name:
-                depth += -1 if t.close else 1
-            out.append(True)
-            continue
-        if t.boiler and not t.close and t.name not in VOID:
-            depth, name = 1, t.name
-            out.append(True)
-        else:
-            out.append(False)
-    return out
-
-
-def text_of(page: list[Token], use: list[tuple[int, int]]) -> str:
-    """Blocks of the token ranges ``use``, boilerplate elements left out."""
-    hide, blocks, now = _boiler_mask(page), [], []
+            if depth and (t.name in ("article", "main") and not t.close or name == "p" and t.name in BLOCKS and not (t.name == "p" and t.close)):
+                depth = 0
+            if depth:
+                if t.name == name:
+                    depth += -1 if t.close else 1
+                out.append(True)
+                continue
+            hides = not t.close and t.name is not None and t.name not in VOID and (t.sure or t.unsure and t.role in self.often)
+            if hides:
+                depth, name = 1, t.name
+            out.append(hides)
+        return out
+
+    def ranges(self, page: list[Token]) -> list[tuple[int, int]]:
+        """Token ranges of the content slots; slot -1 is what stands before the template."""
+        out: list[tuple[int, int]] = []
+        k, begin = -1, 0
+        for i, t in enumerate(page):
+            new = self.place.get(t.role, k) if t.role is not None else k
+            if (new in self.slots) != (k in self.slots):
+                if k in self.slots and i > begin:
+                    out.append((begin, i))
+                begin = i
+            k = new
+        if k in self.slots and begin < len(page):
+            out.append((begin, len(page)))
+        return out
+
+    def text(self, page: list[Token]) -> str:
+        """Blocks of the content slots without hidden elements and repeated texts."""
+        use, hide = self.ranges(page), self.hidden(page)
+        return text_of(page, use, hide, frozenset() if self.copies else self.often)
+
+
+def text_of(page: list[Token], use: list[tuple[int, int]], hide: list[bool], repeated=frozenset()) -> str:
+    """Blocks of the token ranges ``use``; hidden tokens and ``repeated`` texts are left out."""
+    blocks, now = [], []
 
     def end():
         words = " ".join(entities.unescape("".join(now)).split())
@@ -203,44 +300,26 @@ def text_of(page: list[Token], use: list[tuple[int, int]]) -> str:
                 continue
             elif t.name == "br":
                 now.append(" ")
-            elif t.text is not None:
+            elif t.text is not None and t.role not in repeated:
                 now.append(t.text)
         end()
-    end()
     return "\n\n".join(blocks)
 
 
-def _ranges(page: list[Token], roles: list[tuple], slots: set[int]) -> list[tuple[int, int]]:
-    at = {}
-    for i, t in enumerate(page):
-        if t.role is not None:
-            at.setdefault(t.role, i)
-    marks = [(0, -1), *((at[r], k) for k, r in enumerate(roles) if r in at)]  # slot -1 is what stands before
-    out: list[tuple[int, int]] = []
-    for (a, k), (b, _) in zip(marks, [*marks, (len(page), -1)][1:], strict=True):
-        if k in slots and b > a:
-            if out and out[-1][1] == a:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-    return out
-
-
 def extract(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
-    read = [tokens(p or "") for p in pages]
-    roles = template([p for p in read if p]) if any(read) else []
-    slots = content_slots(roles, read) if roles else set()
-    out = []
-    for page in read:
-        use = _ranges(page, roles, slots)
-        if page and not any(_text_size(page, a, b) for a, b in use):
-            own = template([page])
-            use = _ranges(page, own, content_slots(own, [page])) if own else []
-            if not any(_text_size(page, a, b) for a, b in use):
-                use = [(0, len(page))]
-        out.append(text_of(page, use))
-    return out
+    paths, known = Paths(), {}
+    for p in pages:
+        if p and p not in known:
+            known[p] = tokens(p, paths)
+    host = Host(list(known.values()), paths) if known else None
+    done = {}
+    for p, page in known.items():
+        text = host.text(page)
+        if not text and len(known) > 1:
+            text = Host([page], paths).text(page)
+        done[p] = text or text_of(page, [(0, len(page))], Host([page], paths).hidden(page))
+    return [done.get(p, "") if p else "" for p in pages]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -20,12 +20,72 @@ def test_pages():
 
 
 def test_template_is_one_order_of_valid_classes():
-    pages = [html_extraction.tokens(PAGE.format(i)) for i in range(3)]
+    paths = html_extraction.Paths()
+    pages = [html_extraction.tokens(PAGE.format(i), paths) for i in range(3)]
     roles = html_extraction.template(pages)
     at = [[next(i for i, t in enumerate(p) if t.role == r) for r in roles] for p in pages]
     assert len(roles) > 15 and all(x == sorted(x) for x in at)
 
 
+UNMARKED = (
+    "<body><div class=k1>Home and About us here<ul><li>Our own shop of things</ul></div><div class=k2><h2>Title {0}</h2><p>Words {0} of the article, {1}.</p>"
+    "<p>Subscribe to our weekly letter now</p><p>It ends {1}.</p></div><div class=k3>All rights are with us</div></body>"
+)
+
+
+def test_repetition_tells_boilerplate_without_marks():
+    """A host whose boilerplate has no telling class: only the template knows."""
+    got = html_extraction.extract([UNMARKED.format(i, i * 7) for i in range(6)])
+    assert got == [f"Title {i}\n\nWords {i} of the article, {i * 7}.\n\nIt ends {i * 7}." for i in range(6)]
+    alone = html_extraction.extract([UNMARKED.format(1, 7)])[0]
+    assert alone != got[1] and "Words 1 of the article, 7." in alone and "All rights" in alone
+
+
+def test_two_templates_on_one_host_and_copies():
+    pages = [x for i in range(5) for x in (PAGE.format(f"Text {i}"), UNMARKED.format(i, i * 7))]
+    got = html_extraction.extract(pages)
+    assert all(f"Text {i} more" in got[2 * i] and "cookies" not in got[2 * i] for i in range(5))
+    assert all(f"Words {i} of the article, {i * 7}." in got[2 * i + 1] for i in range(5))
+    same = ["<article><p>The very same text stands here.</p><p>And a second one as well.</p><p>Part " + str(i) + "</p></article>" for i in range(6)]
+    assert html_extraction.extract(same + same)[3] == "The very same text stands here.\n\nAnd a second one as well.\n\nPart 3"
+
+
+def test_marks_only_break_ties():
+    page = (
+        '<article><p>Body {} of it.</p><div class="post-social-history"><p>History {} here.</p></div><section id="legal"><p>Legal {} matters.</p></section>'
+        '<div class="search-methods"><p>We search {}.</p></div><div class="comment-list"><p>reader {}</p></div><p class="ad">buy {}<p>And <label>prose</label> on.</article>'
+    )
+    want = "Body {0} of it.\n\nHistory {0} here.\n\nLegal {0} matters.\n\nWe search {0}.\n\nAnd prose on."
+    assert html_extraction.extract([page.format(*"a" * 6)]) == [want.format("a")]
+    # on every page of the host, what is marked belongs to the template
+    many = html_extraction.extract([page.format(*[i] * 6) for i in range(5)])
+    assert many[2] == "Body 2 of it.\n\nAnd prose on."
+    plain = "<article><p>Body {} only.</p></article>"
+    one = html_extraction.extract([page.format(*"a" * 6), *[plain.format(i) for i in range(5)]])
+    assert one[0] == want.format("a")
+
+
+def test_attributes_by_the_states_of_the_standard():
+    cases = {
+        "<p title=it's>Hello world, don't go</p>": "Hello world, don't go",
+        '<p>a <img alt="x> b</p>': "a b",
+        "<p>a <b title = 'x > y' data-q=\"<i>\">b</b></p>": "a b",
+        "<p a='1'b=\"2\"/c>text</p><p>cut <img src=": "text\n\ncut",
+        "<p>2 < 3 &amp; &#x34; > 1</p>": "2 < 3 & 4 > 1",
+    }
+    for page, want in cases.items():
+        assert html_extraction.extract([page]) == [want]
+
+
+def test_nesting_costs_linear_time():
+    import time
+
+    began = time.time()
+    assert html_extraction.extract(["<div>" * 50_000 + "text here"]) == ["text here"]
+    assert html_extraction.extract(["<div><nav>" * 20_000 + "</nav>" * 20_000 + "<p>out</p>"] * 3)[0] in ("", "out")
+    assert time.time() - began < 20
+
+
 def test_page_table(spark):
     rows = [(1, "http://a.b/x", PAGE.format("P"), "x"), (1, "http://a.b/x", PAGE.format("P"), "x"), (2, None, None, "x"), (None, "bad url", "<article><p>" + "word " * 90000, "x")]
     rows += [(10 + i, "http://a.b/y", PAGE.format(i), "x") for i in range(90)]
