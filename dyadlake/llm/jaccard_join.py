@@ -49,6 +49,8 @@ HOT = 1_000_000
 FAMILY = 1 << 17
 CELL = 512
 SLICE = 2000
+#: Rows (doc_id, class) of sets to compare that are broadcast at most, some 24 MB.
+SENT = 1_000_000
 #: Leaders that a cell looks for; sets far from all of these stand by themselves.
 LEADERS = 16
 
@@ -529,7 +531,10 @@ def linked(docs: DataFrame) -> DataFrame:
             packed = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(class_ids(grams, at)), pa.array(packed, pa.binary()), batch.column(1)], ["cls", "grams", "want"])
 
-    sets = docs.join(live.select(F.col("rep"), F.col("cls").alias("want")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
+    wanted = live.select(F.col("rep"), F.col("cls").alias("want"))
+    if live.count() <= SENT:  # beyond, the texts are dealt by doc_id instead
+        wanted = F.broadcast(wanted)
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
     sets = sets.mapInArrow(to_sets, "cls long, grams binary, want long").filter("cls = want").drop("want")
     sets = materialize(sets.dropDuplicates(["cls"]), "jaccard-sets")  # rows of one doc_id may be equal
     live = live.join(supported(sets, parts), "cls").filter(F.col("shared") >= F.col("n") - misses).select("cls", "n")
