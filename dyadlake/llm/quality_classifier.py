@@ -35,7 +35,7 @@ THRESHOLD = 0.5
 SHAPE = 10
 
 
-def _slices(batches, rows: int = 1000):
+def _slices(batches, rows: int = 500):
     """Batches in pieces, so that a worker holds the features of few texts at a time."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             packed = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(packed, pa.binary()), pa.array(dense.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["doc_id", "grade", "buckets", "dense"])
 
-    rows = rated.mapInArrow(run, "doc_id long, grade int, buckets binary, dense array<float>").orderBy("doc_id").toArrow()
+    rows = rated.mapInArrow(run, "doc_id long, grade int, buckets binary, dense array<float>").toArrow().sort_by("doc_id")
     lists = [np.frombuffer(b, np.int32) for b in rows.column("buckets").to_pylist()]
     if not lists:
         return Model()
