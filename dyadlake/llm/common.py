@@ -61,6 +61,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system.
+
+    Python workers live on between stages; what their allocators keep would add to the peak
+    of whatever stage comes next.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def ending(run):
+    """A mapInArrow function that gives back its memory when its partition has ended."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer over uint64, in place where possible."""
     x = x ^ (x >> np.uint64(32))
@@ -163,7 +191,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     return mix64(out + size.astype(np.uint64)), out_offsets
 
 
-def bounds_by_id(df: DataFrame, column: str, text: str = "text", least: int = 512, most_bytes: int = 8 << 20) -> list[int]:
+def bounds_by_id(df: DataFrame, column: str, text: str = "text", least: int = 512, most_bytes: int = 4 << 20) -> list[int]:
     """Cut points that split ``column`` into ranges of about equal rows.
 
     Four ranges per shuffle partition, more where these would hold over ``most_bytes`` of

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, materialize, mix64, partitions, shingle_hashes, table, text_buffers, word_hashes
+from .common import DOC_COLUMNS, ending, give_back, materialize, mix64, partitions, shingle_hashes, table, text_buffers, word_hashes
 
 NUM, DEN, WORDS = 85, 100, 4
 DEPTH = 2
@@ -144,7 +144,7 @@ def classes(docs: DataFrame) -> DataFrame:
             grams, at = shingle_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at)), pa.array(class_ids(grams, at))], ["doc_id", "h", "n", "cls"])
 
-    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, n long, cls long")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(ending(run), "doc_id long, h long, n long, cls long")
 
 
 def hot_shingles(docs: DataFrame, n: int, cut: int) -> np.ndarray:
@@ -164,7 +164,7 @@ def hot_shingles(docs: DataFrame, n: int, cut: int) -> np.ndarray:
         many = own[np.bincount(which, times) > cut]
         return pa.table([pa.array([many.tobytes()], pa.binary())], ["hot"])
 
-    rows = docs.mapInArrow(count, BLOBS).groupBy("bucket").applyInArrow(total, "hot binary").filter(F.length("hot") > 0).collect()
+    rows = docs.mapInArrow(ending(count), BLOBS).groupBy("bucket").applyInArrow(total, "hot binary").filter(F.length("hot") > 0).collect()
     return np.sort(np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in rows])) if rows else np.zeros(0, np.uint64)
 
 
@@ -241,9 +241,10 @@ def live_entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         some, links = possible(grams, size, position)
         own, times = np.unique(ids[some], return_counts=True)
         kinds = np.repeat(np.array([0, 1], np.int32), [len(own), int(links.sum())])
+        give_back()
         return pa.table([pa.array(kinds), pa.array(np.concatenate([times, grams[links].view(np.int64)])), pa.array(np.concatenate([own, ids[links]]))], ["kind", "key", "cls"])
 
-    return docs.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, "kind int, key long, cls long")
+    return docs.mapInArrow(ending(index), BLOBS).groupBy("bucket").applyInArrow(meet, "kind int, key long, cls long")
 
 
 def supported(sets: DataFrame, n: int) -> DataFrame:
@@ -280,7 +281,7 @@ def supported(sets: DataFrame, n: int) -> DataFrame:
         own, which = np.unique(ids, return_inverse=True)
         return pa.table([pa.array(own), pa.array(np.bincount(which, times).astype(np.int64))], ["cls", "shared"])
 
-    counts = sets.mapInArrow(index, BLOBS).groupBy("bucket").applyInArrow(meet, BLOBS)
+    counts = sets.mapInArrow(ending(index), BLOBS).groupBy("bucket").applyInArrow(meet, BLOBS)
     return counts.groupBy("bucket").applyInArrow(total, "cls long, shared long")
 
 
@@ -535,7 +536,7 @@ def linked(docs: DataFrame) -> DataFrame:
     if live.count() <= SENT:  # beyond, the texts are dealt by doc_id instead
         wanted = F.broadcast(wanted)
     sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
-    sets = sets.mapInArrow(to_sets, "cls long, grams binary, want long").filter("cls = want").drop("want")
+    sets = sets.mapInArrow(ending(to_sets), "cls long, grams binary, want long").filter("cls = want").drop("want")
     sets = materialize(sets.dropDuplicates(["cls"]), "jaccard-sets")  # rows of one doc_id may be equal
     live = live.join(supported(sets, parts), "cls").filter(F.col("shared") >= F.col("n") - misses).select("cls", "n")
     lists = materialize(said.filter("kind = 1").select("key", "cls").join(live, "cls"), "jaccard-lists")

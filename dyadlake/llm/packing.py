@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import ending, materialize, table
 from .tokens import Encoder
 
 WINDOW = 4096
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
                     crcs.append([zlib.crc32(data[i : min(i + window, b)]) for i in range(a, b, window)])
                 yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(crcs)), pa.array(np.diff(offsets)), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ending(run), "doc_id long, doc_tokens long, crcs array<long>")
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, PUNCTUATED, table, text_buffers, word_hashes
+from .common import DOC_COLUMNS, PUNCTUATED, ending, table, text_buffers, word_hashes
 
 MAX_TRAIN = 20_000
 BITS = 20
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             packed = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(packed, pa.binary()), pa.array(dense.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["doc_id", "grade", "buckets", "dense"])
 
-    rows = rated.mapInArrow(run, "doc_id long, grade int, buckets binary, dense array<float>").toArrow().sort_by("doc_id")
+    rows = rated.mapInArrow(ending(run), "doc_id long, grade int, buckets binary, dense array<float>").toArrow().sort_by("doc_id")
     lists = [np.frombuffer(b, np.int32) for b in rows.column("buckets").to_pylist()]
     if not lists:
         return Model()
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             p = model.tails(model.scores(*features(batch.column(place))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], [*batch.schema.names, "expected_grade", "p_sound", "p_good", "kept"])
 
-    return docs.mapInArrow(run, f"{fields}, expected_grade double, p_sound double, p_good double, kept boolean")
+    return docs.mapInArrow(ending(run), f"{fields}, expected_grade double, p_sound double, p_good double, kept boolean")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ ranks are replaced by names (hashes) that any task can compute by itself:
 A string's name joins two polynomials modulo 2**31 - 1 at points drawn anew for each run, so
 no text can be made to collide: different strings meet with a chance of about 2**-62.
 
-Scale: the corpus is cut by doc_id into ranges (parts) of at most some 8 MB on average, the
+Scale: the corpus is cut by doc_id into ranges (parts) of at most some 4 MB on average, the
 shuffled unit. What moves is 4 bytes per sampled tuple (1 of 7 positions) and 8 per position
 that may repeat, less what compression takes, each name once per part, so a passage that a
 third of all documents hold is one entry per part, in buckets that are even by hash and as
@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounds_by_id, materialize, mix64, partitions, table
+from .common import bounds_by_id, ending, give_back, materialize, mix64, partitions, table
 
 LENGTH = 100
 #: A perfect difference set: every residue modulo 57 is a difference of two members.
@@ -275,7 +275,7 @@ def parts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         texts = [texts[i] for i in order]
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([[ids[i] for i in order]], t.schema.field("ids").type), pa.array([[rests[i] for i in order]], t.schema.field("rest").type), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([compressed(b"".join(texts))], pa.binary())], ["part", "ids", "rest", "lengths", "data"])
 
-    return docs.mapInArrow(ranges, kind).groupBy("part").applyInArrow(gather, kind)
+    return docs.mapInArrow(ending(ranges), kind).groupBy("part").applyInArrow(gather, kind)
 
 
 def repeated_tuples(parts: DataFrame, n: int, key: tuple[int, int]) -> DataFrame:
@@ -311,7 +311,7 @@ def repeated_tuples(parts: DataFrame, n: int, key: tuple[int, int]) -> DataFrame
                 out.append(planes(v, 4))
         return pa.table([pa.array(part, pa.int32()), pa.array([key[0].as_py()] * len(part), pa.int32()), pa.array(out, pa.binary())], ["part", "bucket", "vals"])
 
-    return parts.mapInArrow(sample, "bucket int, part int, vals binary").groupBy("bucket").applyInArrow(compare, "part int, bucket int, vals binary")
+    return parts.mapInArrow(ending(sample), "bucket int, part int, vals binary").groupBy("bucket").applyInArrow(compare, "part int, bucket int, vals binary")
 
 
 def _second(keys: np.ndarray) -> np.ndarray:
@@ -400,7 +400,7 @@ def earlier_texts(parts: DataFrame, n: int) -> DataFrame:
                 row = {k: batch.column(batch.schema.get_field_index(k))[i].as_py() for k in ("part", "ids", "lengths", "data")}
                 yield _names_table(_dealt_names(Part(row).whole()[1], row["part"], n), batch=True)
 
-    return _found_earlier(parts.mapInArrow(name, "bucket int, part int, vals binary"), True)
+    return _found_earlier(parts.mapInArrow(ending(name), "bucket int, part int, vals binary"), True)
 
 
 def earlier_strings(parts: DataFrame, known: DataFrame, n: int, names_key: tuple[int, int]) -> DataFrame:
@@ -413,6 +413,7 @@ def earlier_strings(parts: DataFrame, known: DataFrame, n: int, names_key: tuple
             found = [names for _, names in part.candidates(_tuples_of(right), n, part.copies(_answers(right, 3), n), names_key)]
             rows += _dealt_names(np.concatenate(found) if found else np.zeros(0, np.uint64), key[0].as_py(), n)
         _POWERS.clear()
+        give_back()
         return _names_table(rows)
 
     return _found_earlier(parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(name, "bucket int, part int, vals binary"), False)
@@ -450,6 +451,7 @@ def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, i
                 texts = [x.decode("utf-8", "ignore").encode() for x in texts]
             tables.append(pa.table([pa.array(row["ids"], pa.int64()), left.column("rest").combine_chunks().flatten(), pa.array(part.lengths), pa.array(removed[part.ends] - removed[begins]), pa.array(spans[part.ends] - spans[begins]), pa.array(texts, pa.binary())], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]))
         _POWERS.clear()
+        give_back()
         return pa.concat_tables(tables) if tables else None
 
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, f"doc_id long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept binary")
