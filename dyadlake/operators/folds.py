@@ -61,12 +61,22 @@ def seen_mask(positives: DataFrame, test: DataFrame) -> DataFrame:
     return positives.join(test.select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
-def balance(df: DataFrame, keys: list[str], label: str, unit: str, salt: str = "bal") -> DataFrame:
-    """Class undersampling: in each group as many rows of each class as its smaller one has."""
-    w = Window.partitionBy(*keys, label)
-    d = df.withColumns({"_n": F.count("*").over(w), "_rn": F.row_number().over(w.orderBy(uniform_of(F.col(unit), salt), unit))})
-    least = d.groupBy(*keys).agg(F.min("_n").alias("_m"), F.count_distinct(label).alias("_c"))
-    return d.join(least, keys).filter("_c = 2 and _rn <= _m").drop("_n", "_rn", "_m", "_c")
+def balance(df: DataFrame, keys: list[str], label: str, unit: str, salt: str = "bal", slots: int = 256) -> DataFrame:
+    """Class undersampling: in each group as many rows of each class as its smaller one has.
+
+    Rows go in hash order. Slots of that order are counted; a class keeps the slots that fit
+    whole, and only the rows of the slot in which its quota ends are ranked.
+    """
+    d = df.withColumn("_u", uniform_of(F.col(unit), salt)).withColumn("_slot", F.floor(F.col("_u") * slots))
+    counts = d.groupBy(*keys, label, "_slot").agg(F.count("*").alias("_k"))
+    sizes = counts.groupBy(*keys, label).agg(F.sum("_k").alias("_n")).groupBy(*keys).agg(F.min("_n").alias("_m"), F.count("*").alias("_c")).filter("_c = 2")
+    upto = Window.partitionBy(*keys, label).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_k").over(upto), F.lit(0))).join(sizes, keys)
+    counts = counts.filter("_before < _m").select(*keys, label, "_slot", (F.col("_m") - F.col("_before")).alias("_room"), "_k")
+    d = d.join(counts, [*keys, label, "_slot"])
+    whole = d.filter("_k <= _room")
+    last = d.filter("_k > _room").withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, label).orderBy("_u", unit))).filter("_rn <= _room").drop("_rn")
+    return whole.unionByName(last).drop("_u", "_slot", "_room", "_k")
 
 
 def split(df: DataFrame, unit: str, train: float = 0.8, val: float = 0.1, salt: str = "split") -> DataFrame:

@@ -46,8 +46,9 @@ def curve_metrics(seg: DataFrame, keys: list[str]) -> DataFrame:
     A metric that a group can't have (one class only) is null.
     """
     d = seg.withColumns({"precision": F.try_divide(F.col("cum_pos").cast("double"), F.col("cum_pos") + F.col("cum_neg")), "recall": F.try_divide(F.col("cum_pos").cast("double"), F.col("n_pos"))})
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    last_p, last_r = F.coalesce(F.lag("precision").over(w), F.lit(1.0)), F.coalesce(F.lag("recall").over(w), F.lit(0.0))
+    # the point before is what the cumulative sums were without this segment: no window is needed
+    before_p, before_n = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
+    last_p, last_r = F.coalesce(F.try_divide(before_p.cast("double"), before_p + before_n), F.lit(1.0)), F.coalesce(F.try_divide(before_p.cast("double"), F.col("n_pos")), F.lit(0.0))
     d = d.withColumn("slab", (F.col("recall") - last_r) * (F.col("precision") + last_p) / 2)
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
@@ -73,12 +74,11 @@ def auprg(seg: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the precision-recall-gain curve, by the definition of Flach and Kull.
 
     Gains use the curve's counts. Where recall gain crosses zero between two points, a
-    point is interpolated on the counts; the area takes recall gains from 0 to 1. One row
-    of point arrays per group is needed for the interpolation, and a window provides it.
+    point is interpolated on the counts; the area takes recall gains from 0 to 1. A segment
+    and its cumulative sums hold both ends of a step, so the area is a plain sum.
     """
     pos, neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    tp0, fp0 = F.coalesce(F.lag("cum_pos").over(w), F.lit(0)).cast("double"), F.coalesce(F.lag("cum_neg").over(w), F.lit(0)).cast("double")
+    tp0, fp0 = (F.col("cum_pos") - F.col("pos")).cast("double"), (F.col("cum_neg") - F.col("neg")).cast("double")
     d = seg.filter("n_pos > 0 and n_neg > 0").select(*keys, "score", pos.alias("p"), neg.alias("n"), tp0.alias("t0"), fp0.alias("f0"), F.col("cum_pos").cast("double").alias("t1"), F.col("cum_neg").cast("double").alias("f1"))
     zero = F.col("p") * F.col("p") / (F.col("p") + F.col("n"))  # true positives at recall gain 0
 

@@ -14,12 +14,15 @@ def canonical_pairs(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return df.filter(F.col(a) != F.col(b)).select(x.alias("a"), y.alias("b")).distinct()
 
 
-def cooccurring(df: DataFrame, group: str, item: str, *carry: str) -> DataFrame:
+def cooccurring(df: DataFrame, group: str, item: str, *carry: str, most: int = 10_000) -> DataFrame:
     """Pairs of items that share a group, each with ``carry`` of both rows (suffixes 1, 2).
 
-    An equi-join on the group; groups are assumed small (the lines of an order), so the
-    number of pairs stays proportional to the rows.
+    An equi-join on the group. Its pairs grow with the square of a group, so a table with a
+    group of over ``most`` rows is refused.
     """
+    largest = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group of {group} has {largest} rows, more than {most}")
     l, r = (df.select(F.col(group), F.col(item).alias(x), *[F.col(c).alias(f"{c}{i}") for c in carry]) for x, i in (("a", 1), ("b", 2)))
     return l.join(r, group).filter("a < b")
 

@@ -30,6 +30,18 @@ def sides(spark, sf):
     return e.filter("positive").drop("positive"), e.filter("not positive").drop("positive")
 
 
+LINES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+#: Both sides' contexts as bits, one row per pair: pl, nl of lines and ph, nh of heads.
+_BIT = " ".join(f"WHEN '{x}' THEN {1 << i}" for i, x in enumerate(LINES))
+BITS = EV + f""", mb AS (SELECT a, b, bit_or(CASE WHEN positive THEN m ELSE 0 END) AS pl, bit_or(CASE WHEN positive THEN 0 ELSE m END) AS nl
+FROM (SELECT a, b, positive, (CASE ctx {_BIT} ELSE 0 END)::INT AS m FROM ev) GROUP BY a, b),
+mk AS (SELECT *, (pl & 7) + CASE WHEN (pl & 24) > 0 THEN 8 ELSE 0 END AS ph, (nl & 7) + CASE WHEN (nl & 24) > 0 THEN 8 ELSE 0 END AS nh FROM mb)"""
+
+
+def _lines_of(mask: str) -> str:
+    return "concat_ws(';', " + ", ".join(f"CASE WHEN ({mask} & {1 << i}) > 0 THEN '{x}' END" for i, x in enumerate(LINES)) + ")"
+
+
 HEAD_SQL = "CASE ctx WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END"
 SIDE = EV + f""", sd AS (SELECT a, b, positive, list_sort(list_distinct(list(ctx))) AS lines, list_sort(list_distinct(list({HEAD_SQL}))) AS heads FROM ev GROUP BY ALL),
 ps AS (SELECT * FROM sd WHERE positive), ng AS (SELECT * FROM sd WHERE NOT positive)"""
@@ -54,10 +66,9 @@ def unordered_dedup_mean(spark, sf):
     return m.select("a", "b", F.round("target", 6).alias("target"), "n")
 
 
-@query(f"""WITH {SIDE} SELECT p.a, p.b, array_to_string(p.lines, ';') AS pos_lines, array_to_string(n.lines, ';') AS neg_lines,
-CASE WHEN len(list_intersect(p.lines, n.lines)) > 0 THEN 'shared' ELSE 'disjoint' END AS line_agreement,
-CASE WHEN len(list_intersect(p.heads, n.heads)) > 0 THEN 'shared' ELSE 'disjoint' END AS head_agreement
-FROM ps p JOIN ng n ON p.a = n.a AND p.b = n.b""")
+@query(f"""WITH {BITS} SELECT a, b, {_lines_of('pl')} AS pos_lines, {_lines_of('nl')} AS neg_lines,
+CASE WHEN (pl & nl) > 0 THEN 'shared' ELSE 'disjoint' END AS line_agreement, CASE WHEN (ph & nh) > 0 THEN 'shared' ELSE 'disjoint' END AS head_agreement
+FROM mk WHERE pl > 0 AND nl > 0""")
 def conflict_report(spark, sf):
     c = P.conflicts(*sides(spark, sf))
     return c.select("a", "b", F.array_join("pos_lines", ";").alias("pos_lines"), F.array_join("neg_lines", ";").alias("neg_lines"), "line_agreement", "head_agreement")
@@ -86,8 +97,7 @@ def labels(spark, sf, same_head="or"):
     return d.select("a", "b", C.label_mask(F.coalesce("ph", none), F.coalesce("nh", none), N_HEADS, same_head).alias("cells"))
 
 
-_CELLS = f"""{SIDE}, fu AS (SELECT coalesce(p.a, n.a) AS a, coalesce(p.b, n.b) AS b, coalesce(p.heads, []) AS ph, coalesce(n.heads, []) AS nh FROM ps p FULL JOIN ng n ON p.a = n.a AND p.b = n.b),
-ce AS (SELECT a, b, h, list_contains(ph, h) AS p, list_contains(nh, h) AS n FROM fu, (SELECT unnest([0, 1, 2, 3]) AS h))"""
+_CELLS = BITS + ", ce AS (" + " UNION ALL ".join(f"SELECT a, b, {h} AS h, (ph & {1 << h}) > 0 AS p, (nh & {1 << h}) > 0 AS n FROM mk" for h in range(4)) + ")"
 
 
 @query(f"WITH {_CELLS} SELECT a, b, h AS head, CASE WHEN p THEN 1 ELSE 0 END AS label, CASE WHEN p OR n THEN 1 ELSE 0 END AS mask FROM ce")
@@ -107,13 +117,13 @@ def pooled_label(spark, sf):
 
 @query(f"WITH {LAB}, d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM lab UNION ALL SELECT b FROM lab) GROUP BY id) SELECT lab.a, lab.b, round(ln(1 + x.degree) + ln(1 + y.degree), 9) AS score FROM lab JOIN d x ON x.id = lab.a JOIN d y ON y.id = lab.b")
 def degree_prior_scores(spark, sf):
-    p = labelled(spark, sf)
+    p = labelled(spark, sf).persist()
     return P.degree_scores(p, p).select("a", "b", F.round("score", 9).alias("score"))
 
 
 def fold_scores(spark, sf):
     """Every pair scored by its ends' degrees among the pairs of the other folds."""
-    p = folded(spark, sf)
+    p = folded(spark, sf).persist()  # the relation's own degrees, its pairs and the cut points of the scores read it
     own = p.select(F.explode(F.array("a", "b")).alias("id"), "fold").groupBy("id", "fold").agg(F.count("*").alias("n"))
     every = own.groupBy("id").agg(F.sum("n").alias("all"))
     train = own.join(every, "id").select("id", "fold", (F.col("all") - F.col("n")).alias("deg"))
@@ -154,11 +164,24 @@ def fold_cv3(spark, sf):
     return V.carve_validation(V.cv3(labelled(spark, sf), K)).groupBy("fold", "part", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_CV3} SELECT fold, 0::BIGINT AS pairs_twice, 0::BIGINT AS ids_shared FROM pa GROUP BY fold")
+def _leak_sql(cv: str, both: int) -> str:
+    """Counts from the parts themselves: pairs in two parts, and test pairs with ends in train."""
+    return f"""WITH {cv}{_VAL}, tw AS (SELECT fold, count(*) FILTER (k > 1) AS pairs_twice FROM (SELECT fold, a, b, count(DISTINCT part) AS k FROM va WHERE part <> 'dropped' GROUP BY fold, a, b) GROUP BY fold),
+sn AS (SELECT DISTINCT fold, id FROM (SELECT fold, a AS id FROM va WHERE part IN ('train', 'val') UNION ALL SELECT fold, b FROM va WHERE part IN ('train', 'val'))),
+te AS (SELECT va.fold, count(*) FILTER ((x.id IS NOT NULL)::INT + (y.id IS NOT NULL)::INT >= {both}) AS ids_shared FROM va LEFT JOIN sn x ON x.fold = va.fold AND x.id = va.a LEFT JOIN sn y ON y.fold = va.fold AND y.id = va.b WHERE part = 'test' GROUP BY va.fold)
+SELECT tw.fold, pairs_twice, coalesce(ids_shared, 0) AS ids_shared FROM tw LEFT JOIN te ON te.fold = tw.fold"""
+
+
+@query(_leak_sql(_CV3, 1))
 def fold_leak_check(spark, sf):
     return V.leaks(V.carve_validation(V.cv3(labelled(spark, sf), K)), both_held=True)
 
 
+@query(_leak_sql(_CV2, 2))
+def fold_leak_check_cv2(spark, sf):
+    return V.leaks(V.carve_validation(V.cv2(labelled(spark, sf), K)), both_held=False)
+
+
 @query(f"WITH {_CV3} SELECT fold, part, count(*) AS n, sum(('0x' || substr(md5({sql_key()}), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM pa GROUP BY fold, part")
 def fold_digest(spark, sf):
     return V.digest(V.cv3(labelled(spark, sf), K), ["fold", "part"])
@@ -244,7 +267,7 @@ def settle_collisions(spark, sf):
 @query(f"""WITH {LAB}, s AS (SELECT a AS src, b AS dst FROM lab UNION ALL SELECT b, a FROM lab), g AS (SELECT src, dst, 1.0::DOUBLE AS w FROM s UNION ALL SELECT DISTINCT src, src, 1.0 FROM s),
 d AS (SELECT src, sum(w) AS d FROM g GROUP BY src) SELECT g.src, g.dst, round(g.w / sqrt(x.d * y.d), 9) AS w FROM g JOIN d x ON x.src = g.src JOIN d y ON y.src = g.dst""")
 def normalised_adjacency(spark, sf):
-    e = labelled(spark, sf).select("a", "b", F.lit(1).alias("w"))
+    e = labelled(spark, sf).select("a", "b", F.lit(1).alias("w")).persist()
     return G.normalised(e).select("src", "dst", F.round("w", 9).alias("w"))
 
 
