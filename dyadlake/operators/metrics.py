@@ -114,8 +114,11 @@ def views(cells: DataFrame, keys: list[str], row: list[str], head: str, score: s
 def tail_flags(df: DataFrame, value: str, share: float = 0.01, most: float = 0.02) -> DataFrame:
     """Flags rows in the top and bottom ``share`` (interpolated quantiles); null where ties
     make that tail more than ``most`` of all rows."""
-    q = df.agg(F.percentile(value, F.array(F.lit(share), F.lit(1 - share))).alias("q"), F.count(value).alias("n"))
-    d = df.crossJoin(F.broadcast(q.select(F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"), F.col("n").alias("_n"))))
+    from .stats import quantile  # stats builds on this module
+
+    d, n = df, df.filter(F.col(value).isNotNull()).count()
+    low, high = (quantile(df, value, q) for q in (share, 1 - share))
+    d = d.withColumns({"_lo": F.lit(low).cast("double"), "_hi": F.lit(high).cast("double"), "_n": F.lit(n)})
     sizes = d.agg(F.count_if(F.col(value) >= F.col("_hi")).alias("_nh"), F.count_if(F.col(value) <= F.col("_lo")).alias("_nl"))
     d = d.crossJoin(F.broadcast(sizes))
     flag = lambda cond, size: F.when(F.col(size) <= most * F.col("_n"), cond.cast("int"))

@@ -109,13 +109,19 @@ def same_pairs(left: DataFrame, right: DataFrame, value: str, tolerance: float =
 def universe(pairs: DataFrame, ranges: int = 64) -> DataFrame:
     """Distinct ids of both ends with their rank: numeric ids by value first, then by text.
 
-    Ids fall into ranges (by approximate quantiles of the numbers; by first character for
-    the rest); ranks are ranks in the range plus the counts of the ranges before.
+    Ids fall into ranges by approximate quantiles, of the numbers and, for the rest, of the
+    bytes that follow the prefix they all share; ranks are ranks in the range plus the counts of
+    the ranges before.
     """
     ids = pairs.select(F.explode(F.array(F.col("a").cast("string"), F.col("b").cast("string"))).alias("id")).distinct().withColumn("_v", F.expr("try_cast(id as bigint)"))
-    cuts = ids.agg(F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]))).first()[0] or []
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= F.col("_v"))) if cuts else F.lit(0)
-    ids = ids.withColumn("_p", F.when(F.col("_v").isNotNull(), at).otherwise(ranges + F.ascii("id")))
+    low, high = ids.filter("_v is null").agg(F.min("id"), F.max("id")).first()
+    shared = next((i for i, (x, y) in enumerate(zip(low or "", high or "", strict=False)) if x != y), min(len(low or ""), len(high or "")))
+    bytes_ = F.rpad(F.substring(F.hex(F.encode(F.substring("id", shared + 1, 7), "UTF-8")), 1, 14), 14, "0")
+    ids = ids.withColumn("_t", F.when(F.col("_v").isNull(), F.conv(bytes_, 16, 10).cast("long")))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    numbers, texts = ids.agg(F.percentile_approx("_v", shares), F.percentile_approx("_t", shares)).first()
+    place = lambda c, cuts: F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in sorted(set(cuts))]), lambda x: x <= F.col(c))) if cuts else F.lit(0)
+    ids = ids.withColumn("_p", F.when(F.col("_v").isNotNull(), place("_v", numbers)).otherwise(ranges + place("_t", texts)))
     inside = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_v", "id")) - 1)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     counts = ids.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import uniform_of
+from .lineage import settle
 from .metrics import running
 
 
@@ -100,19 +101,66 @@ def ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def additive_fit(pairs: DataFrame, value: str, rounds: int = 6) -> DataFrame:
     """Adds ``fit`` = mean + e_a + e_b by backfitting: each end's effect is its mean residual.
 
-    Every round is two grouped averages and two joins; both ends share one effect table.
+    Every round is one grouped average over the pairs' ends joined with the effects so far; the
+    effects of a round (one row per id) are written out, so a round is computed once.
     """
     mean = pairs.agg(F.avg(value)).first()[0] or 0.0
-    effects = None
-    for _ in range(rounds):
-        d = pairs.select("a", "b", (F.col(value) - mean).alias("_r"))
-        for x in ("a", "b"):
-            d = d.withColumn(f"_{x}", F.lit(0.0)) if effects is None else d.join(effects.select(F.col("id").alias(x), F.col("e").alias(f"_{x}")), x, "left")
-        ends = d.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (F.col("_r") - F.coalesce("_b", F.lit(0.0))).alias("r")), F.struct(F.col("b").alias("id"), (F.col("_r") - F.coalesce("_a", F.lit(0.0))).alias("r")))).alias("s"))
-        new = ends.groupBy("s.id").agg(F.avg("s.r").alias("e"))
-        # half steps: both ends move at once
-        effects = new.withColumn("e", F.col("e") / 2) if effects is None else new.join(effects.withColumnRenamed("e", "_e"), "id").select("id", ((F.col("e") + F.col("_e")) / 2).alias("e"))
+    both = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("other"), (F.col(value) - mean).alias("r"))
+    ends = pairs.select(F.explode(F.array(both("a", "b"), both("b", "a"))).alias("s")).select("s.*")
+    effects = settle(ends.groupBy("id").agg((F.avg("r") / 2).alias("e")), "effects")  # half steps: both ends move at once
+    for _ in range(rounds - 1):
+        new = ends.join(effects.select(F.col("id").alias("other"), "e"), "other").groupBy("id").agg(F.avg(F.col("r") - F.col("e")).alias("_n"))
+        effects = settle(new.join(effects, "id").select("id", ((F.col("_n") + F.col("e")) / 2).alias("e")), "effects")
     out = pairs
     for x in ("a", "b"):
         out = out.join(effects.select(F.col("id").alias(x), F.col("e").alias(f"_{x}")), x)
     return out.withColumn("fit", mean + F.col("_a") + F.col("_b")).drop("_a", "_b")
+
+
+def quantile(df: DataFrame, value: str, share: float, small: int = 50_000) -> float | None:
+    """Exact interpolated quantile of a column; null values do not count.
+
+    Approximate quantiles narrow the range that holds the two ranks, a pass over the table
+    each, until at most ``small`` values remain to be ordered.
+    """
+    d = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    n = d.count()
+    if not n:
+        return None
+    at = (n - 1) * share
+
+    def ranked(i: int) -> float:
+        left, count = d, n
+        while count > small:
+            cuts = sorted(set(left.agg(F.percentile_approx("x", F.array(*[F.lit(k / 32) for k in range(33)]), F.lit(10_000))).first()[0]))
+            below = left.agg(*[F.count_if(F.col("x") < c).alias(f"l{k}") for k, c in enumerate(cuts)], *[F.count_if(F.col("x") <= c).alias(f"u{k}") for k, c in enumerate(cuts)]).first()
+            k = max((k for k in range(len(cuts)) if below[f"l{k}"] <= i), default=-1)
+            if k >= 0 and i < below[f"u{k}"]:
+                return cuts[k]
+            if k >= 0:
+                left, i, count = left.filter(F.col("x") > cuts[k]), i - below[f"u{k}"], count - below[f"u{k}"]
+            if k + 1 < len(cuts):
+                left, count = left.filter(F.col("x") < cuts[k + 1]), below[f"l{k + 1}"] - (below[f"u{k}"] if k >= 0 else 0)
+        return sorted(r["x"] for r in left.collect())[i]
+
+    low = ranked(int(at))
+    return low if at == int(at) else low + (ranked(int(at) + 1) - low) * (at - int(at))
+
+
+def cluster_pair_weights(pairs: DataFrame, replicates: int, salt: str = "dyad") -> DataFrame:
+    """Dyadic bootstrap: one row per pair and replicate with weight m_a * m_b > 0, where each
+    id's multiplicity is Poisson(1), drawn by hash of (id, replicate)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    m = poisson_weights(ids, F.col("id"), replicates, salt)
+    d = pairs
+    for x in ("a", "b"):
+        keys = [x] if x == "a" else [x, "rep"]
+        d = d.join(m.select(F.col("id").alias(x), "rep", F.col("weight").alias(f"_{x}")), keys)
+    return d.withColumn("weight", F.col("_a") * F.col("_b")).drop("_a", "_b")
+
+
+def replicate_differences(reps: DataFrame, model: str, reference: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Per replicate the difference of each model to the reference, which shares the replicate."""
+    ref = reps.filter(F.col(model) == reference).select(*keys, "rep", *[F.col(v).alias(f"_{v}") for v in values])
+    d = reps.filter(F.col(model) != reference).join(ref, [*keys, "rep"])
+    return d.select(*keys, model, "rep", *[(F.col(v) - F.col(f"_{v}")).alias(v) for v in values])

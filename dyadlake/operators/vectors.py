@@ -39,6 +39,25 @@ def standardise(df: DataFrame, fit: DataFrame, vec: str) -> DataFrame:
     return d.withColumn(vec, F.zip_with(centred, "sds", lambda x, s: x / s)).drop("means", "sds")
 
 
+def global_scalars(df: DataFrame, vec: str, robust: bool = False) -> tuple[float, float]:
+    """(centre, scale) of all cells together: mean and sample sd, or median and 1.4826 times the
+    median absolute deviation; a scale of 0 falls back to the sd, then to 1."""
+    from .stats import quantile
+
+    x = df.select(F.explode(vec).alias("x")).select(F.col("x").cast("double").alias("x")).filter("not isnan(x)")
+    mean, sd = x.agg(F.avg("x"), F.stddev_samp("x")).first()
+    if not robust:
+        return mean or 0.0, sd or 1.0
+    middle = quantile(x, "x", 0.5) or 0.0
+    spread = 1.4826 * (quantile(x.select(F.abs(F.col("x") - middle).alias("x")), "x", 0.5) or 0.0)
+    return middle, spread or sd or 1.0
+
+
+def normalise(df: DataFrame, vec: str, centre: float, scale: float) -> DataFrame:
+    """(x - centre) / scale in every cell; NaN stays."""
+    return df.withColumn(vec, F.transform(vec, lambda x: (x.cast("double") - centre) / scale))
+
+
 def align(ids: DataFrame, vectors: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     """Every id with its vector; NaN in each cell and missing = true where there is none."""
     d = ids.select(key).distinct().join(vectors.select(key, vec), key, "left")
@@ -56,7 +75,7 @@ def huber_locations(df: DataFrame, key: str, vec: str, c: float = 1.345, rounds:
     Scale is 1.4826 times the median absolute deviation; each round is one grouped sum, so
     no dimension's values meet in one task.
     """
-    x = long_form(df, key, vec).filter("x is not null")
+    x = long_form(df, key, vec).filter("x is not null").persist()  # every round reads it
     state = x.groupBy("dim").agg(F.percentile("x", F.lit(0.5)).alias("location"))
     spread = x.join(F.broadcast(state), "dim").groupBy("dim").agg((1.4826 * F.percentile(F.abs(F.col("x") - F.col("location")), F.lit(0.5))).alias("scale"))
     rows = {r["dim"]: [r["location"], r["scale"]] for r in state.join(spread, "dim").collect()}  # two numbers per dimension
@@ -72,6 +91,7 @@ def huber_locations(df: DataFrame, key: str, vec: str, c: float = 1.345, rounds:
                 rows[d][0] = m
         if moved < tolerance:
             break
+    x.unpersist()
     return spark.createDataFrame([(int(d), float(m)) for d, (m, _) in sorted(rows.items())], "dim int, location double")
 
 

@@ -139,7 +139,7 @@ def weighted_spearman(spark, sf):
     return S.spearman(d, ["lang"], "n_chars", "y", "w").select("lang", "n", F.round("r", 8).alias("r"))
 
 
-B = 20
+B = 1000
 _CDF = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]"
 _BOOT = f"""{RATED}, bw AS (SELECT ra.*, rep, len(list_filter({_CDF}, lambda c: {sql_hash("doc_id::VARCHAR || '|' || rep::VARCHAR", 'boot')} / 4294967296.0 >= c)) AS w FROM ra, (SELECT unnest(range({B})) AS rep)),
 bs AS (SELECT lang, rep, score, sum(w * label) AS p, sum(w * (1 - label)) AS n FROM bw WHERE w > 0 GROUP BY ALL),
@@ -149,7 +149,7 @@ ba AS (SELECT lang, rep, sum(p * (nn - cn + n / 2.0) / (np * nn)) AS auroc FROM
 
 @query(f"WITH {_BOOT} SELECT lang, round(avg(auroc), 8) AS mean, round(stddev_samp(auroc), 8) AS se, round(quantile_cont(auroc, 0.025), 8) AS low, round(quantile_cont(auroc, 0.975), 8) AS high, count(auroc) AS n_finite FROM ba GROUP BY lang")
 def bootstrap_ci(spark, sf):
-    d = S.poisson_weights(rated(spark, sf), F.col("doc_id"), B)
+    d = S.poisson_weights(rated(spark, sf), F.col("doc_id"), B).persist()
     reps = M.auroc(d, ["lang", "rep"], weight="weight")
     ci = S.percentile_ci(reps, ["lang"], "auroc")
     return ci.select("lang", *[F.round(c, 8).alias(c) for c in ("mean", "se", "low", "high")], "n_finite")
@@ -294,15 +294,3 @@ def huber_locations(spark, sf):
 def principal_components(spark, sf):
     d = X.principal_components(read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 4)
     return d.select("vec_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("components"))
-
-
-@query()
-def additive_fit(spark, sf):
-    from .base import evidence
-
-    from ..operators.pairs import mean_of_duplicates
-
-    d = S.additive_fit(mean_of_duplicates(evidence(spark, sf), "x"), "target", 4)
-    return d.agg(F.count("*").alias("n"), F.round(1 - F.sum((F.col("target") - F.col("fit")) ** 2) / (F.sum(F.col("target") ** 2) - F.sum("target") ** 2 / F.count("*")), 6).alias("r2"))
-
-
