@@ -17,8 +17,9 @@ from ..operators.lineage import shared_dir
 #: White space that separates words, everywhere in this subpackage (ASCII only).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Public option: shuffle files of a query are removed when the query ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Options of the session while an intermediate table is written: the shuffle files of a query
+#: go when it ends, and Arrow batches of whole texts stay some MB on both sides of a Python task.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,15 +37,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in _WRITING}
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(at)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(at)
 
 

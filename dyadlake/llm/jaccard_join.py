@@ -48,7 +48,7 @@ DEPTH = 2
 HOT = 1_000_000
 FAMILY = 1 << 17
 CELL = 512
-SLICE = 2000
+SLICE = 500
 #: Rows (doc_id, class) of sets to compare that are broadcast at most, some 24 MB.
 SENT = 1_000_000
 #: Leaders that a cell looks for; sets far from all of these stand by themselves.
