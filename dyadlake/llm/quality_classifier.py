@@ -55,7 +55,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_words, n_bytes = np.maximum(np.diff(at), 1), np.maximum(np.diff(offsets), 1)
 
     def share(members, per):
-        hits = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(members, np.uint8)))])
+        hits = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(members, np.uint8)), dtype=np.int32)])
         return (hits[offsets[1:]] - hits[offsets[:-1]]) / per
 
     dense = np.stack(

@@ -52,6 +52,8 @@ TUPLE = LENGTH - MODULUS + 1
 #: The modulus of the names, 2**31 - 1. A name joins two polynomials at random points.
 _PRIME = np.uint64((1 << 31) - 1)
 _BLOCK = 1 << 20
+#: Names that are looked up at a time.
+_RUN = 1 << 17
 #: Bytes of text for each bucket of names, where the table is large.
 _PER_BUCKET = 48 << 20
 _WHOLE = np.dtype([("a", "<u8"), ("b", "<u8")])
@@ -350,13 +352,24 @@ def _names_table(rows: list[list], batch: bool = False):
 
 def seen_before(names: np.ndarray, bits: dict[int, bytes], n: int) -> np.ndarray:
     """True where a name stands before: earlier in ``names``, or in an earlier part by ``bits``."""
-    own, first, which = np.unique(names, return_index=True, return_inverse=True)
+    own = np.unique(names)
     earlier = np.zeros(len(own), bool)
     for b, at in split_by_bucket(_string_bucket(own, n), np.arange(len(own)), n):
         earlier[at] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(at)).astype(bool)
-    again = np.ones(len(names), bool)
-    again[first] = False
-    return again | earlier[which] if len(names) else again
+    out = np.ones(len(names), bool)
+    for a in range(0, len(names), _RUN):  # in order: a name's first entry takes its answer, the others are copies
+        which, first = np.unique(np.searchsorted(own, names[a : a + _RUN]), return_index=True)
+        out[a + first] = earlier[which]
+        earlier[which] = True
+    return out
+
+
+def _per_document(flags: np.ndarray, part: Part) -> np.ndarray:
+    """How many flags are set in each document."""
+    out, some = np.zeros(len(part.lengths), np.int64), np.flatnonzero(part.lengths)
+    if len(some):
+        out[some] = np.add.reduceat(flags.view(np.uint8), part.ends[some] - part.lengths[some], dtype=np.int64)
+    return out
 
 
 def _answers(t, kind: int) -> dict[int, bytes]:
@@ -437,19 +450,22 @@ def remove(parts: DataFrame, answers: DataFrame, n: int, names_key: tuple[int, i
             begins = part.ends - part.lengths
             change = np.zeros(len(part.data) + 1, np.int32)
             change[start] += 1
-            np.subtract.at(change, start + LENGTH, 1)
+            change[start + LENGTH] -= 1
             np.add.at(change, begins[copies], 1)
             np.subtract.at(change, part.ends[copies], 1)
-            gone = np.cumsum(change[:-1]) > 0
-            opens = gone & ~np.concatenate([[False], gone[:-1]])
+            np.cumsum(change, out=change)
+            gone = change[:-1] > 0
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
             opens[begins[(part.lengths > 0)]] = gone[begins[(part.lengths > 0)]]
-            removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
+            removed, spans = _per_document(gone, part), _per_document(opens, part)
+            del change, position, names, found, start
             keep = part.data[~gone].tobytes()
-            kept = np.concatenate([[0], np.cumsum(part.lengths - (removed[part.ends] - removed[begins]))])
+            kept = np.concatenate([[0], np.cumsum(part.lengths - removed)])
             texts = [keep[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
             if whole_characters:
                 texts = [x.decode("utf-8", "ignore").encode() for x in texts]
-            tables.append(pa.table([pa.array(row["ids"], pa.int64()), left.column("rest").combine_chunks().flatten(), pa.array(part.lengths), pa.array(removed[part.ends] - removed[begins]), pa.array(spans[part.ends] - spans[begins]), pa.array(texts, pa.binary())], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]))
+            tables.append(pa.table([pa.array(row["ids"], pa.int64()), left.column("rest").combine_chunks().flatten(), pa.array(part.lengths), pa.array(removed), pa.array(spans), pa.array(texts, pa.binary())], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]))
         _POWERS.clear()
         give_back()
         return pa.concat_tables(tables) if tables else None
