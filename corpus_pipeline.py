@@ -14,13 +14,23 @@ from dyadlake.llm import jaccard_join, mixing, packing, quality_classifier, suff
 from dyadlake.llm.common import materialize, table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on an Arrow batch of the session holds 1,000 rows: whole texts, so some MB.
+
+    The stages' results are written by the caller, where the operators can't set this.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the highest grade reaches the threshold."""
+    small_batches(spark)
     return quality_classifier.select_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of linked documents."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -29,6 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A character that loses some of its bytes loses the others too.
     """
+    small_batches(spark)
     d = suffix_dedup.deduplicate(docs, keep=("lang", "source"), whole_characters=True)
     d = d.select("doc_id", F.col("kept").cast("string").alias("text"), F.col("rest.lang").alias("lang"), F.col("rest.source").alias("source"))
     return d.withColumn("n_chars", F.length("text").cast("long"))
@@ -36,11 +47,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, one row per document and round in which it is drawn."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the packed windows."""
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 
