@@ -73,9 +73,10 @@ def _power(base: int, n: int) -> np.ndarray:
     """Powers 0..n-1 of ``base``, modulo _PRIME; kept for the blocks of one task."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.ones(1, np.uint64)
+        have = np.ones(1, np.uint32)
         while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME])
+            more = have.astype(np.uint64) * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME
+            have = np.concatenate([have, more.astype(np.uint32)])
         _POWERS[base] = have
     return have[:n]
 
@@ -297,6 +298,7 @@ def repeated_tuples(parts: DataFrame, n: int, key: tuple[int, int]) -> DataFrame
                 keys = keys[(keys != np.concatenate([[~keys[0]], keys[:-1]])) | _second(keys)] if len(keys) else keys  # each at most twice
                 out = [(b, planes(v.astype(np.uint32), 4)) for b, v in split_by_bucket((keys >> np.uint64(32)).astype(np.int64), keys, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([row["part"]] * len(out), pa.int32()), pa.array([v for _, v in out], pa.binary())], ["bucket", "part", "vals"])
+        _POWERS.clear()
 
     def compare(key, t):
         import pyarrow as pa
