@@ -91,6 +91,8 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     crcs.append([zlib.crc32(data[i : min(i + window, b)]) for i in range(a, b, window)])
                 yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(crcs)), pa.array(np.diff(offsets)), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+        del encoder
+        Encoder.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ending(run), "doc_id long, doc_tokens long, crcs array<long>")
 

@@ -73,6 +73,11 @@ class Encoder:
             cls._made[name] = cls(name)
         return cls._made[name]
 
+    @classmethod
+    def release(cls) -> None:
+        """Drops the worker's encoders: workers live on, and other stages need the memory."""
+        cls._made.clear()
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 18, np.uint32)
