@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "mixing", "packing", "token_files", "suffix_dedup", "chat_format", "quality_classifier", "fingerprints", "jaccard_join", "html_extraction"]
+MODULES = ["quality_rules", "mixing", "packing", "token_files", "suffix_dedup", "chat_format", "quality_classifier", "fingerprints", "jaccard_join", "html_extraction", "exact_dedup", "merkle_manifest", "whitening"]
 
 
 def queries() -> dict:
