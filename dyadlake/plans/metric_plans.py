@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pairs as C
 from ..operators import metrics as M
 from ..operators import ranking as K
+from ..operators import replicates as R
 from ..operators import stats as S
 from ..operators import vectors as X
 from ..operators import views as W
@@ -140,18 +141,19 @@ def weighted_spearman(spark, sf):
 
 
 B = 1000
-_CDF = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]"
-_BOOT = f"""{RATED}, bw AS (SELECT ra.*, rep, len(list_filter({_CDF}, lambda c: {sql_hash("doc_id::VARCHAR || '|' || rep::VARCHAR", 'boot')} / 4294967296.0 >= c)) AS w FROM ra, (SELECT unnest(range({B})) AS rep)),
-bs AS (SELECT lang, rep, score, sum(w * label) AS p, sum(w * (1 - label)) AS n FROM bw WHERE w > 0 GROUP BY ALL),
+LANG = """'{"lang":' || coalesce('"' || lang || '"', 'null') || '}'"""
+_BOOT = f"""{RATED}, un AS (SELECT doc_id AS unit, lang FROM ra), {R.sql_multiplicities("wt", "un", B, stratum=LANG)},
+bw AS (SELECT ra.*, rep, w FROM ra JOIN wt ON wt.unit = ra.doc_id::VARCHAR AND wt.stratum = {LANG}),
+bs AS (SELECT lang, rep, score, sum(w * label) AS p, sum(w * (1 - label)) AS n FROM bw GROUP BY ALL),
 bc AS (SELECT *, sum(n) OVER (PARTITION BY lang, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn, sum(p) OVER (PARTITION BY lang, rep) AS np, sum(n) OVER (PARTITION BY lang, rep) AS nn FROM bs),
 ba AS (SELECT lang, rep, sum(p * (nn - cn + n / 2.0) / (np * nn)) AS auroc FROM bc WHERE np > 0 AND nn > 0 GROUP BY lang, rep)"""
 
 
 @query(f"WITH {_BOOT} SELECT lang, round(avg(auroc), 8) AS mean, round(stddev_samp(auroc), 8) AS se, round(quantile_cont(auroc, 0.025), 8) AS low, round(quantile_cont(auroc, 0.975), 8) AS high, count(auroc) AS n_finite FROM ba GROUP BY lang")
 def bootstrap_ci(spark, sf):
-    d = S.poisson_weights(rated(spark, sf), F.col("doc_id"), B).persist()
-    reps = M.auroc(d, ["lang", "rep"], weight="weight")
-    ci = S.percentile_ci(reps, ["lang"], "auroc")
+    """Per language its documents resampled to their number."""
+    reps = R.curve_replicates(R.resampled(rated(spark, sf), "doc_id", B, ["lang"]), ["lang"], B)
+    ci = S.percentile_ci(reps.filter("auroc is not null"), ["lang"], "auroc")
     return ci.select("lang", *[F.round(c, 8).alias(c) for c in ("mean", "se", "low", "high")], "n_finite")
 
 

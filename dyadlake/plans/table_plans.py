@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.pairs import uniform_of
 from ..operators import metrics as M
 from ..operators import pairs as P
+from ..operators import replicates as R
 from ..operators import stats as S
 from ..operators import tables as T
 from ..operators import vectors as X
+from ..operators.lineage import settle
 from .base import EV, LAB, evidence, labelled, read_table, sql_hash
-from .metric_plans import _AB, _CDF, _DIM, FOLDS, RATED, fold_table, rated, two_runs
+from .metric_plans import _AB, _DIM, FOLDS, LANG, RATED, fold_table, rated, two_runs
 
 QUERIES, SQL = {}, {}
 
@@ -150,8 +152,8 @@ def additive_fit(spark, sf):
     return d.agg(F.count("*").alias("n"), F.round(1 - F.sum((F.col("target") - F.col("fit")) ** 2) / (F.sum(F.col("target") ** 2) - F.sum("target") ** 2 / F.count("*")), 6).alias("r2"))
 
 
-# three models over the rated documents, resampled together
-REPS = 200
+# three models over the rated documents, resampled together; both classes keep their sizes
+REPS = 1000
 METRICS = ["auroc", "ap", "f1_max", "auprg"]
 
 
@@ -162,12 +164,14 @@ def models(spark, sf):
 
 
 def replicates(spark, sf):
-    seg = M.segments(S.poisson_weights(models(spark, sf), F.col("doc_id"), REPS).persist(), ["model", "rep"], weight="weight").persist()
-    return M.curve_metrics(seg, ["model", "rep"]).join(M.auprg(seg, ["model", "rep"]), ["model", "rep"])
+    d = R.resampled(models(spark, sf), "doc_id", REPS, ["label"])
+    return R.curve_replicates(d, ["model"], REPS)
 
 
+_LABEL = """'{"label":' || coalesce(label::VARCHAR, 'null') || '}'"""
 _REPS = f"""{RATED}, mo AS (SELECT doc_id, label, 'length' AS model, score FROM ra UNION ALL SELECT doc_id, label, 'short', -floor(n_chars / 300) FROM ra UNION ALL SELECT doc_id, label, 'random', round({sql_hash('doc_id::VARCHAR', 'm')} / 4294967296.0, 2) FROM ra),
-wt AS (SELECT doc_id, rep, len(list_filter({_CDF}, lambda c: {sql_hash("doc_id::VARCHAR || '|' || rep::VARCHAR", 'boot')} / 4294967296.0 >= c)) AS w FROM ra, (SELECT unnest(range({REPS})) AS rep)),
+un AS (SELECT doc_id AS unit, label FROM ra), {R.sql_multiplicities("ws", "un", REPS, stratum=_LABEL)},
+wt AS (SELECT DISTINCT ra.doc_id, rep, w FROM ra JOIN ws ON ws.unit = ra.doc_id::VARCHAR AND ws.stratum = {_LABEL}),
 sg AS (SELECT model, rep, score, sum(w * label) AS p, sum(w * (1 - label)) AS n FROM mo JOIN wt ON wt.doc_id = mo.doc_id WHERE w > 0 GROUP BY ALL),
 cu AS (SELECT *, sum(p) OVER (PARTITION BY model, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp, sum(n) OVER (PARTITION BY model, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn, sum(p) OVER (PARTITION BY model, rep) AS np, sum(n) OVER (PARTITION BY model, rep) AS nn FROM sg),
 q AS (SELECT *, cp / (cp + cn)::DOUBLE AS pr, cp / np::DOUBLE AS re, (cp - p)::DOUBLE AS t0, (cn - n)::DOUBLE AS f0, cp::DOUBLE AS t1, cn::DOUBLE AS f1, np::DOUBLE * np / (np + nn) AS z FROM cu),
@@ -195,32 +199,33 @@ _DIFF = ", ".join(f"x.{m} - y.{m} AS {m}" for m in METRICS)
 
 @query(f"WITH {_REPS}, df AS (SELECT x.model, x.rep, {_DIFF} FROM rp x JOIN rp y ON y.rep = x.rep AND y.model = 'length' AND x.model <> 'length'), lo AS ({_LONG.format(*['df'] * 4)}) SELECT model, metric, {_CI}, round(avg((v <= 0)::INT), 7) AS share_le0 FROM lo GROUP BY model, metric")
 def bootstrap_differences(spark, sf):
-    d = S.replicate_differences(replicates(spark, sf).persist(), "model", "length", [], METRICS).select("model", _long(METRICS)).select("model", "m.metric", "m.v")
+    d = S.replicate_differences(replicates(spark, sf), "model", "length", [], METRICS).select("model", _long(METRICS)).select("model", "m.metric", "m.v")
     return _rounded(S.percentile_ci(d, ["model", "metric"], "v"), ["model", "metric", "n_finite"], ["mean", "se", "low", "high", "share_le0"], 7)
 
 
-@query(f"""WITH {RATED}, bw AS (SELECT lang, n_chars AS x, label + toxic AS y, rep, len(list_filter({_CDF}, lambda c: {sql_hash("doc_id::VARCHAR || '|' || rep::VARCHAR", 'boot')} / 4294967296.0 >= c)) AS w FROM ra, (SELECT unnest(range(50)) AS rep)),
+@query(f"""WITH {RATED}, un AS (SELECT doc_id AS unit, lang FROM ra), {R.sql_multiplicities("wt", "un", REPS, stratum=LANG)},
+bw AS (SELECT lang, n_chars AS x, label + toxic AS y, rep, w FROM ra JOIN wt ON wt.unit = ra.doc_id::VARCHAR AND wt.stratum = {LANG}),
 k AS (SELECT * FROM bw WHERE w > 0),
 rx AS (SELECT *, sum(w) OVER (PARTITION BY lang, rep ORDER BY x RANGE UNBOUNDED PRECEDING) - sum(w) OVER (PARTITION BY lang, rep, x) + (sum(w) OVER (PARTITION BY lang, rep, x) + 1) / 2.0 AS a, sum(w) OVER (PARTITION BY lang, rep ORDER BY y RANGE UNBOUNDED PRECEDING) - sum(w) OVER (PARTITION BY lang, rep, y) + (sum(w) OVER (PARTITION BY lang, rep, y) + 1) / 2.0 AS b FROM k),
 m AS (SELECT *, sum(w * a) OVER (PARTITION BY lang, rep) / sum(w) OVER (PARTITION BY lang, rep) AS ma, sum(w * b) OVER (PARTITION BY lang, rep) / sum(w) OVER (PARTITION BY lang, rep) AS mb FROM rx),
-c AS (SELECT lang, rep, sum(w * (a - ma) * (b - mb)) AS xy, sum(w * (a - ma) ^ 2) AS xx, sum(w * (b - mb) ^ 2) AS yy, count(*) AS n FROM m GROUP BY lang, rep),
+c AS (SELECT lang, rep, sum(w * (a - ma) * (b - mb)) AS xy, sum(w * (a - ma) ^ 2) AS xx, sum(w * (b - mb) ^ 2) AS yy, sum(w) AS n FROM m GROUP BY lang, rep),
 v AS (SELECT lang, CASE WHEN n >= 3 AND xx > 1e-12 AND yy > 1e-12 THEN xy / sqrt(xx * yy) END AS v FROM c) SELECT lang, {_CI} FROM v GROUP BY lang""")
 def bootstrap_spearman(spark, sf):
     d = rated(spark, sf).withColumn("y", F.col("label") + F.col("toxic"))
-    d = S.poisson_weights(d, F.col("doc_id"), 50).persist()
-    r = S.spearman(d, ["lang", "rep"], "n_chars", "y", "weight")
+    r = R.spearman_replicates(R.resampled(d, "doc_id", REPS, ["lang"]), ["lang"], "n_chars", "y", REPS)
     return _rounded(S.percentile_ci(r, ["lang"], "r"), ["lang", "n_finite"], ["mean", "se", "low", "high"], 7)
 
 
-DYADS = 8
-
-
 @query(f"""WITH {LAB}, d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM lab UNION ALL SELECT b FROM lab) GROUP BY id),
-mu AS (SELECT id, rep, len(list_filter({_CDF}, lambda c: {sql_hash("id::VARCHAR || '|' || rep::VARCHAR", 'dyad')} / 4294967296.0 >= c)) AS w FROM d, (SELECT unnest(range({DYADS})) AS rep)),
-s AS (SELECT p.rep AS rep, round(ln(1 + x.degree) + ln(1 + y.degree), 9) AS score, sum(p.w * q.w * label) AS p, sum(p.w * q.w * (1 - label)) AS n FROM lab JOIN d x ON x.id = lab.a JOIN d y ON y.id = lab.b JOIN mu p ON p.id = lab.a JOIN mu q ON q.id = lab.b AND q.rep = p.rep WHERE p.w > 0 AND q.w > 0 GROUP BY 1, 2),
+un AS (SELECT id AS unit FROM d), {R.sql_multiplicities("mu", "un", REPS, "dyad")},
+mi AS (SELECT unit::BIGINT AS id, rep, w FROM mu),
+s AS (SELECT p.rep AS rep, round(ln(1 + x.degree) + ln(1 + y.degree), 9) AS score, sum(p.w * q.w * label) AS p, sum(p.w * q.w * (1 - label)) AS n FROM lab JOIN d x ON x.id = lab.a JOIN d y ON y.id = lab.b JOIN mi p ON p.id = lab.a JOIN mi q ON q.id = lab.b AND q.rep = p.rep GROUP BY 1, 2),
 c AS (SELECT *, sum(n) OVER (PARTITION BY rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn, sum(p) OVER (PARTITION BY rep) AS np, sum(n) OVER (PARTITION BY rep) AS nn FROM s)
 SELECT rep::INT AS rep, max(np)::BIGINT AS n_pos, max(nn)::BIGINT AS n_neg, round(sum(p * (nn - cn + n / 2.0) / (np::DOUBLE * nn)), 8) AS auroc FROM c GROUP BY rep""")
 def dyadic_bootstrap(spark, sf):
-    p = labelled(spark, sf).persist()
-    d = P.degree_scores(p, p).withColumn("score", F.round("score", 9))
-    return M.auroc(S.cluster_pair_weights(d, DYADS).persist(), ["rep"], weight="weight").select("rep", "n_pos", "n_neg", F.round("auroc", 8).alias("auroc"))
+    p = labelled(spark, sf)
+    d = settle(P.degree_scores(p, p).withColumn("score", F.round("score", 9)), "scored-pairs")
+    ids = d.select(F.explode(F.array("a", "b")).alias("id"))
+    d = R.pair_multiplicities(d, R.multiplicities(ids, "id", REPS, salt="dyad"))
+    m = R.curve_replicates(d, [], REPS, vectors=("ma", "mb"))
+    return m.select("rep", "n_pos", "n_neg", F.round("auroc", 8).alias("auroc"))

@@ -98,12 +98,7 @@ def test_tables(spark):
     assert [(r["g"], r["path"]) for r in tables.best_runs(runs, "g", "metric", "v", "path").collect()] == [("a", "p1")]
 
 
-def test_bootstrap_pairs_models_and_clusters(spark):
-    p = ab(spark, [(i, j) for i in range(12) for j in range(i + 1, 12)])
-    w = stats.cluster_pair_weights(p, 6).collect()
-    m = {(r["id"], r["rep"]): r["weight"] for r in stats.poisson_weights(spark.range(12), F.col("id"), 6, "dyad").collect()}
-    assert w and all(r["weight"] == m[r["a"], r["rep"]] * m[r["b"], r["rep"]] for r in w)
-    assert len(w) == sum(1 for rep in range(6) for i in range(12) for j in range(i + 1, 12) if (i, rep) in m and (j, rep) in m)
+def test_differences_to_a_reference_and_global_scalars(spark):
     reps = spark.createDataFrame([("r", 0, 0.5), ("x", 0, 0.75), ("r", 1, 0.5)], "model string, rep int, v double")
     assert [(r["model"], r["v"]) for r in stats.replicate_differences(reps, "model", "r", [], ["v"]).collect()] == [("x", 0.25)]
     z = vectors.normalise(spark.createDataFrame([([1.0, 3.0],), ([5.0, float("nan")],)], "v array<double>"), "v", 3.0, 2.0)
