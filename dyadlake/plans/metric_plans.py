@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs as C
 from ..operators import metrics as M
+from ..operators import neighbours as N
 from ..operators import ranking as K
 from ..operators import replicates as R
 from ..operators import stats as S
@@ -122,6 +123,50 @@ def knn_matrix(spark, sf):
     return K.nearest(scored(spark, sf), 5, 0.0)
 
 
+# exact ranking over all vectors: queries are the ids divisible by 100, pairs that stand in one order are seen
+_ALL = f"""{LAB}, vq AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), ap AS (SELECT x.vec_id AS q, y.vec_id AS c, round({_sum('x.embedding[i]::DOUBLE * y.embedding[i]')} / sqrt({_sum('x.embedding[i]::DOUBLE * x.embedding[i]')} * {_sum('y.embedding[i]::DOUBLE * y.embedding[i]')}), 6) AS score, (x.label = y.label)::INT AS rel
+FROM vq x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE NOT EXISTS (SELECT 1 FROM lab WHERE a = least(x.vec_id, y.vec_id) AND b = greatest(x.vec_id, y.vec_id))),
+ar AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM ap)"""
+
+
+def nearest_unseen(spark, sf):
+    """(query, candidate, score, rank) over all vectors, and the blocks that were read."""
+    e = read_table(spark, sf, "embeddings")
+    index = N.Index(e.select("vec_id", "embedding"), "vec_id", "embedding", block=64)
+    return index.search(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id")), 10, labelled(spark, sf).select("a", "b"))
+
+
+@query(f"WITH {_ALL} SELECT q AS query, c AS candidate, score, rank FROM ar WHERE rank <= 10")
+def exact_neighbours(spark, sf):
+    return nearest_unseen(spark, sf)[0].select("query", "candidate", "score", "rank")
+
+
+@query(f"""WITH {_ALL}, rel AS (SELECT q, sum(rel) AS n FROM ap GROUP BY q HAVING sum(rel) > 0), t AS (SELECT ar.*, n, sum(rel) OVER (PARTITION BY q ORDER BY rank) AS hits FROM ar JOIN rel USING (q)),
+m AS (SELECT q, k, max(n) AS n, sum(rel) AS f, sum(rel / log2(rank + 1)) AS dcg, sum(rel * hits / rank) AS gain FROM t, (SELECT unnest([5, 10]) AS k) WHERE rank <= k GROUP BY q, k),
+id AS (SELECT *, list_sum(list_transform(range(1, least(k, n)::BIGINT + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM m)
+SELECT k, count(*) AS n_queries, round(avg(dcg / ideal), 8) AS ndcg, round(avg(gain / least(k, n)), 8) AS ap, round(avg(f / k), 8) AS precision, round(avg(f / n), 8) AS recall FROM id GROUP BY k""")
+def exact_retrieval(spark, sf):
+    """Retrieval metrics over all candidates: relevant are unseen vectors of the query's label."""
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    seen = labelled(spark, sf).select("a", "b")
+    top = nearest_unseen(spark, sf)[0]
+    of = lambda x, name: e.select(F.col("id").alias(x), F.col("label").alias(name))
+    top = top.join(of("query", "lq"), "query").join(of("candidate", "lc"), "candidate").withColumn("rel", (F.col("lq") == F.col("lc")).cast("int"))
+    asked = e.filter("id % 100 = 0").withColumnRenamed("id", "query")
+    both = K.both_directions(seen).join(asked, "query").join(of("candidate", "lc"), "candidate").filter("label = lc").groupBy("query").agg(F.count("*").alias("gone"))
+    alike = asked.join(e.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").join(both, "query", "left")
+    rel = alike.select("query", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n_rel")).filter("n_rel > 0")
+    m = K.macro(K.retrieval_metrics(top.select("query", "rank", "rel"), rel, ["query"], [5, 10]), ["k"])
+    return m.select("k", "n_queries", *[F.round(c, 8).alias(c) for c in ("ndcg", "ap", "precision", "recall")])
+
+
+@query()
+def neighbour_blocks(spark, sf):
+    """How many blocks the search above has read; depends on the blocks, so it has no SQL."""
+    r = nearest_unseen(spark, sf)[1]
+    return r.agg(F.count("*").alias("packs"), F.sum("queries").alias("queries"), F.sum("blocks").alias("pairs"), F.sum("blocks_read").alias("pairs_read"), F.round(1 - F.sum("blocks_read") / F.sum("blocks"), 6).alias("share_skipped"))
+
+
 _RANKS = f"{RATED}, rr AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS x, rank() OVER (PARTITION BY lang ORDER BY label + toxic) + (count(*) OVER (PARTITION BY lang, label + toxic) - 1) / 2.0 AS y FROM ra)"
 
 
