@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import settle
 from .metrics import running
 
 
@@ -79,25 +78,6 @@ def ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return s.select(*keys, slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 
 
-def additive_fit(pairs: DataFrame, value: str, rounds: int = 6) -> DataFrame:
-    """Adds ``fit`` = mean + e_a + e_b by backfitting: each end's effect is its mean residual.
-
-    Every round is one grouped average over the pairs' ends joined with the effects so far; the
-    effects of a round (one row per id) are written out, so a round is computed once.
-    """
-    mean = pairs.agg(F.avg(value)).first()[0] or 0.0
-    both = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("other"), (F.col(value) - mean).alias("r"))
-    ends = pairs.select(F.explode(F.array(both("a", "b"), both("b", "a"))).alias("s")).select("s.*")
-    effects = settle(ends.groupBy("id").agg((F.avg("r") / 2).alias("e")), "effects")  # half steps: both ends move at once
-    for _ in range(rounds - 1):
-        new = ends.join(effects.select(F.col("id").alias("other"), "e"), "other").groupBy("id").agg(F.avg(F.col("r") - F.col("e")).alias("_n"))
-        effects = settle(new.join(effects, "id").select("id", ((F.col("_n") + F.col("e")) / 2).alias("e")), "effects")
-    out = pairs
-    for x in ("a", "b"):
-        out = out.join(effects.select(F.col("id").alias(x), F.col("e").alias(f"_{x}")), x)
-    return out.withColumn("fit", mean + F.col("_a") + F.col("_b")).drop("_a", "_b")
-
-
 def quantile(df: DataFrame, value: str, share: float, small: int = 50_000) -> float | None:
     """Exact interpolated quantile of a column; null values do not count.
 

@@ -77,13 +77,6 @@ def test_universe_of_ids_with_a_common_prefix(spark):
     assert [r["id"] for r in pairs.universe(p).orderBy("idx").collect()] == ["3", "12", *names]
 
 
-def test_additive_fit_of_an_additive_table(spark):
-    effect = [0.5, -1.0, 2.0, 0.25, -0.75, 1.5]
-    rows = [(a, b, 3 + effect[a] + effect[b]) for a in range(6) for b in range(a + 1, 6)]
-    d = stats.additive_fit(spark.createDataFrame(rows, "a int, b int, v double"), "v", 14)
-    assert all(abs(r["fit"] - r["v"]) < 5e-3 for r in d.collect())
-
-
 def test_tables(spark):
     d = spark.createDataFrame([("m", 0, True, True, 4.0), ("m", 0, True, False, 3.0), ("m", 0, False, True, 2.0), ("m", 0, False, False, 1.0)], "k string, fold int, x boolean, y boolean, v double")
     r = tables.factorial_effects(d, "fold", "x", "y", "v", ["k"]).first()
