@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["pair_plans", "metric_plans", "scope_plans", "table_plans"]
+MODULES: list[str] = ["pair_plans", "metric_plans", "scope_plans", "table_plans", "solver_plans"]
 
 
 def queries() -> dict:
