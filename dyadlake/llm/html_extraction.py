@@ -16,11 +16,14 @@ left out. Words in a class or id only break ties: an element so marked goes if i
 the template, or if its whole mark says that it is an advert, comments or the like.
 A batch of fewer than ``FEW`` different pages shows no repetition, and a page that lacks the
 template's content slots is read by its own tokens alone: both rest on elements and marks.
-Where most of the region's text repeats, the pages are copies, and all of it is read.
-
-Scale: pages are dealt by host, hot hosts by host and salt (at most 4 hosts per shuffle
-partition can be hot, so their table is bounded); a task streams its pages, one batch in
-memory. One shuffle of the pages. A page costs time and memory linear in its length,
+Texts that repeat on near copies of one page alone (revisions of an article) are content, and where
+most of the region's text repeats, the pages are copies, and all of it is read. Marks never leave a page
+empty: elements that hold most of its text are opened then, whatever they are called.
+
+Scale: pages are dealt by host, hosts of over ``DEALT`` pages by host and content (at most 4,096
+such hosts, so their table is bounded); within, pages are read in the order of a hash of their
+content, so neither the order of the rows nor the number of partitions says which are read
+together. A task streams its pages, one batch in memory. One shuffle of the pages. A page costs time and memory linear in its length,
 however deep it nests.
 
 Edge cases: null or empty html gives empty text; a null url is a host of its own; repeated
@@ -40,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import partitions, table
 
 BATCH = 64
+#: Pages of a host that are dealt together; more are dealt by host and content.
+DEALT = 2048
 FEW = 3
 WORDS = 3
 
@@ -203,17 +208,26 @@ def _weave(outer: list[tuple], inner: list[tuple]) -> list[tuple]:
 class Host:
     """What the different pages of a batch tell: template, repeated texts, content slots."""
 
-    def __init__(self, pages: list[list[Token]], paths: Paths):
-        self.paths, n = paths, len(pages)
+    def __init__(self, pages: list[list[Token]], paths: Paths, opened: bool = False):
+        self.paths, self.opened, n = paths, opened, len(pages)
         count = occurrences(pages)
         self.often = {r for r, v in count.items() if n >= FEW and 2 * len(v) >= n}
-        self.roles = template(pages, count)
+        family = family_texts([self._own(p) for p in pages], {r for r in self.often if len(count[r]) == n}) if n >= FEW else frozenset()
+        self.often -= family
+        self.roles = [r for r in template(pages, count) if r not in family]
         self.place = {r: k for k, r in enumerate(self.roles)}
         self.slots = self._content(pages)
         inside = [t for p in pages for a, b in self.ranges(p) for t, gone in zip(p[a:b], self.hidden(p)[a:b], strict=True) if t.text and not gone]
         size = lambda ts: sum(len(t.text.strip()) for t in ts)
         self.copies = 2 * size([t for t in inside if t.role in self.often]) > size(inside)
 
+    def _own(self, page: list[Token]) -> dict[tuple, int]:
+        """Texts (roles) of a page that are not hidden, of its article element if it has one, and their lengths;
+        the short ones, which have no role, together under None."""
+        seen = [t for t, gone in zip(page, self.hidden(page), strict=True) if t.text and not gone]
+        inside = [t for t in seen if self.paths.article[t.path]] or seen
+        return {t.role: len(t.text) for t in inside if t.role is not None} | {None: sum(len(t.text.strip()) for t in inside if t.role is None)}
+
     def _content(self, pages: list[list[Token]]) -> set[int]:
         """Slots (k: from template token k to the next) that hold the content."""
         kinds: dict[tuple, Token] = {}
@@ -245,9 +259,13 @@ class Host:
         return {k for p, ks in slots.items() if below[p] for k in ks}
 
     def hidden(self, page: list[Token]) -> list[bool]:
-        """True for tokens inside an element that is no text; an article or main opening ends one."""
+        """True for tokens inside an element that is no text; an article or main opening ends one.
+
+        With ``opened`` elements that hold more than half of the page's text count as text.
+        """
         out, depth, name = [], 0, ""
-        for t in page:
+        wrappers = wrapping(page) if self.opened else frozenset()
+        for i, t in enumerate(page):
             if depth and (t.name in ("article", "main") and not t.close or name == "p" and t.name in BLOCKS and not (t.name == "p" and t.close)):
                 depth = 0
             if depth:
@@ -255,7 +273,7 @@ class Host:
                     depth += -1 if t.close else 1
                 out.append(True)
                 continue
-            hides = not t.close and t.name is not None and t.name not in VOID and (t.sure or t.unsure and t.role in self.often)
+            hides = not t.close and t.name is not None and t.name not in VOID and (t.sure or t.unsure and t.role in self.often) and i not in wrappers
             if hides:
                 depth, name = 1, t.name
             out.append(hides)
@@ -264,15 +282,15 @@ class Host:
     def ranges(self, page: list[Token]) -> list[tuple[int, int]]:
         """Token ranges of the content slots; slot -1 is what stands before the template."""
         out: list[tuple[int, int]] = []
-        k, begin = -1, 0
+        k, begin = -1, None
         for i, t in enumerate(page):
-            new = self.place.get(t.role, k) if t.role is not None else k
-            if (new in self.slots) != (k in self.slots):
-                if k in self.slots and i > begin:
-                    out.append((begin, i))
-                begin = i
-            k = new
-        if k in self.slots and begin < len(page):
+            k = self.place.get(t.role, k) if t.role is not None else k
+            if k in self.slots:
+                begin = i if begin is None else begin
+            elif begin is not None:
+                out.append((begin, i))
+                begin = None
+        if begin is not None:
             out.append((begin, len(page)))
         return out
 
@@ -282,6 +300,47 @@ class Host:
         return text_of(page, use, hide, frozenset() if self.copies else self.often)
 
 
+def wrapping(page: list[Token]) -> set[int]:
+    """Opening tokens whose element holds more than half of the page's text."""
+    total, before, open_, out = sum(len(t.text.strip()) for t in page if t.text), 0, {}, set()
+    for i, t in enumerate(page):
+        if t.text:
+            before += len(t.text.strip())
+        elif t.close:
+            begun = open_.get(t.name)
+            if begun:
+                at, held = begun.pop()
+                if 2 * (before - held) > total:
+                    out.add(at)
+        elif t.name not in VOID:
+            open_.setdefault(t.name, []).append((i, before))
+    # one that is never closed reaches to the end of the page
+    return out | {at for begun in open_.values() for at, held in begun if 2 * (total - held) > total}
+
+
+def family_texts(own: list[dict[tuple, int]], common: set) -> set:
+    """Repeated texts that stand on near copies of one page alone: content, however often they occur.
+
+    ``own``: texts of each page and their lengths. A page is a near copy of another if it has seven tenths or
+    more of its texts, by length; texts that all pages have (``common``) do not count, they are the template's.
+    """
+    on: dict[tuple, list[int]] = {}
+    for i, texts in enumerate(own):
+        for r in texts:
+            if r is not None and r not in common:
+                on.setdefault(r, []).append(i)
+    out = {r for r, pages in on.items() if len(pages) > 1}
+    for texts in own:
+        mine = {r: n for r, n in texts.items() if r in on}
+        shared = [0] * len(own)
+        for r, n in mine.items():
+            for j in on[r]:
+                shared[j] += n
+        total = sum(mine.values()) + texts.get(None, 0)
+        out -= {r for r in mine if r in out and any(10 * shared[j] < 7 * total for j in on[r])}
+    return out
+
+
 def text_of(page: list[Token], use: list[tuple[int, int]], hide: list[bool], repeated=frozenset()) -> str:
     """Blocks of the token ranges ``use``; hidden tokens and ``repeated`` texts are left out."""
     blocks, now = [], []
@@ -307,18 +366,26 @@ def text_of(page: list[Token], use: list[tuple[int, int]], hide: list[bool], rep
 
 
 def extract(pages: list[str | None]) -> list[str]:
-    """Main texts of pages of one host."""
-    paths, known = Paths(), {}
-    for p in pages:
-        if p and p not in known:
-            known[p] = tokens(p, paths)
+    """Main texts of pages of one host. Their order does not matter.
+
+    A page whose text would be empty is read by itself, then with elements that hold most of its text opened
+    whatever their marks, at last whole: a page with text outside scripts and styles never comes out empty.
+    """
+    paths = Paths()
+    known = {p: tokens(p, paths) for p in sorted({p for p in pages if p})}
     host = Host(list(known.values()), paths) if known else None
-    done = {}
-    for p, page in known.items():
-        text = host.text(page)
-        if not text and len(known) > 1:
-            text = Host([page], paths).text(page)
-        done[p] = text or text_of(page, [(0, len(page))], Host([page], paths).hidden(page))
+    done = {p: host.text(page) for p, page in known.items()}
+    empty = [p for p, text in done.items() if not text]
+    for p in empty:
+        alone = Host([known[p]], paths)
+        done[p] = alone.text(known[p]) if len(known) > 1 else ""
+        done[p] = done[p] or text_of(known[p], [(0, len(known[p]))], alone.hidden(known[p]))
+    empty = [p for p in empty if not done[p]]
+    opened = Host([known[p] for p in empty], paths, True) if empty else None
+    for p in empty:
+        page = known[p]
+        alone = Host([page], paths, True)
+        done[p] = opened.text(page) or alone.text(page) or text_of(page, [(0, len(page))], alone.hidden(page)) or text_of(page, [(0, len(page))], [False] * len(page))
     return [done.get(p, "") if p else "" for p in pages]
 
 
@@ -329,16 +396,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     counts = d.groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(BATCH, -(-total // (4 * partitions(spark))))
-    hot = counts.filter(F.col("n") > most).select("host", F.ceil(F.col("n") / most).cast("int").alias("salts"))  # at most total / most hosts
-    d = d.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))))
-    d = d.repartition(4 * partitions(spark), "host", "salt").sortWithinPartitions("host", "salt").select("host", "page_id", "url", "html")
+    few = max(DEALT, -(-total // 4096))
+    hot = counts.filter(F.col("n") > few).select("host", F.ceil(F.col("n") / few).cast("int").alias("salts"))  # 4,096 hosts at most
+    # by content: neither the number of partitions nor the order of the rows says which pages are read together
+    d = d.withColumn("key", F.xxhash64("html")).join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.col("key"), F.coalesce("salts", F.lit(1))))
+    d = d.repartition(4 * partitions(spark), "host", "salt").sortWithinPartitions("host", "salt", "key", "page_id").select("host", "page_id", "url", "html", "salt", "key")
 
     def run(batches):
         import pyarrow as pa
 
         held: list[tuple] = []
-        size = 0
+        group, last, different, size = None, None, 0, 0
 
         def done():
             texts = extract([r[3] for r in held])
@@ -347,11 +415,18 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (row[0] != held[0][0] or len(held) == BATCH or size > 1 << 24):
+                new = row[5] != last or row[3] != held[-1][3] if held else True
+                # copies of a page stay in its batch, as one text
+                if held and ((row[0], row[4]) != group or new and (different == BATCH or size > 1 << 24)):
                     yield done()
-                    held, size = [], 0
+                    held, different, size = [], 0, 0
+                    new = True
+                if new:
+                    different, size = different + 1, size + len(row[3] or "")
+                else:
+                    row = (*row[:3], held[-1][3], *row[4:])
+                group, last = (row[0], row[4]), row[5]
                 held.append(row)
-                size += len(row[3] or "")
         if held:
             yield done()
 

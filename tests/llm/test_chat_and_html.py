@@ -65,6 +65,68 @@ def test_marks_only_break_ties():
     assert one[0] == want.format("a")
 
 
+WORDY = [f"Sentence {{}} number {k} tells something of its own here." for k in range(10)]
+
+
+def revised(wrap, last=10):
+    """Four pages of one host; the first two are revisions of one article that differ in a block."""
+    texts = [[b.format("alpha") for b in WORDY], [*[b.format("alpha") for b in WORDY[:9]], "A new end of it all."], [b.format("beta") for b in WORDY], [b.format("gamma") for b in WORDY]]
+    return ["<body><div>Menu of this very site</div>" + wrap.format("".join(f"<p>{b}</p>" for b in t[:last])) + "<footer>f</footer></body>" for t in texts], ["\n\n".join(t[:last]) for t in texts]
+
+
+def test_revisions_of_an_article_keep_their_text():
+    for wrap in ("<article>{}</article>", "<div class=x>{}</div>"):
+        pages, want = revised(wrap)
+        assert html_extraction.extract(pages) == want
+        assert html_extraction.extract(pages[:3]) == want[:3]
+    # what all pages have is the template's all the same
+    pages, want = revised("<article><p>Read more of our stories today</p>{}</article>")
+    assert html_extraction.extract(pages) == want
+
+
+def test_no_wrapper_leaves_a_page_empty():
+    wraps = ["<form>{}</form>", "<fieldset>{}</fieldset>", "<dialog open>{}</dialog>", '<div class="menu-page">{}</div>', '<div id="share">{}</div>', '<div class="promo post">{}</div>', '<div role="banner">{}</div>', '<form><div class="ad">{}</div></form>']
+    body = "<nav>Home and more links</nav><p>{0} stands here as the text of page {0}.</p><p>It goes on {0} for a while and ends.</p>"
+    for wrap in wraps:
+        pages = ["<body>" + wrap.format(body.format(f"word{i}")) + "</body>" for i in range(5)]
+        want = [f"word{i} stands here as the text of page word{i}.\n\nIt goes on word{i} for a while and ends." for i in range(5)]
+        assert html_extraction.extract(pages) == want and html_extraction.extract(pages[:1]) == want[:1]
+    assert html_extraction.extract(["<body><nav>Only a menu</nav></body>"]) == ["Only a menu"]
+    assert html_extraction.extract(["<body><script>x</script></body>"]) == [""]
+
+
+def test_neither_order_nor_partitions_change_a_text(spark, monkeypatch):
+    monkeypatch.setattr(html_extraction, "BATCH", 8)
+    monkeypatch.setattr(html_extraction, "DEALT", 40)
+    pages = [(i, "https://h.example/" + str(i), f"<body><p>Unique words {i} of page {i} stand here.</p>" + ("<p>This line is on some of them.</p>" if i % 20 < 9 else "") + "</body>") for i in range(120)]
+    pages += [(1000 + i, "https://h.example/copy", pages[0][2]) for i in range(30)] + [(None, None, None)]
+    schema = "page_id long, url string, html string"
+    rows = lambda d: sorted(map(str, html_extraction.main_texts(d).collect()))
+    want = rows(spark.createDataFrame(pages, schema).repartition(2))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows(spark.createDataFrame(pages[::-1], schema).repartition(5)) == want and len(want) == 151
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_classes_are_those_of_plain_occurrence_vectors():
+    """The template's tokens are unions of whole classes of equal vectors, computed plainly."""
+    paths = html_extraction.Paths()
+    pages = [html_extraction.tokens(PAGE.format(f"Text {i}") if i % 3 else PAGE.format(f"Text {i}").replace("<aside>side</aside>", ""), paths) for i in range(7)]
+    vectors = {}
+    for i, page in enumerate(pages):
+        for t in page:
+            if t.role is not None:
+                vectors.setdefault(t.role, [0] * 7)[i] += 1
+    roles = set(html_extraction.template(pages))
+    assert {r: [v.get(i, 0) for i in range(7)] for r, v in html_extraction.occurrences(pages).items()} == vectors
+    for v in {tuple(vectors[r]) for r in roles}:
+        assert max(v) == 1 and 2 * sum(v) >= 7 and {r for r, x in vectors.items() if tuple(x) == v} <= roles
+    assert len({tuple(vectors[r]) for r in roles}) == 2  # of all pages, and of those with the aside
+
+
 def test_attributes_by_the_states_of_the_standard():
     cases = {
         "<p title=it's>Hello world, don't go</p>": "Hello world, don't go",
