@@ -322,7 +322,7 @@ def family_texts(own: list[dict[tuple, int]], common: set) -> set:
     """Repeated texts that stand on near copies of one page alone: content, however often they occur.
 
     ``own``: texts of each page and their lengths. A page is a near copy of another if it has seven tenths or
-    more of its texts, by length; texts that all pages have (``common``) do not count, they are the template's.
+    more of its texts, by length, and two at least; texts that all pages have (``common``) do not count, they are the template's.
     """
     on: dict[tuple, list[int]] = {}
     for i, texts in enumerate(own):
@@ -332,12 +332,13 @@ def family_texts(own: list[dict[tuple, int]], common: set) -> set:
     out = {r for r, pages in on.items() if len(pages) > 1}
     for texts in own:
         mine = {r: n for r, n in texts.items() if r in on}
-        shared = [0] * len(own)
+        shared, number = [0] * len(own), [0] * len(own)
         for r, n in mine.items():
             for j in on[r]:
                 shared[j] += n
+                number[j] += 1
         total = sum(mine.values()) + texts.get(None, 0)
-        out -= {r for r in mine if r in out and any(10 * shared[j] < 7 * total for j in on[r])}
+        out -= {r for r in mine if r in out and any(10 * shared[j] < 7 * total or number[j] < 2 for j in on[r])}
     return out
 
 
