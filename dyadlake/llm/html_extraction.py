@@ -44,7 +44,7 @@ from .common import partitions, table
 
 BATCH = 64
 #: Pages of a host that are dealt together; more are dealt by host and content.
-DEALT = 2048
+DEALT = 512
 FEW = 3
 WORDS = 3
 
