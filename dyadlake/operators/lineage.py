@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Intermediate tables of this process that have not been removed, in the order in which they were written.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Only in a local session that lacks it, as in tests, a folder of
@@ -20,8 +24,44 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def place(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which ``clear`` will remove."""
+    at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(at)
+    return at
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: ``df`` written as Parquet to the shared folder and read back."""
-    at = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    at = place(df.sparkSession, what)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Removes the intermediate tables that were written after the first ``since``; how many there were.
+
+    Only once all results that rest on them have been written: a query's result reads them.
+    """
+    gone = _MADE[since:]
+    del _MADE[since:]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for at in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(hadoop).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Removes at its end, also after an error, the intermediate tables written and the tables cached inside::
+
+        with scope(spark):
+            queries()["exact_neighbours"](spark, folder).write.parquet(out)
+    """
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        clear(spark, since)
+        spark.catalog.clearCache()

@@ -50,9 +50,10 @@ def holm(df: DataFrame, family: list[str], p: str, order: list[str]) -> DataFram
 
 
 def sign_flip(df: DataFrame, keys: list[str], value: str, order: str, tolerance: float = 1e-12) -> DataFrame:
-    """keys, n, mean, p: exact two-sided sign-flip test; all 2^n sign vectors (n <= 20 folds)."""
+    """keys, n, mean, p: exact two-sided sign-flip test over all 2^n sign vectors; over 20 folds are refused."""
     d = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("d"), F.count(value).alias("n"), F.avg(value).alias("mean"))
     observed = F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x))
+    d = d.withColumn("n", F.when(F.col("n") <= 20, F.col("n")).otherwise(F.raise_error(F.lit("a sign-flip test of more than 20 folds"))))
     d = d.withColumn("obs", observed).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int))") - 1)))
     bit = lambda i: F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2
     flipped = F.aggregate(F.transform("d", lambda x, i: F.when(bit(i) == 1, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)

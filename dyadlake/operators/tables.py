@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from math import asin, atan, cos, pi, sin, sqrt
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,16 +37,21 @@ def student_quantile(p: float, df: int) -> float:
     return sin(low) / cos(low) * sqrt(df)
 
 
-def _by_df(n: Column, most: int, value) -> Column:
-    """``value(df)`` for df = n - 1 from 1 to ``most``; null beyond."""
-    return F.get(F.array(*[F.lit(None if k < 1 else float(value(k))) for k in range(most + 1)]), n.cast("int") - 1)
+def _quantile_by(n: Column, p: float, most: int) -> Column:
+    """The t quantile of n - 1 degrees of freedom: from a table up to ``most``, beyond by the expansion about
+    the normal quantile, whose error is below 1e-9 from 60 on; null below 1."""
+    z, nu = NormalDist().inv_cdf(p), n - 1
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    far = sum((F.lit(t) / F.pow(nu, F.lit(float(k + 1))) for k, t in enumerate(terms)), F.lit(z))
+    near = F.get(F.array(*[F.lit(None if k < 1 else float(student_quantile(p, k))) for k in range(most + 1)]), nu.cast("int"))
+    return F.when(nu > most, far).otherwise(near)
 
 
 def t_interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95, most: int = 60) -> DataFrame:
-    """keys, n, mean, sd (sample), low, high: t confidence interval of the mean over folds."""
+    """keys, n, mean, sd (sample), low, high: t confidence interval of the mean over any number of folds."""
     v = finite(value)
     m = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
-    half = _by_df(F.col("n"), most, lambda k: student_quantile((1 + level) / 2, k)) * F.col("sd") / F.sqrt("n")
+    half = _quantile_by(F.col("n"), (1 + level) / 2, most) * F.col("sd") / F.sqrt("n")
     return m.withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})
 
 

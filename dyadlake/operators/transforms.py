@@ -18,15 +18,12 @@ from pyspark.sql import functions as F
 from .lineage import settle
 from .metrics import running
 from .stats import quantile
-from .vectors import column_statistics, global_scalars, huber_locations
+from .vectors import as_matrix as _matrix
+from .vectors import column_statistics, global_scalars, huber_locations, scatter
 
 METHODS = ("plain", "svd", "robust")
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(x, float) for x in column])
-
-
 def mapped(df: DataFrame, vec: str, f) -> DataFrame:
     """``df`` with the vectors of ``vec`` (rows of a matrix) replaced by ``f(matrix)``; null stays null."""
 
@@ -46,28 +43,6 @@ def mapped(df: DataFrame, vec: str, f) -> DataFrame:
     return out.select(F.from_json("_rest", schema).alias("_r"), vec).select(*[F.col(f"_r.`{c}`").alias(c) for c in rest], vec) if rest else out.select(vec)
 
 
-def scatter(df: DataFrame, vec: str, centre: np.ndarray) -> tuple[int, np.ndarray]:
-    """Rows, and the sum of (x - centre)(x - centre)' over them: one packed row per dimension comes back."""
-    d = len(centre)
-
-    def run(batches):
-        total, n = np.zeros((d, d)), 0
-        for pdf in batches:
-            if len(pdf):
-                x = _matrix(pdf["v"]) - centre
-                total, n = total + x.T @ x, n + len(x)
-        if n:
-            yield pd.DataFrame({"i": range(d), "row": list(total), "n": [n] * d})
-
-    parts = df.select(F.col(vec).alias("v")).mapInPandas(run, "i int, row array<double>, n long")
-    cells = parts.select("i", "n", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    rows = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("row"), F.max("n").alias("n")).collect()
-    out = np.zeros((d, d))
-    for r in rows:
-        out[r["i"]] = r["row"]
-    return (rows[0]["n"] if rows else 0), (out + out.T) / 2
-
-
 def components_for(values: np.ndarray, target: int | float) -> int:
     """Number of components: ``target`` itself, or the least number that explains that share (0 to 1) of the
     variance. ``values``: variances, falling."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,29 +96,43 @@ def huber_locations(df: DataFrame, key: str, vec: str, c: float = 1.345, rounds:
     return spark.createDataFrame([(int(d), float(m)) for d, (m, _) in sorted(rows.items())], "dim int, location double")
 
 
+def as_matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(x, float) for x in column])
+
+
+def scatter(df: DataFrame, vec: str, centre: np.ndarray) -> tuple[int, np.ndarray]:
+    """Rows, and the sum of (x - centre)(x - centre)' over them: one packed row per dimension comes back."""
+    d = len(centre)
+
+    def run(batches):
+        total, n = np.zeros((d, d)), 0
+        for pdf in batches:
+            if len(pdf):
+                x = as_matrix(pdf["v"]) - centre
+                total, n = total + x.T @ x, n + len(x)
+        if n:
+            yield pd.DataFrame({"i": range(d), "row": list(total), "n": [n] * d})
+
+    parts = df.select(F.col(vec).alias("v")).mapInPandas(run, "i int, row array<double>, n long")
+    cells = parts.select("i", "n", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    rows = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("row"), F.max("n").alias("n")).collect()
+    out = np.zeros((d, d))
+    for r in rows:
+        out[r["i"]] = r["row"]
+    return (rows[0]["n"] if rows else 0), (out + out.T) / 2
+
+
 def principal_components(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     """key, vec: the first k principal components of standardised vectors, signs fixed.
 
-    The (width x width) covariance is summed over partitions of partial products; its size
+    The (width x width) covariance is summed from partial products in packed rows; its size
     depends on the width alone. The largest entry of each component is positive.
     """
     z = standardise(df, fitted(column_statistics(df, key, vec)), vec)
 
-    def partial(batches):
-        import pyarrow as pa
-
-        total, n = None, 0
-        for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float64)
-            if len(x):
-                total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["s", "n"])
-
-    sums = z.select(vec).mapInArrow(partial, "s array<double>, n long").select("n", F.posexplode("s").alias("at", "x"))
-    cells = sums.groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("at").collect()
-    width = int(len(cells) ** 0.5)
-    _, vectors = np.linalg.eigh(np.array([c["x"] for c in cells]).reshape(width, width) / max(1, cells[0]["n"]))
+    width = z.select(F.max(F.size(vec))).first()[0] or 0
+    n, total = scatter(z, vec, np.zeros(width))
+    _, vectors = np.linalg.eigh(total / max(1, n))
     basis = vectors[:, ::-1][:, :k]
     basis = basis * np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
     return z.select(key, F.array(*[F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(b)) for b in basis[:, j]]), lambda x, b: x * b), F.lit(0.0), lambda s, v: s + v) for j in range(basis.shape[1])]).alias(vec))

@@ -10,6 +10,7 @@ from ..operators import graphs as G
 from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import resolve as R
+from ..operators.lineage import settle
 from .base import EV, FOLD, HEADS, K, LAB, N_HEADS, OTHER, cooccurrences, evidence, folded, labelled, read_table, sql_hash, sql_key
 
 QUERIES, SQL = {}, {}
@@ -117,13 +118,13 @@ def pooled_label(spark, sf):
 
 @query(f"WITH {LAB}, d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM lab UNION ALL SELECT b FROM lab) GROUP BY id) SELECT lab.a, lab.b, round(ln(1 + x.degree) + ln(1 + y.degree), 9) AS score FROM lab JOIN d x ON x.id = lab.a JOIN d y ON y.id = lab.b")
 def degree_prior_scores(spark, sf):
-    p = labelled(spark, sf).persist()
+    p = settle(labelled(spark, sf), "labelled")
     return P.degree_scores(p, p).select("a", "b", F.round("score", 9).alias("score"))
 
 
 def fold_scores(spark, sf):
     """Every pair scored by its ends' degrees among the pairs of the other folds."""
-    p = folded(spark, sf).persist()  # the relation's own degrees, its pairs and the cut points of the scores read it
+    p = settle(folded(spark, sf), "folded")  # the relation's own degrees, its pairs and the cut points of the scores read it
     own = p.select(F.explode(F.array("a", "b")).alias("id"), "fold").groupBy("id", "fold").agg(F.count("*").alias("n"))
     every = own.groupBy("id").agg(F.sum("n").alias("all"))
     train = own.join(every, "id").select("id", "fold", (F.col("all") - F.col("n")).alias("deg"))
@@ -267,7 +268,7 @@ def settle_collisions(spark, sf):
 @query(f"""WITH {LAB}, s AS (SELECT a AS src, b AS dst FROM lab UNION ALL SELECT b, a FROM lab), g AS (SELECT src, dst, 1.0::DOUBLE AS w FROM s UNION ALL SELECT DISTINCT src, src, 1.0 FROM s),
 d AS (SELECT src, sum(w) AS d FROM g GROUP BY src) SELECT g.src, g.dst, round(g.w / sqrt(x.d * y.d), 9) AS w FROM g JOIN d x ON x.src = g.src JOIN d y ON y.src = g.dst""")
 def normalised_adjacency(spark, sf):
-    e = labelled(spark, sf).select("a", "b", F.lit(1).alias("w")).persist()
+    e = settle(labelled(spark, sf).select("a", "b", F.lit(1).alias("w")), "labelled")
     return G.normalised(e).select("src", "dst", F.round("w", 9).alias("w"))
 
 

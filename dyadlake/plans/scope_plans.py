@@ -9,6 +9,7 @@ from ..operators import folds as V
 from ..operators import metrics as M
 from ..operators import scopes as X
 from ..operators import tables as T
+from ..operators.lineage import settle
 from .base import EV, FOLD, K, LAB, evidence, folded, labelled, read_table, sql_hash, sql_key
 from .pair_plans import _CV2, _CV3, _VAL, SCORES, fold_scores
 
@@ -255,7 +256,7 @@ k AS (SELECT *, rank() OVER (PARTITION BY subset ORDER BY score) + (count(*) OVE
 SELECT subset, count(*) AS n, round({_AUC}, 8) AS auroc FROM k GROUP BY subset""")
 def agreement_by_subset(spark, sf):
     m = evidence(spark, sf).groupBy("a", "b").agg(F.max(F.col("positive").cast("int")).alias("label"), F.max(F.col("ctx") == "1-URGENT").alias("urgent"), F.max(F.col("status") == "O").alias("open"), F.round(F.avg("x"), 6).alias("score"))
-    m = T.subset_table(m, {"all": F.lit(True), "urgent": F.col("urgent"), "open": F.col("open"), "urgent_not_open": F.col("urgent") & ~F.col("open")}).persist()
+    m = settle(T.subset_table(m, {"all": F.lit(True), "urgent": F.col("urgent"), "open": F.col("open"), "urgent_not_open": F.col("urgent") & ~F.col("open")}), "subsets")
     d = M.auroc(m, ["subset"])
     return d.select("subset", (F.col("n_pos") + F.col("n_neg")).alias("n"), F.round("auroc", 8).alias("auroc"))
 

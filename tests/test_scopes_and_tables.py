@@ -96,3 +96,29 @@ def test_differences_to_a_reference_and_global_scalars(spark):
     assert [(r["model"], r["v"]) for r in stats.replicate_differences(reps, "model", "r", [], ["v"]).collect()] == [("x", 0.25)]
     z = vectors.normalise(spark.createDataFrame([([1.0, 3.0],), ([5.0, float("nan")],)], "v array<double>"), "v", 3.0, 2.0)
     assert z.first()["v"] == [-1.0, 0.0] and vectors.global_scalars(spark.createDataFrame([([1.0, 3.0],), ([5.0],)], "v array<double>"), "v", robust=True) == (3.0, pytest.approx(2.9652))
+
+
+def test_intermediate_tables_go_with_their_scope(spark):
+    import os
+
+    from dyadlake.operators import lineage
+
+    with lineage.scope(spark):
+        d = lineage.settle(spark.range(5), "scoped")
+        at = d.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(at) and d.count() == 5
+        spark.range(3).cache().count()
+    assert not os.path.exists(at) and spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_t_interval_beyond_its_table(spark):
+    """The expansion joins the table, and many folds have an interval."""
+    d = spark.createDataFrame([("m", float(i % 7)) for i in range(200)] + [("s", 1.0)], "model string, v double")
+    near = {r["model"]: r for r in tables.t_interval(d, ["model"], "v", most=300).collect()}
+    far = {r["model"]: r for r in tables.t_interval(d, ["model"], "v").collect()}
+    assert far["m"]["low"] == pytest.approx(near["m"]["low"], abs=1e-9) and far["s"]["low"] is None
+
+
+def test_sign_flips_of_many_folds_are_refused(spark):
+    with pytest.raises(Exception, match="20 folds"):
+        stats.sign_flip(spark.createDataFrame([(i, 1.0) for i in range(21)], "fold int, d double"), [], "d", "fold").collect()
