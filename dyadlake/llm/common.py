@@ -6,13 +6,12 @@ Nothing here holds more than one Arrow batch (or one bounded group) in memory.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_dir
+from ..operators.lineage import place
 
 #: White space that separates words, everywhere in this subpackage (ASCII only).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,10 +32,11 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     The copy survives the loss of any executor. It is for intermediate tables that are
-    read more than once. The write's shuffle files go when it has ended.
+    read more than once. The write's shuffle files go when it has ended, the copy with
+    ``operators.lineage.clear`` or ``scope``.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    at = place(spark, what)
     before = {name: spark.conf.get(name, None) for name in _WRITING}
     for name, value in _WRITING.items():
         spark.conf.set(name, value)

@@ -25,7 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounds_by_id, materialize, partitions, shared_dir, table
+from ..operators.lineage import place
+from .common import bounds_by_id, materialize, partitions, table
 from .tokens import Encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -166,9 +167,7 @@ def _checksums(file, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = place(spark, "token-files")
     return read(write(table(spark, sf_dir, "documents"), folder))
 
 
