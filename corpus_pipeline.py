@@ -4,8 +4,8 @@ Stages, each on all that the one before kept, written as Parquet in between:
 quality classifier (rejected documents go), n-gram Jaccard join (one document of each group
 stays), suffix-array deduplication (repeated passages go), mixing to target weights, packing.
 
-Edge cases: an empty table, and rows whose text is null or empty, pass every stage; without labels the
-classifier can't be fitted and says so; of rows that share doc_id and text one group is formed, and one stays.
+Edge cases: an empty table, and rows whose text is null or empty, pass every stage; without labels nothing
+is rejected; rows that share doc_id and text are one group, of which one stays.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadlake.llm import fingerprints, jaccard_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
-from dyadlake.llm.common import shared_dir
+from dyadlake.operators.lineage import shared_dir
 from dyadlake.llm.tokens import Encoder, vocabulary
 
 COMMON = "this very same passage of more than one hundred bytes stands in many documents, again and again, as it is often copied. "
