@@ -57,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the packed windows."""
     small_batches(spark)
-    return packing.pack(docs.select("doc_id", "text"))
+    return packing.pack(docs.select("doc_id", "text"), release=True)
 
 
 STAGES = [

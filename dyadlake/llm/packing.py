@@ -77,7 +77,7 @@ def best_fit_decreasing(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     return number, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, release: bool = False) -> DataFrame:
     """doc_id, doc_tokens and crcs: the checksum of each window-long piece of its ids."""
 
     def run(batches):
@@ -92,14 +92,19 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
                     crcs.append([zlib.crc32(data[i : min(i + window, b)]) for i in range(a, b, window)])
                 yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(crcs)), pa.array(np.diff(offsets)), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
         del encoder
-        Encoder.release()
+        if release:
+            Encoder.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ending(run), "doc_id long, doc_tokens long, crcs array<long>")
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) -> DataFrame:
-    """One row per piece; see the query's contract for the columns."""
-    cut = materialize(pieces(docs, vocabulary, window), "packing-pieces")
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, release: bool = False) -> DataFrame:
+    """One row per piece; see the query's contract for the columns.
+
+    A worker keeps the pieces of text that its encoder has learnt for the tasks that follow; ``release`` drops
+    them at the end of each task, for runs whose other stages need the memory.
+    """
+    cut = materialize(pieces(docs, vocabulary, window, release), "packing-pieces")
     groups = max(1, -(-cut.count() // GROUP))
     cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(groups)))
 
