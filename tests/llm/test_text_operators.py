@@ -298,6 +298,33 @@ def test_encoder_starts_anew_beyond_its_bound(monkeypatch):
     assert got == want and len(e.known) < 20
 
 
+def test_encoder_keeps_frequent_pieces_beyond_its_bound(monkeypatch):
+    from dyadlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 4_000)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e, learnt = Encoder(name), []
+        monkeypatch.setattr(e, "_learn", lambda pieces, learn=e._learn, learnt=learnt: (learnt.extend(pieces), learn(pieces)))
+        texts = ["frequent again" + "".join(f" {chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(8)) for i in range(60)]
+        want = [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = [ids[a:b].tolist() for _, ids, at in e.encode(texts, run_bytes=1) for a, b in zip(at[:-1], at[1:])]
+        assert got == want and learnt.count(" again") == learnt.count("frequent") == 1
+        assert sum(4 * len(p) + 160 for p in e.known) == e.cost <= 4_000
+
+
+def test_encoder_on_random_texts():
+    import random
+
+    rng = random.Random(4)
+    some = [*"aB zé×÷Àÿ.,!'$<|\n\t\r 1\x1c\xa0\u2003x日\u0301", "<|endoftext|>", " the", " don't", "\nThe", "$$$", " \n", "\n\n"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(name)
+        want = [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = [ids[a:b].tolist() for _, ids, at in e.encode(texts, run_bytes=5000) for a, b in zip(at[:-1], at[1:])]
+        assert e.direct and got == want
+
+
 def test_fingerprints(docs):
     rows = rows_of(docs)
     got = fingerprints.compare_with_next(docs).collect()
