@@ -283,7 +283,7 @@ def test_names_are_told_apart_by_sorting():
             took.append(process_time() - at)
         return min(took)
 
-    assert least(lambda: suffix_dedup._dealt_names(names, 0, 1)) < 3 * least(lambda: np.unique(names, return_index=True)[0])
+    assert least(lambda: suffix_dedup._dealt_names(names, 0, 1)) < 1.2 * least(lambda: np.unique(names, return_index=True)[0])
 
 
 def test_encoder_equals_the_library():
