@@ -6,6 +6,7 @@ import ast
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -16,27 +17,66 @@ BLOCK = 256
 # ---------------------------------------------------------------- packed blocks
 
 
+def encoded(cells: np.ndarray, scores: np.ndarray, block: int) -> bytes:
+    """A block from its known cells in order: numbers and floats of these where fewer than half are known
+    (8 bytes each), else a float for each cell, NaN where unknown. The length tells which."""
+    if 2 * len(cells) < block * block:
+        return cells.astype("<i4").tobytes() + scores.astype("<f4").tobytes()
+    data = np.full(block * block, np.nan, "<f4")
+    data[cells] = scores
+    return data.tobytes()
+
+
+def decoded(data: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Known cells of a block, in order, and their scores."""
+    if len(data) < 4 * block * block:
+        k = len(data) // 8
+        return np.frombuffer(data, "<i4", k), np.frombuffer(data, "<f4", k, 4 * k)
+    values = np.frombuffer(data, "<f4")
+    cells = np.flatnonzero(~np.isnan(values))
+    return cells, values[cells]
+
+
 def write_blocks(scores: DataFrame, path: str, n: int, block: int = BLOCK) -> None:
     """Writes a symmetric matrix over indices 0..n-1 from its known cells (i, j, score), in either order.
 
-    One row per block (bi <= bj) of the upper triangle that holds a known cell: block * block floats, NaN where
-    unknown; one folder per block row. A cell given several times keeps its largest score. Indices out of
-    range are an error; null ones and null scores are left out. A group is one block, so its size is fixed.
+    One row per block (bi <= bj) of the upper triangle that holds a known cell (see ``encoded``: a store takes
+    at most 8 bytes a known cell, however thinly they are spread); one folder per block row. A cell given
+    several times keeps its largest score. Indices out of range are an error; null ones and null scores are
+    left out. Tasks take ranges of blocks in order, so a folder has few files; a task holds one batch and one block.
     """
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
-    known = scores.filter("i is not null and j is not null and score is not null")
+    known = scores.filter("i is not null and j is not null and score is not null and not isnan(score)")
     d = known.select(lo.alias("i"), hi.alias("j"), F.col("score").cast("float").alias("score"))
-    d = d.select(F.when((F.col("i") < 0) | (F.col("j") >= n), F.raise_error(F.lit(f"an index outside 0..{n - 1}"))).otherwise(F.col("i")).alias("i"), "j", "score")
-    d = d.groupBy("i", "j").agg(F.max("score").alias("score"))
+    d = d.select(F.when((F.col("i") < 0) | (F.col("j") >= n), F.raise_error(F.lit(f"an index outside 0..{n - 1}"))).otherwise(F.col("i")).cast("long").alias("i"), "j", "score")
     cell = F.expr(f"cast((i % {block}) * {block} + j % {block} as int)")
     d = d.select(F.expr(f"cast(i div {block} as int)").alias("bi"), F.expr(f"cast(j div {block} as int)").alias("bj"), cell.alias("cell"), "score")
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        data = np.full(block * block, np.nan, np.float32)
-        data[group["cell"].to_numpy()] = group["score"]
-        return pd.DataFrame({"bi": [group["bi"].iloc[0]], "bj": [group["bj"].iloc[0]], "n": [n], "block": [block], "data": [data.tobytes()]})
-
-    blocks = d.groupBy("bi", "bj").applyInPandas(pack, "bi int, bj int, n long, block int, data binary")
+    def rows(bi, bj, cell, score, starts, ends) -> pa.RecordBatch:
+        data = [encoded(cell[a:b], score[a:b], block) for a, b in zip(starts, ends, strict=True)]
+        many = len(starts)
+        return pa.RecordBatch.from_arrays([pa.array(bi[starts]), pa.array(bj[starts]), pa.array(np.full(many, n, np.int64)), pa.array(np.full(many, block, np.int32)), pa.array(data, pa.binary())], names=["bi", "bj", "n", "block", "data"])
+
+    def pack(batches):
+        held = None  # the last block so far, which the next batch may add to
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = [np.concatenate(p) for p in zip(held, now, strict=True)] if held else now
+            bi, bj, cell, score = now
+            if not len(bi):
+                continue
+            apart = (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+            first = np.flatnonzero(np.concatenate([[True], apart | (cell[1:] != cell[:-1])]))
+            score = np.maximum.reduceat(score, first)
+            bi, bj, cell = bi[first], bj[first], cell[first]
+            starts = np.flatnonzero(np.concatenate([[True], (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+            if len(starts) > 1:
+                yield rows(bi, bj, cell, score, starts[:-1], starts[1:])
+            held = [x[starts[-1] :] for x in (bi, bj, cell, score)]
+        if held:
+            yield rows(*held, np.array([0]), np.array([len(held[0])]))
+
+    blocks = d.repartitionByRange("bi", "bj").sortWithinPartitions("bi", "bj", "cell").mapInArrow(pack, "bi int, bj int, n long, block int, data binary")
     blocks.sortWithinPartitions("bi", "bj").write.partitionBy("bi").option("parquet.block.size", 16 << 20).mode("errorifexists").parquet(path)
 
 
@@ -53,21 +93,27 @@ def pair_scores(blocks: DataFrame, pairs: DataFrame, block: int = BLOCK) -> Data
     """
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
     d = pairs.filter("i is not null and j is not null").select("i", "j").distinct()
-    d = d.withColumns({"bi": F.floor(lo / block).cast("int"), "bj": F.floor(hi / block).cast("int"), "cell": ((lo % block) * block + hi % block).cast("int")})
+    row = F.floor(lo / block).cast("int")
+    d = d.withColumns({"bi": row, "bj": F.floor(hi / block).cast("int"), "cell": ((lo % block) * block + hi % block).cast("int")})
     want = d.groupBy("bi", "bj").agg(F.collect_list(F.struct("i", "j", "cell")).alias("asked"))
 
     def pick(batches):
-        for pdf in batches:
-            out = []
-            for asked, data in pdf[["asked", "data"]].itertuples(index=False):
-                values = np.frombuffer(data, np.float32) if data is not None else None
-                for a in asked:
-                    v = values[a["cell"]] if values is not None else np.nan
-                    out.append((a["i"], a["j"], None if np.isnan(v) else float(v)))
-            yield pd.DataFrame(out, columns=["i", "j", "score"])
-
-    have = only_rows(blocks, want.select("bi")).select("bi", "bj", "data")
-    return want.join(have, ["bi", "bj"], "left").select("asked", "data").mapInPandas(pick, "i long, j long, score float")
+        for b in batches:
+            i, j, cell = (b.column(c) for c in ("i", "j", "cell"))
+            cells = cell.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(cell.value_lengths().to_numpy(zero_copy_only=False))
+            score = np.full(len(cells), np.nan, np.float32)
+            for at, (end, data) in enumerate(zip(ends, b.column("data"), strict=True)):
+                raw = data.as_py()
+                if raw is not None:
+                    asked = cells[(ends[at - 1] if at else 0) : end]
+                    have, values = decoded(raw, block)
+                    where = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+                    score[(ends[at - 1] if at else 0) : end] = np.where(have[where] == asked, values[where], np.float32(np.nan))
+            yield pa.RecordBatch.from_arrays([i.flatten().cast("int64"), j.flatten().cast("int64"), pa.array(score, mask=np.isnan(score))], names=["i", "j", "score"])
+
+    have = only_rows(blocks, pairs.filter("i is not null and j is not null").select(row.alias("bi"))).select("bi", "bj", "data")
+    return want.join(have, ["bi", "bj"], "left").select("asked.i", "asked.j", "asked.cell", "data").mapInArrow(pick, "i long, j long, score float")
 
 
 def only_rows(blocks: DataFrame, asked: DataFrame, most: int = 10_000) -> DataFrame:
@@ -80,28 +126,31 @@ def only_rows(blocks: DataFrame, asked: DataFrame, most: int = 10_000) -> DataFr
 def row_scores(blocks: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """i, j, score: all known cells of the rows ``i``, from both sides of the diagonal."""
     r = rows.filter("i is not null").select("i").distinct().withColumn("b", F.floor(F.col("i") / block).cast("int"))
-    want = r.groupBy("b").agg(F.collect_list("i").alias("asked"))
+    want = r.groupBy("b").agg(F.collect_list((F.col("i") % block).cast("int")).alias("asked"))
 
     def take(across: bool):
         def run(batches):
             for pdf in batches:
-                out = []
-                for asked, other, size, data in pdf[["asked", "other", "block", "data"]].itertuples(index=False):
-                    m = np.frombuffer(data, np.float32).reshape(size, size)
-                    for i in asked:
-                        line = m[i % size] if across else m[:, i % size]
-                        at = np.flatnonzero(~np.isnan(line))
-                        j = other * size + at
-                        keep = j >= i if across else j < i  # the diagonal block has both sides
-                        out += zip([i] * int(keep.sum()), j[keep].tolist(), line[at[keep]].tolist(), strict=True)
-                yield pd.DataFrame(out, columns=["i", "j", "score"])
+                out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+                for asked, bi, bj, size, data in pdf.itertuples(index=False):
+                    cells, values = decoded(data, size)
+                    i, j = cells // size, cells % size
+                    own = np.zeros(size, bool)
+                    own[asked] = True
+                    keep = own[i] if across else own[j]
+                    if bi == bj and not across:
+                        keep &= i != j  # the diagonal has been taken
+                    i, j = i[keep] + np.int64(bi) * size, j[keep] + np.int64(bj) * size
+                    out.append((i, j, values[keep]) if across else (j, i, values[keep]))
+                yield pd.DataFrame({name: np.concatenate(v) for name, v in zip(("i", "j", "score"), zip(*out, strict=True), strict=True)})
 
         return run
 
-    schema = "i long, j long, score float"
-    right = blocks.join(want, F.col("bi") == F.col("b")).select("asked", F.col("bj").alias("other"), "block", "data").mapInPandas(take(True), schema)
-    left = blocks.join(want, F.col("bj") == F.col("b")).select("asked", F.col("bi").alias("other"), "block", "data").mapInPandas(take(False), schema)
-    return right.unionByName(left)
+    def side(on: str, across: bool) -> DataFrame:
+        d = blocks.join(want, F.col(on) == F.col("b")).select("asked", "bi", "bj", "block", "data")
+        return d.mapInPandas(take(across), "i long, j long, score float")
+
+    return side("bi", True).unionByName(side("bj", False))
 
 
 def statistics(blocks: DataFrame) -> DataFrame:
@@ -109,20 +158,22 @@ def statistics(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for bi, bj, size, data in pdf[["bi", "bj", "block", "data"]].itertuples(index=False):
-                m = np.frombuffer(data, np.float32).reshape(size, size).astype(float)
-                diagonal = int((~np.isnan(np.diag(m))).sum()) if bi == bj else 0
-                v = (m[np.triu_indices(size, 1)] if bi == bj else m.ravel())
-                v = v[~np.isnan(v)]
-                out.append((diagonal, len(v), float(v.mean()) if len(v) else 0.0, float(((v - v.mean()) ** 2).sum()) if len(v) else 0.0, float(v.min()) if len(v) else None, float(v.max()) if len(v) else None))
-            yield pd.DataFrame(out, columns=["d", "k", "m", "q", "lo", "hi"])
-
-    parts = blocks.select("bi", "bj", "block", "data").mapInPandas(run, "d long, k long, m double, q double, lo double, hi double")
-    total = parts.agg(F.sum("k").alias("known"), F.sum("d").alias("diagonal_known"), (F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("mean"), F.sum("q").alias("_q"), F.sum(F.col("k") * F.col("m") * F.col("m")).alias("_mm"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+            diagonal, parts = 0, [np.zeros(0, np.float32)]
+            for bi, bj, size, data in zip(pdf["bi"], pdf["bj"], pdf["block"], pdf["data"], strict=True):
+                cells, values = decoded(data, size)
+                if bi == bj:
+                    off = cells // size != cells % size
+                    diagonal += int((~off).sum())
+                    values = values[off]
+                parts.append(values)
+            v = np.concatenate(parts).astype(float)
+            some = len(v) > 0
+            yield pd.DataFrame({"n": [int(pdf["n"].max()) if len(pdf) else 0], "d": [diagonal], "k": [len(v)], "m": [v.mean() if some else 0.0], "q": [((v - v.mean()) ** 2).sum() if some else 0.0], "lo": [v.min() if some else None], "hi": [v.max() if some else None]})
+
+    parts = blocks.select("bi", "bj", "n", "block", "data").mapInPandas(run, "n long, d long, k long, m double, q double, lo double, hi double")
+    total = parts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sum("k").alias("known"), F.sum("d").alias("diagonal_known"), (F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("mean"), F.sum("q").alias("_q"), F.sum(F.col("k") * F.col("m") * F.col("m")).alias("_mm"), F.min("lo").alias("least"), F.max("hi").alias("most"))
     sd = F.sqrt((F.col("_q") + F.greatest(F.col("_mm") - F.col("known") * F.col("mean") * F.col("mean"), F.lit(0.0))) / (F.col("known") - 1))
-    n = blocks.agg(F.max("n")).first()[0] or 0
-    return total.select(F.lit(n).cast("long").alias("n"), F.lit(n * (n - 1) // 2).cast("long").alias("cells"), "known", "diagonal_known", "mean", F.when(F.col("known") > 1, sd).alias("sd"), "least", "most")
+    return total.select("n", F.expr("n * (n - 1) div 2").alias("cells"), "known", "diagonal_known", "mean", F.when(F.col("known") > 1, sd).alias("sd"), "least", "most")
 
 
 # ---------------------------------------------------------------- dense files
@@ -174,8 +225,6 @@ class NpyReader(DataSourceReader):
         return [_Rows(a, min(a + self.per_part, self.i[1])) for a in range(self.i[0], self.i[1], self.per_part)] or [_Rows(0, 0)]
 
     def read(self, part):
-        import pyarrow as pa
-
         lo, hi = self.j
         item = np.dtype(self.kind).itemsize
         if part.first >= part.last or lo >= hi:

@@ -81,3 +81,22 @@ def test_empty_questions(spark, store):
     blocks, _ = store
     none = spark.createDataFrame([(1, 1)], "i long, j long").filter(F.col("i") > 9)
     assert X.pair_scores(blocks, none, 8).count() == 0 and X.row_scores(blocks, none, 8).count() == 0
+
+
+def test_thin_blocks_take_what_their_cells_take(spark, tmp_path):
+    """Cells spread over many blocks, some given twice, and one block that is known in full."""
+    r = np.random.RandomState(7)
+    known = {(int(i), int(j)): float(v) for i, j, v in zip(r.randint(0, 5000, 400), r.randint(5000, 100_000, 400), r.randint(0, 99, 400), strict=True)}
+    known |= {(i, 64 + j): float(i - j) for i in range(16) for j in range(16)}
+    rows = [(i, j, s) for (i, j), s in known.items()] + [(j, i, s - 1) for (i, j), s in known.items()]
+    at = f"file://{tmp_path}/thin"
+    X.write_blocks(spark.createDataFrame(rows, "i long, j long, score double").repartition(5), at, 100_000, 16)
+    blocks = X.read_blocks(spark, at)
+    assert blocks.count() == len({(i // 16, j // 16) for i, j in known})
+    assert blocks.selectExpr("sum(length(data))").first()[0] <= 8 * len(known)  # 1,024 bytes a block before
+    got = {(x["i"], x["j"]): x["score"] for x in X.pair_scores(blocks, spark.createDataFrame([*known, (3, 4), (99_999, 1)], "i long, j long"), 16).collect()}
+    assert got == {**known, (3, 4): None, (99_999, 1): None}
+    low = {(x["i"], x["j"]): x["score"] for x in X.row_scores(blocks, spark.createDataFrame([(5,), (70,)], "i long"), 16).collect()}
+    assert low == {(i, j): s for (i, j), s in known.items() if i == 5} | {(j, i): s for (i, j), s in known.items() if j == 70}
+    s = X.statistics(blocks).first()
+    assert s["known"] == len(known) and s["mean"] == pytest.approx(np.mean(list(known.values())))
