@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,26 @@ def test_fold_views(spark):
     assert got == {"m": (1.0, 1, 2), "r": (0.375, 2, 2)}
     best = {(r["model"], r["fold"]): r["best"] for r in views.flag_best(d, ["fold"], "value").collect()}
     assert best == {("m", 0): True, ("r", 0): False, ("m", 1): False, ("r", 1): False}
+
+
+def test_fold_counts_from_bits_equal_those_from_rows(spark):
+    """Leaks that are there are counted, of more folds than one row of bits holds; parts meet the ends once."""
+    r = np.random.RandomState(3)
+    rows = [(f, a, b, r.choice(["train", "val", "test", "dropped"], p=[0.3, 0.1, 0.2, 0.4]), (a + b) % 3 == 0) for f in (0, 1, 4, 19, 20, 23) for a in range(12) for b in range(a + 1, 12) if r.rand() < 0.4]
+    rows += [(f, a, b, "test", x) for f, a, b, p, x in rows if p == "train" and (a + b + f) % 5 == 0]
+    parts = spark.createDataFrame(rows, "fold int, a long, b long, part string, label boolean").withColumn("label", F.col("label").cast("int"))
+    of = lambda f, *names: {(a, b) for g, a, b, p, _ in rows if g == f and p in names}
+    ends = lambda pairs: {x for p in pairs for x in p}
+    every = sorted({x[0] for x in rows})
+    twice = {f: sum(sum(p in of(f, n) for n in ("train", "val", "test")) > 1 for p in of(f, "train", "val", "test")) for f in every}
+    assert sum(twice.values()) > 5
+    for both, most in ((True, 1), (False, 2)):
+        shared = {f: sum((a in s) + (b in s) >= most for a, b in of(f, "test")) for f in every for s in [ends(of(f, "train", "val"))]}
+        assert {(x["fold"], x["pairs_twice"], x["ids_shared"]) for x in folds.leaks(parts, both).collect()} == {(f, twice[f], shared[f]) for f in every}
+    assert {tuple(x) for x in folds.train_keys(parts).select("fold", "n_keys", "n_first").collect()} == {(f, len(of(f, "train")), len({a for a, _ in of(f, "train")})) for f in every}
+    assert {tuple(x) for x in folds.fit_counts(parts).select("fold", "n", "n_fit").collect()} == {(f, len(ends(of(f, "train", "val", "test"))), len(ends(of(f, "train")))) for f in every}
+    for x in folds.geometry(parts, "label").collect():
+        here, fit = of(x["fold"], x["part"]), ends(of(x["fold"], "train"))
+        assert x["n"] == len(here) and x["prevalence"] == pytest.approx(np.mean([(a + b) % 3 == 0 for a, b in here])) and x["both_in_train"] == pytest.approx(np.mean([a in fit and b in fit for a, b in here]))
+    plan = folds.leaks(parts, True)._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and plan.count("Join") <= 6  # before: once a fold's rows, not once a pair
