@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import normalized_aupr
+from .lineage import settle
 
 
 def running(df: DataFrame, keys: list[str], order: str, sums: list[str], ranges: int = 32) -> DataFrame:
@@ -35,7 +36,7 @@ def segments(df: DataFrame, keys: list[str], score: str = "score", label: str =
     """keys, score, pos, neg, cum_pos, cum_neg, n_pos, n_neg; descending score is cumulative."""
     w = F.col(weight) if weight else F.lit(1)
     s = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w * (1 - F.col(label))).alias("neg"))
-    s = running(s, keys, "score", ["pos", "neg"])
+    s = running(settle(s, "score-segments"), keys, "score", ["pos", "neg"])  # its cut points, totals and sums read it
     totals = s.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return s.join(totals, keys)
 

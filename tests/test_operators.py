@@ -166,3 +166,10 @@ def test_fold_counts_from_bits_equal_those_from_rows(spark):
         assert x["n"] == len(here) and x["prevalence"] == pytest.approx(np.mean([(a + b) % 3 == 0 for a, b in here])) and x["both_in_train"] == pytest.approx(np.mean([a in fit and b in fit for a, b in here]))
     plan = folds.leaks(parts, True)._jdf.queryExecution().executedPlan().toString()
     assert "count(distinct" not in plan and plan.count("Join") <= 6  # before: once a fold's rows, not once a pair
+
+
+def test_score_segments_are_made_once(spark):
+    """Cut points, totals and running sums read the table of segments, not the joins that gave the scores."""
+    rows = spark.createDataFrame([(i % 5 / 4.0, i % 2) for i in range(40)], "score double, label int")
+    plan = metrics.auroc(rows.withColumn("g", F.lit(1)), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "score-segments" in plan
