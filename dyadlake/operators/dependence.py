@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .lineage import settle
 from .metrics import running
 
+#: Rows of the levels that are taken together; one level at least.
+LEVEL_ROWS = 20_000_000
+
 
 def _positions(df: DataFrame, keys: list[str], x: str, own: str, rank: str) -> DataFrame:
     """Adds ``own``, the sum of distances of each value of ``x`` to all rows, and ``rank``, its dense rank from 0."""
@@ -27,7 +30,8 @@ def distance_correlation(df: DataFrame, keys: list[str], x: str, y: str, floor:
     pairs with xj < xi and yj < yi. D is found by halving the ranks of x: at each of the log n levels a
     pair whose ranks part there has its lower one in the left half, and running sums of the left half by y meet
     the right half. A level's rows are summed by (half, y) first, so ties are one row, and running sums are
-    over ranges: no task holds a group. Sums of distances of a row, and of squares, come from one sort.
+    over ranges: no task holds a group. Levels are taken together up to ``LEVEL_ROWS`` rows, then one after another,
+    so that the disk holds these and not log n times the table. Sums of distances of a row, and of squares, come from one sort.
 
     ``floor`` is added under each root, as implementations that take roots of it for training do. Rows with a
     null or non-finite value are left out. Null dcor where a side does not vary (unless floor > 0).
@@ -44,17 +48,22 @@ def distance_correlation(df: DataFrame, keys: list[str], x: str, y: str, floor:
     s = settle(s, "distances")
     levels = int(s.agg(F.max("top")).first()[0] or 0).bit_length()
     if levels:
-        at = d.select(*keys, "x", "y", "rx", F.explode(F.array(*[F.lit(i) for i in range(levels)])).alias("level"))
+        rows = s.agg(F.sum("n")).first()[0]
+        step = max(1, min(levels, LEVEL_ROWS // max(rows, 1)))
         left = F.expr("shiftright(rx, level) % 2 = 0")
         side = lambda c, take: F.sum(F.when(take, c).otherwise(0.0))
-        xy = F.col("x") * F.col("y")
-        halves = at.groupBy(*keys, "level", F.expr("shiftright(rx, level + 1)").alias("node"), "y").agg(*[side(c, left).alias(f"l{n}") for n, c in (("n", F.lit(1.0)), ("x", F.col("x")), ("p", xy))], *[side(c, ~left).alias(f"r{n}") for n, c in (("n", F.lit(1.0)), ("x", F.col("x")), ("p", xy))])
-        halves = halves.withColumns({"_down": -F.col("y"), "ly": F.col("ln") * F.col("y"), "ry": F.col("rn") * F.col("y")})
-        group = [*keys, "level", "node"]
-        run = running(halves, group, "_down", ["ln", "lx", "ly", "lp"])
-        under = {c: F.col(f"cum_l{c}") - F.col(f"l{c}") for c in "nxyp"}  # strictly smaller y
-        pairs = F.col("rp") * under["n"] - F.col("rx") * under["y"] - F.col("ry") * under["x"] + F.col("rn") * under["p"]
-        dominance = run.groupBy(*keys).agg(F.sum(pairs).alias("dominance"))
+        xy, group = F.col("x") * F.col("y"), [*keys, "level", "node"]
+        found = None
+        for low in range(0, levels, step):
+            at = d.select(*keys, "x", "y", "rx", F.explode(F.array(*[F.lit(i) for i in range(low, min(low + step, levels))])).alias("level"))
+            halves = at.groupBy(*keys, "level", F.expr("shiftright(rx, level + 1)").alias("node"), "y").agg(*[side(c, left).alias(f"l{n}") for n, c in (("n", F.lit(1.0)), ("x", F.col("x")), ("p", xy))], *[side(c, ~left).alias(f"r{n}") for n, c in (("n", F.lit(1.0)), ("x", F.col("x")), ("p", xy))])
+            halves = settle(halves.withColumns({"_down": -F.col("y"), "ly": F.col("ln") * F.col("y"), "ry": F.col("rn") * F.col("y")}), "halves")
+            run = running(halves, group, "_down", ["ln", "lx", "ly", "lp"])
+            under = {c: F.col(f"cum_l{c}") - F.col(f"l{c}") for c in "nxyp"}  # strictly smaller y
+            pairs = F.col("rp") * under["n"] - F.col("rx") * under["y"] - F.col("ry") * under["x"] + F.col("rn") * under["p"]
+            part = settle(run.groupBy(*keys).agg(F.sum(pairs).alias("dominance")), "dominance", halves)
+            found = part if found is None else found.unionByName(part)
+        dominance = found.groupBy(*keys).agg(F.sum("dominance").alias("dominance"))
         s = s.join(dominance, keys, "left")
     else:
         s = s.withColumn("dominance", F.lit(0.0))

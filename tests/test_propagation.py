@@ -100,3 +100,12 @@ def test_distance_correlation_equals_all_distances(spark, floor):
 def test_distance_correlation_without_groups_or_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "x double, y double")
     assert D.distance_correlation(df, [], "x", "y").first()["dcor"] == pytest.approx(1.0) and D.distance_correlation(df.filter("x > 9"), [], "x", "y").count() == 0
+
+
+def test_levels_one_after_another_give_the_same(spark, monkeypatch):
+    r = np.random.RandomState(8)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(r.randn(40), r.randn(40), strict=True)], "x double, y double")
+    whole = D.distance_correlation(df, [], "x", "y").first()
+    monkeypatch.setattr(D, "LEVEL_ROWS", 80)
+    parts = D.distance_correlation(df, [], "x", "y").first()
+    assert parts["dcov2"] == pytest.approx(whole["dcov2"], abs=1e-12) and parts["dcor"] == pytest.approx(whole["dcor"], abs=1e-12)
